@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import line_dedup, packing, quality, simhash
+from tracewright.llm import decontamination, line_dedup, packing, quality, simhash
 from tracewright.llm.common import ensure_checkpoint_dir
 
 
@@ -37,6 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_first(docs, width=5, budget=4)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 ids and their place in the packed sequences."""
     return packing.pack_documents(docs, packing.Capacity(tokens=1024), end_id=2)
@@ -46,6 +51,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("drop_common_lines", drop_common_lines),
     ("near_duplicates", near_duplicates),
+    ("without_benchmark", without_benchmark),
     ("pack_sequences", pack_sequences),
 ]
 

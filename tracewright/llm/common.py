@@ -7,6 +7,7 @@ Text conventions used everywhere in this subpackage: a null text is the empty te
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +105,59 @@ def schema_of(ddl: str):
     from pyspark.sql.types import StructType
 
     return StructType.fromDDL(ddl)
+
+
+# --- letter-and-digit words, hashed ---------------------------------------------------------------
+
+PLAIN = re.compile(r"[^\W_]+")
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash, remembered; emptied when it holds too many words."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        if len(self) < self.LIMIT:
+            self[word] = value
+        return value
+
+
+_HASHES = WordHashes()
+
+
+def plain_words(text: str) -> list[str]:
+    """Lower-cased runs of letters and digits."""
+    return PLAIN.findall(text.lower())
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    if len(_HASHES) >= WordHashes.LIMIT:
+        _HASHES.clear()
+    return np.array([_HASHES[w] for w in words], dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, so that every bit of the result depends on all bits."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hash of every run of ``n`` values, mixed."""
+    if len(h) < n:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
+    return mixed(out)
+
+
+def spec(docs: DataFrame, more: str):
+    """The schema of ``docs`` and the columns of the DDL text ``more``."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return schema_of(f"{ddl}, {more}" if more else ddl)

@@ -93,6 +93,9 @@ def features(docs: DataFrame) -> DataFrame:
     gone = lambda pattern: size("_q_text") - size(F.regexp_replace("_q_text", pattern, ""))
     return out.withColumns(
         {
+            # not deterministic on purpose: a filter on the measures must not be pushed below them,
+            # where it would repeat their expressions
+            "_q_row": F.monotonically_increasing_id(),
             "_q_word_chars": size(F.regexp_replace("_q_text", WS, "")).cast("long"),
             "_q_n_symbols": gone(r"[#*$%&|<>]+").cast("long"),
             "_q_n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
@@ -238,4 +241,4 @@ def keep(docs: DataFrame) -> DataFrame:
     and right for repeated or null ids.
     """
     model = fit(features(docs.select("text")))
-    return verdicts(features(docs), model).where("_q_kept").select(*docs.columns)
+    return verdicts(features(docs), model).where(F.col("_q_kept") & (F.col("_q_row") >= 0)).select(*docs.columns)

@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import quality
 
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import toxicity
+
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import line_dedup
 
@@ -49,13 +61,23 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), end_id=0)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import decontamination
+
+    out = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "item_words", "covered_words", "coverage", "n_tiles")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op3_quality": op3_quality,
+        "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
         "op6_packing": op6_packing,
         "op8_simhash": op8_simhash,
         "op9_token_ids": op9_token_ids,
+        "op10_decontamination": op10_decontamination,
     }
 
 

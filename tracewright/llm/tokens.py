@@ -2,9 +2,9 @@
 file format for the ids.
 
 Encoding: a pre-token of this vocabulary holds a space only as its first character, or is white
-space alone.  So a text without adjacent white-space characters can be cut before every space, the
-pieces encoded once each by the tokenizers library and remembered; other texts are encoded whole.
-Both ways give the library's ids exactly.
+space alone.  So a text whose white space is single spaces and line feeds can be cut before each of
+them, the pieces encoded once by the tokenizers library and remembered; other texts are encoded
+whole.  Both ways give the library's ids exactly.
 
 Format of one shard (little-endian, :func:`encode_shard`): magic ``TWPF``, id count (u8), block
 size (u4), block count (u4); per block u4 minimum, u1 width, u2 number of exceptions; then u8 byte
@@ -18,7 +18,6 @@ repeated rows are kept; an empty table writes no shard and gives no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,8 +33,7 @@ BLOCK = 256
 #: Ids in one shard row at most (a longer document alone may exceed it).
 SHARD_IDS = 2_000_000
 PERCENTILE = 98
-_CACHE_PIECES = 400_000
-_ADJACENT = re.compile(r"\s\s|^\s|\s$")
+_CACHE_PIECES = 1_300_000
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -45,7 +43,7 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """ids of whole texts; remembers the ids of space-separated pieces."""
+    """ids of whole texts; remembers the ids of pieces between single spaces and line feeds."""
 
     def __init__(self, path: str):
         import os
@@ -58,41 +56,91 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        feed = self.whole(["\n"])[0]
+        self.marks: dict[str, bytes] = {}
+        self.feed = feed if len(feed) == 4 else b""
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
+    def _each(self, words: list[str], before: str) -> list[bytes]:
+        """ids of ``before + word`` for words without white space: one encoding of them all, line by line."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode("\n".join([before + w for w in part]), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0])
+            if len(ends) != len(part) - 1:
+                out += self.whole([before + w for w in part])
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+            stops = [*(4 * ends).tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip(cuts, stops)]
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Pieces stand after a space, or with a leading line feed after that; a final mark is a
+        pre-token of its own, so words are encoded without it."""
+        known = self.known
+        wanted: dict[str, dict[str, list[tuple[str, str]]]] = {" ": {}, "": {}}
+        for piece in pieces:
+            head = piece[0] == "\n"
+            word = piece[1:] if head else piece
+            mark = word[-1] if word[-1] in MARKS and word[:-1].isalpha() else ""
+            wanted["" if head else " "].setdefault(word[: len(word) - len(mark)], []).append((piece, mark))
+        for before, words in wanted.items():
+            for ids, (word, uses) in zip(self._each(list(words), before), words.items()):
+                for piece, mark in uses:
+                    known[piece] = (b"" if before else self.feed) + ids + (self._mark(mark) if mark else b"")
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self.whole([mark])[0]
+        return self.marks[mark]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u4 ids of every text."""
         out: list[bytes] = [b""] * len(texts)
         if len(self.known) > _CACHE_PIECES:
             self.known.clear()
-        known, cut, odd = self.known, {}, []
+        known, odd, late = self.known, [], []
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if _ADJACENT.search(text):
+            if not self.feed or not _regular(text):
                 odd.append(k)
+                continue
+            # a text is taken as if after a line feed, whose id is then cut off
+            got = list(map(known.get, f"\n{text}".replace("\n", " \n").split(" ")[1:]))
+            if None in got:
+                late.append(k)
             else:
-                head, *rest = text.split(" ")
-                cut[k] = (head, rest)
-        if odd:
-            for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
-                out[k] = ids
-        new = {p for _, rest in cut.values() for p in rest if p not in known}
-        if new:
-            fresh = list(new)
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                known.update(zip(part, self.whole([f" {p}" for p in part])))
-        if cut:
-            heads = self.whole([head for head, _ in cut.values()])
-            for (k, (_, rest)), head in zip(cut.items(), heads):
-                out[k] = head + b"".join(map(known.__getitem__, rest))
+                out[k] = b"".join(got)[4:]
+        if late:
+            cut = {k: f"\n{texts[k]}".replace("\n", " \n").split(" ")[1:] for k in late}
+            self._learn({p for pieces in cut.values() for p in pieces if p not in known})
+            for k, pieces in cut.items():
+                out[k] = b"".join(map(known.__getitem__, pieces))[4:]
+        for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else ()):
+            out[k] = ids
         return out
 
 
+#: Marks that end a word in running text.
+MARKS = ",.;:!?"
+#: White space other than space and line feed, as Unicode and Python know it.
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_ASCII_SPACE = _OTHER_SPACE[:8]
+
+
+def _regular(text: str) -> bool:
+    """Only single spaces and line feeds, none of them at an end."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -199,7 +247,7 @@ def decode_shard(blob: bytes) -> np.ndarray:
 def encoded(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list, list[bytes]]]]:
     def go(batches):
         enc = encoder(vocabulary)
-        for ids, texts in byte_slices(batches, 4 << 20):
+        for ids, texts in byte_slices(batches, 8 << 20):
             yield ids, enc.encode(texts)
 
     return go
