@@ -392,3 +392,79 @@ def test_simhash_edges(spark, odd, empty):
     kept = rows(simhash.keep_first(odd))
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "4", "6", "7", "None"]
     assert simhash.keep_first(odd).columns == odd.columns
+
+
+# --- repeated byte strings --------------------------------------------------------------------
+
+from tracewright.llm import suffix_dedup  # noqa: E402
+
+
+def brute_repeats(docs, length=50):
+    """docs: (doc_id or None, text)"""
+    order = lambda d: float("inf") if d is None else d
+    least = {}
+    raws = [(d, (t or "").encode()) for d, t in docs]
+    for d, raw in raws:
+        for i in range(len(raw) - length + 1):
+            s = raw[i : i + length]
+            least[s] = min(least.get(s, float("inf")), order(d))
+    out = []
+    for d, raw in raws:
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - length + 1):
+            if least[raw[i : i + length]] < order(d):
+                gone[i : i + length] = True
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
+        spans = int(np.diff(np.r_[0, gone.astype(int)]).clip(0).sum())
+        out.append((d, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats(spark, texts):
+    got = [tuple(r) for r in queries.op7_suffix_dedup(spark, SF).collect()]
+    assert sorted(got) == sorted(brute_repeats(texts.items()))
+    assert sum(r[2] for r in got) > 1000
+
+
+def test_repeats_of_edited_texts(spark):
+    rng = np.random.default_rng(9)
+    base = "".join(rng.choice(list("abcd \n"), 3000))
+    docs = [(0, base)]
+    for d in range(1, 40):
+        x = list(base)
+        for _ in range(int(rng.integers(0, 40))):
+            k = int(rng.integers(0, len(x)))
+            x[k : k + int(rng.integers(0, 3))] = rng.choice(list("xyzé"), int(rng.integers(0, 3))).tolist()
+        docs.append((d, "".join(x)[int(rng.integers(0, 500)) :]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [tuple(r)[:5] for r in suffix_dedup.remove_repeats(df).collect()]
+    assert sorted(got) == sorted(brute_repeats(docs))
+
+
+def test_repeats_edges(spark, odd, empty, monkeypatch):
+    docs = [(r["doc_id"], r["text"]) for r in rows(odd)]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    got = [tuple(r)[:5] for r in suffix_dedup.remove_repeats(odd).collect()]
+    assert sorted(got, key=key) == sorted(brute_repeats(docs), key=key)
+    assert rows(suffix_dedup.remove_repeats(empty)) == []
+
+
+def test_very_long_text_is_cut_into_pieces_without_loss(monkeypatch):
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(97, 100, 5000, dtype=np.uint8))
+    whole = suffix_dedup.Anchors([text])
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 700)
+    cut = suffix_dedup.Anchors([text])
+    by_window = lambda a: {(i, int(h)) for x, y, h in zip(a.low, a.high, a.anchor) for i in range(x, y + 1)}
+    assert by_window(cut) == by_window(whole)
+
+
+def test_suffix_classes_follow_byte_order():
+    rng = np.random.default_rng(8)
+    m = rng.integers(97, 99, (3000, 50), dtype=np.uint8)
+    m[:, :40] = 97
+    m[::3] = m[0]
+    ranks = suffix_dedup.suffix_classes(m)
+    strings = [r.tobytes() for r in m]
+    want = {s: k for k, s in enumerate(sorted(set(strings)))}
+    assert ranks.tolist() == [want[s] for s in strings]

@@ -48,6 +48,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import suffix_dedup
+
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import simhash
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
         "op6_packing": op6_packing,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_simhash": op8_simhash,
         "op9_token_ids": op9_token_ids,
         "op10_decontamination": op10_decontamination,
