@@ -468,3 +468,156 @@ def test_suffix_classes_follow_byte_order():
     strings = [r.tobytes() for r in m]
     want = {s: k for k, s in enumerate(sorted(set(strings)))}
     assert ranks.tolist() == [want[s] for s in strings]
+
+
+# --- language model ----------------------------------------------------------------------------
+
+from tracewright.llm import language_model  # noqa: E402
+
+
+def test_language_model(spark, texts):
+    got = {r["doc_id"]: r for r in rows(queries.op2_language_model(spark, SF))}
+    out = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in texts}
+    toks = {d: texts[d].encode().lower().split() for d in texts}
+    count = Counter(w for d in texts if not out[d] for w in [*toks[d], None])
+    n, v = sum(count.values()), len(count)
+    for d, r in got.items():
+        own = [*toks[d], None]
+        want = sum(np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[d], len(own), sum(count[w] > 0 for w in own), n)
+        assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want))
+    held = [r for r in got.values() if r["held_out"]]
+    # half a megabyte of training text; with 24 MB the model is ahead of the word base
+    assert sum(r["score"] for r in held) > 1.1 * sum(r["base_score"] for r in held)
+
+
+def test_model_probabilities_sum_to_one():
+    mixer, tables = language_model.Mixer(), np.random.default_rng(0).integers(0, 9, (language_model.ORDERS, language_model.SLOTS, 2)).astype(np.uint16)
+    code = (np.uint64(0x6162636465) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    assert abs((10 ** mixer.log10(tables, code)).sum() - 1) < 1e-6
+
+
+def test_language_model_edges(spark, odd, empty):
+    got = rows(language_model.score(odd))
+    assert len(got) == 9 and all(np.isfinite(r["score"]) and r["score"] <= 0 for r in got)
+    assert {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    assert rows(language_model.score(empty)) == []
+
+
+# --- toxicity, decontamination, licenses ---------------------------------------------------------
+
+from tracewright.llm import decontamination, licenses, toxicity  # noqa: E402
+
+
+def test_toxicity_on_held_out_labels(spark):
+    big = "/root/testdata/sf0.1"
+    truth = pq.read_table(f"{big}/labels.parquet").to_pydict()
+    toxic = dict(zip(truth["doc_id"], truth["toxic"]))
+    got = [r for r in rows(queries.op4_toxicity(spark, big)) if r["held_out"] and r["doc_id"] in toxic]
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
+    hit = [r["predicted"] for r in got if toxic[r["doc_id"]] == 1]
+    alarm = [r["predicted"] for r in got if toxic[r["doc_id"]] == 0]
+    # some 300 toxic rows to learn from
+    assert sum(hit) >= 0.6 * len(hit) and sum(alarm) <= 0.005 * len(alarm)
+
+
+def test_toxicity_edges(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    got = rows(toxicity.toxicity(odd, labels))
+    assert len(got) == 9 and {r["score"] for r in got} == {0.5}
+    assert rows(toxicity.toxicity(empty, labels)) == []
+
+
+def test_ftrl_keeps_few_weights():
+    rng = np.random.default_rng(3)
+    model = toxicity.Ftrl(size=5000, l1=2.0)
+    data = []
+    for _ in range(600):
+        y = int(rng.random() < 0.5)
+        at = rng.integers(10, 5000, 50)
+        data.append((np.append(at, rng.integers(0, 3)) if y else at, y))
+    for _ in range(3):
+        for at, y in data:
+            model.learn(at, y)
+    at, w = model.sparse()
+    assert {0, 1, 2} <= set(at[w > 1].tolist())
+    assert len(at) < 1500
+
+
+def brute_tiles(a, b, least):
+    """Greedy string tiling by its definition."""
+    ma, mb, total = [False] * len(a), [False] * len(b), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not ma[i + k] and not mb[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        if best[0] < least:
+            return total
+        for k in range(best[0]):
+            ma[best[1] + k] = mb[best[2] + k] = True
+        total += best[0]
+
+
+def test_tiling_covers_as_much_as_the_definition():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        item = [f"w{k}" for k in rng.integers(0, 30, 25)]
+        cuts = sorted(rng.integers(0, 25, 2).tolist())
+        doc = item[cuts[1] :] + ["x"] + item[cuts[0] : cuts[1]] + [f"w{k}" for k in rng.integers(0, 30, 10)] + item[: cuts[0]]
+        index = decontamination.Index.of([(1, " ".join(item))])
+        got = index.matches(" ".join(doc))
+        assert (got[0][2] if got else 0) == brute_tiles(doc, item, 5)
+
+
+def test_decontamination(spark, texts):
+    from tracewright.llm.common import plain_words
+
+    bench = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
+    items = {i: plain_words(t) for i, t in zip(bench["item_id"], bench["text"])}
+    want = set()
+    for d, t in texts.items():
+        own = plain_words(t)
+        grams = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+        for i, w in items.items():
+            if any(tuple(w[k : k + 5]) in grams for k in range(len(w) - 4)) and brute_tiles(own, w, 5) >= 0.8 * len(w):
+                want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in rows(queries.op10_decontamination(spark, SF))}
+    assert got == want and want
+
+
+def test_decontamination_in_blocks_and_edges(spark, odd, empty):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(decontamination.leaks(docs, bench)) == key(decontamination.leaks(docs, bench, block_chars=1500))
+    own = spark.createDataFrame([(1, None), (2, ""), (3, "SAME, text here"), (3, "same text here for two rows!")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["coverage"]) for r in rows(decontamination.leaks(odd, own))}
+    assert got == {(4, 3, 1.0), (5, 3, 1.0)}
+    assert decontamination.keep_clean(odd, own).count() == 6 and decontamination.keep_clean(odd, own).columns == odd.columns
+    assert rows(decontamination.leaks(empty, own)) == [] and rows(decontamination.leaks(odd, own.where("item_id = 2"))) == []
+
+
+def test_licenses(spark, texts):
+    got = {(r["doc_id"], r["license"]) for r in rows(queries.op1_licenses(spark, SF)) if r["coverage"] == 1}
+    short = {k: v for k, v in licenses.TEMPLATES.items() if k.endswith("notice")}
+    want = {(d, k) for d, t in texts.items() for k, v in short.items() if v.lower().rstrip(".") in t.lower()}
+    assert {g for g in got if g[1] in short} == want
+
+
+def test_license_with_edits():
+    scan = licenses.Scanner().scan
+    text = "Some code.\n" + licenses.TEMPLATES["mit-grant"].replace("free of charge", "at no cost").replace("sublicense, ", "") + "\nmore text follows"
+    found = {x[0]: x for x in scan(text)}
+    assert found["mit-grant"][3] > 0.9
+    assert text[found["mit-grant"][6] : found["mit-grant"][7]].startswith("Permission is hereby") and text[: found["mit-grant"][7]].endswith("conditions")
+    assert scan("a text about license and version numbers in the software world") == []
+    twice = scan("Released under the MIT License. And again: released under the mit license.")
+    assert [x[0] for x in twice] == ["mit-notice", "mit-notice"]
+
+
+def test_license_edges(spark, odd, empty):
+    assert rows(licenses.scan(odd)) == [] and rows(licenses.scan(empty)) == []

@@ -16,6 +16,12 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import language_model
+
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import quality
 
@@ -77,6 +83,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
+        "op2_language_model": op2_language_model,
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,

@@ -26,8 +26,8 @@ from tracewright.llm.common import byte_slices, crc_col, id_text, mixed, plain_w
 
 BITS = 20
 PER_CLASS = 6000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.1
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
 
 
 def places(text: str) -> np.ndarray:
