@@ -11,7 +11,8 @@ The index is a constant of the template list (a few hundred entries) and is ship
 documents run in one narrow pass, without a shuffle.
 
 Defined cases: null or empty text matches nothing; repeated rows are reported each; a template met
-twice in a document is reported for each place; an empty table gives no rows.
+twice in a document is reported for each place; of overlapping templates the one with the most
+matched words is reported; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -130,7 +131,12 @@ class Scanner:
                     taken.append((first, end))
                     spans = spans or [m.span() for m in PLAIN.finditer(text.lower())]
                     out.append((self.names[t], len(own), matched, matched / len(own), first, end, spans[first][0], spans[end - 1][1]))
-        return sorted(out, key=lambda x: (x[4], x[0]))
+        # of templates that overlap in the text, the one with the most matched words stands
+        stays: list[tuple] = []
+        for x in sorted(out, key=lambda x: (-x[2], x[0], x[4])):
+            if all(x[5] <= y[4] or y[5] <= x[4] for y in stays):
+                stays.append(x)
+        return sorted(stays, key=lambda x: (x[4], x[0]))
 
 
 ROWS = "doc_id long, license string, template_words int, matched_words int, coverage double, first_word int, end_word int, first_char int, end_char int"
