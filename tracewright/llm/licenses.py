@@ -121,9 +121,10 @@ class Scanner:
             own = self.words[t]
             taken: list[tuple[int, int]] = []
             for shift in sorted({s for s, _ in found}):
-                start = max(0, shift - BAND)
-                region = h[start : shift + len(own) + BAND]
-                matched, first, end = align(own, region, shift - start)
+                band = min(BAND, max(1, len(own) // 2))
+                start = max(0, shift - band)
+                region = h[start : shift + len(own) + band]
+                matched, first, end = align(own, region, shift - start, band)
                 if matched >= coverage * len(own):
                     first, end = first + start, end + start
                     if any(first < e and b < end for b, e in taken):
