@@ -492,11 +492,24 @@ def test_language_model(spark, texts):
 
 
 def test_model_probabilities_sum_to_one():
-    mixer, tables = language_model.Mixer(), np.random.default_rng(0).integers(0, 9, (language_model.ORDERS, language_model.SLOTS, 2)).astype(np.uint16)
+    mixer, tables = language_model.Mixer(), np.random.default_rng(0).normal(size=(language_model.ORDERS, language_model.SLOTS)).astype(np.float32)
     code = (np.uint64(0x6162636465) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     assert abs((10 ** mixer.log10(tables, code)).sum() - 1) < 1e-6
 
 
+def test_words_and_strings_of_the_model():
+    texts = [b"", b" a bb  a\n", b"x" * 9000 + b" " + b"x" * 8999 + b"y", b"ab ba", b"\x0b\x0c"]
+    h, n = language_model.word_values(texts)
+    words = [w for t in texts for w in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert len(set(zip(h.tolist(), words))) == len(set(h.tolist())) == len(set(words))
+    code, sizes = language_model.strings(texts)
+    want = [int.from_bytes((bytes(5) + t + bytes(1))[k : k + 6], "big") for t in texts for k in range(len(t) + 1)]
+    assert code.tolist() == want and sizes.tolist() == [len(t) + 1 for t in texts]
+    keys = np.unique(code)
+    assert (keys[language_model.Lookup(keys)(code)] == code).all()
+
+
 def test_language_model_edges(spark, odd, empty):
     got = rows(language_model.score(odd))
     assert len(got) == 9 and all(np.isfinite(r["score"]) and r["score"] <= 0 for r in got)

@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +45,7 @@ GATES = (ORDERS + 1) * (ORDERS + 1) * 8
 BUCKETS = 33
 RATE = 0.3
 BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 END = b"\x00"
 _48 = np.uint64((1 << 48) - 1)
 
@@ -65,20 +65,38 @@ def held_out(doc_id) -> bool:
 # --- words ---------------------------------------------------------------------------------------
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
-            self[word] = value
-        return value
+_A = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_VALUE = np.where(_SPACE, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
 
 
-_KNOWN = _Hashes()
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def word_values(raw: bytes) -> np.ndarray:
-    words = raw.split()
-    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+_POWERS = _powers(1 << 12, _A)
+_GIANT = _powers(1 << 16, pow(_A, 1 << 12, 1 << 64))
+
+
+def word_values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of all texts, and the number of words of every text."""
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    raw = np.frombuffer(b"".join(x for t in texts for x in (t, b"\n")), dtype=np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    space = _SPACE[raw]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    counts = np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(sizes)]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    head = starts[0]
+    inside = np.arange(head, len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))
+    power = _POWERS[inside & 4095]
+    if len(inside) > 4095 and inside.max() > 4095:
+        power = power * _GIANT[(inside >> 12) & 65535]
+    return mixed(np.add.reduceat(_VALUE[raw[head:]] * power, starts - head)), counts
 
 
 def _by_shard(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,10 +118,9 @@ def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(p for t in texts for p in (pad, t, END)), dtype=np.uint8).astype(np.uint64)
     if not len(raw):
         return np.zeros(0, np.uint64), sizes
-    n = len(raw)
-    code = np.zeros(n - ORDERS, dtype=np.uint64)
-    for k in range(ORDERS + 1):
-        code = (code << np.uint64(8)) | raw[k : n - ORDERS + k]
+    two = (raw[:-1] << np.uint64(8)) | raw[1:]
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    code = (four[:-2] << np.uint64(16)) | two[4:]
     # drop the codes that end inside a padding
     keep = np.ones(len(code), dtype=bool)
     starts = np.cumsum(sizes + ORDERS)[:-1] - ORDERS
@@ -140,8 +157,75 @@ def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[at], np.diff(np.r_[at, len(code)])
 
 
+class Distinct:
+    """Distinct codes with their counts, gathered over slices."""
+
+    LIMIT = 1_500_000
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, code: np.ndarray) -> None:
+        self.parts.append(_distinct(code))
+        if sum(len(c) for c, _ in self.parts[1:]) > len(self.parts[0][0]) + 500_000:
+            self.parts = [self.merged()]
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        code, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        return code[at], np.add.reduceat(n, at) if len(at) else n
+
+    def full(self) -> bool:
+        return sum(len(c) for c, _ in self.parts) > self.LIMIT
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out, self.parts = self.merged(), []
+        return out
+
+
+class Lookup:
+    """Places of codes in a sorted array of distinct codes, by open hashing in rounds."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.rounds = keys, []
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        left, factor = np.arange(len(keys), dtype=np.int32), _A
+        while len(left):
+            slot = self._slot(keys[left], factor)
+            owner = np.full(1 << self.bits, -1, dtype=np.int32)
+            owner[slot] = left
+            self.rounds.append((factor, owner))
+            left = left[owner[slot] != left]
+            factor = (factor * 0xD6E8FEB86659FD93 + 2) % (1 << 64) | 1
+
+    def _slot(self, code: np.ndarray, factor: int) -> np.ndarray:
+        return ((code * np.uint64(factor)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        """Every code must be one of the keys."""
+        out = np.empty(len(code), dtype=np.int32)
+        left = None
+        for factor, owner in self.rounds:
+            c = code if left is None else code[left]
+            at = owner[self._slot(c, factor)]
+            hit = (self.keys[at] == c) & (at >= 0)
+            if left is None:
+                out[:] = at
+                left = np.flatnonzero(~hit)
+            else:
+                out[left[hit]] = at[hit]
+                left = left[~hit]
+            if not len(left):
+                break
+        return out
+
+
 def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.3) / (n0 + 0.3)).astype(np.float32)
+    return np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3)))
 
 
 class Mixer:
@@ -152,19 +236,26 @@ class Mixer:
         self.seen = 0.0
 
     @staticmethod
-    def inputs(tables: np.ndarray, code: np.ndarray, bit: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions and gates; ``without``: the outcomes to leave out of the counts."""
+    def inputs(tables: np.ndarray, code: np.ndarray, bit: int, length: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions and gates.
+
+        ``tables``: counts where ``without`` (the outcomes to leave out of them) is given, else
+        stretched already.  A predictor that leans to neither side counts as not having seen it.
+        """
         x = np.empty((len(code), ORDERS + 1), dtype=np.float32)
         seen = np.zeros(len(code), dtype=np.int64)
         for k in range(ORDERS):
-            pair = tables[k][slots(code, k + 1, bit)].astype(np.float32)
-            n0, n1 = pair[:, 0], pair[:, 1]
-            if without is not None:
-                n0, n1 = np.maximum(n0 - ~without, 0), np.maximum(n1 - without, 0)
-            x[:, k] = _stretch(n0, n1)
-            seen += (n0 + n1) > 0
+            at = slots(code, k + 1, bit)
+            if without is None:
+                own = np.take(tables[k], at)
+            else:
+                pair = np.take(tables[k].view(np.uint32).ravel(), at)
+                n0, n1 = (pair & np.uint32(0xFFFF)).astype(np.float32), (pair >> np.uint32(16)).astype(np.float32)
+                own = _stretch(np.maximum(n0 - ~without, 0), np.maximum(n1 - without, 0))
+            x[:, k] = own
+            seen += own != 0
         x[:, -1] = 1.0
-        return x, (seen * (ORDERS + 1) + word_length(code)) * 8 + bit
+        return x, (seen * (ORDERS + 1) + length) * 8 + bit
 
     def dot(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate].astype(np.float32)), -15, 15).astype(np.float64)
@@ -173,39 +264,41 @@ class Mixer:
     def bucket(s: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(s * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int64)
 
-    def learn(self, tables: np.ndarray, code: np.ndarray, count: np.ndarray, steps: int = 16) -> None:
+    def learn(self, tables: np.ndarray, code: np.ndarray, count: np.ndarray, steps: int = 32) -> None:
         """Online steps over distinct codes, each weighted by how often it stands."""
         for part in range(steps):
             c, n = code[part::steps], count[part::steps].astype(np.float64)
             if not len(c):
                 continue
+            length = word_length(c)
             for bit in range(8):
                 y = ((c >> np.uint64(bit)) & np.uint64(1)).astype(bool)
-                x, gate = self.inputs(tables, c, bit, y)
+                x, gate = self.inputs(tables, c, bit, length, y)
                 s = self.dot(x, gate)
                 error = n * (y - 1 / (1 + np.exp(-s)))
-                at = self.bucket(s)
-                np.add.at(self.refine, (gate, at, 0), n)
-                np.add.at(self.refine, (gate, at, 1), n * y)
+                cell = gate * BUCKETS + self.bucket(s)
+                self.refine[..., 0] += np.bincount(cell, weights=n, minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
+                self.refine[..., 1] += np.bincount(cell, weights=n * y, minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
                 size = np.bincount(gate, weights=n, minlength=GATES)
+                power = np.bincount(gate, weights=n * np.einsum("ij,ij->i", x, x), minlength=GATES)
                 live = size > 0
+                rate = RATE / (size[live] * 0.1 + 0.25 * power[live] / (ORDERS + 1))
                 for k in range(ORDERS + 1):
-                    push = np.bincount(gate, weights=error * x[:, k], minlength=GATES)[live] / size[live]
-                    power = np.bincount(gate, weights=n * x[:, k] * x[:, k], minlength=GATES)[live] / size[live]
-                    self.weights[live, k] += RATE * push / (0.1 + 0.25 * power)
+                    self.weights[live, k] += rate * np.bincount(gate, weights=error * x[:, k], minlength=GATES)[live]
         self.seen += float(count.sum())
 
-    def log10(self, tables: np.ndarray, code: np.ndarray) -> np.ndarray:
+    def log10(self, stretched: np.ndarray, code: np.ndarray) -> np.ndarray:
         """log10 probability of each code's byte after its context."""
-        total = np.zeros(len(code))
+        total, length = np.zeros(len(code)), word_length(code)
+        # the refinement's rate, held to the mixed probability by 20 pseudo-counts
+        weight = self.refine[..., 0] + 20
         for bit in range(8):
             y = ((code >> np.uint64(bit)) & np.uint64(1)).astype(bool)
-            x, gate = self.inputs(tables, code, bit)
+            x, gate = self.inputs(stretched, code, bit, length)
             s = self.dot(x, gate)
             p = 1 / (1 + np.exp(-s))
-            cell = self.refine[gate, self.bucket(s)]
-            # the table's rate, held to the mixed probability by 20 pseudo-counts, then averaged with it
-            p = (p + (cell[:, 1] + 20 * p) / (cell[:, 0] + 20)) / 2
+            at = self.bucket(s)
+            p = (p + (self.refine[gate, at, 1] + 20 * p) / weight[gate, at]) / 2
             total += np.log10(np.clip(np.where(y, p, 1 - p), 1e-9, 1))
         return total
 
@@ -221,12 +314,25 @@ def _first(word_shards: int):
     def go(batches: Iterator[pa.RecordBatch]):
         tables = np.zeros((ORDERS, SLOTS, 2), dtype=np.uint32)
         docs = tokens = 0
-        for ids, texts in byte_slices(batches):
+        held = Distinct()
+
+        def count():
+            code, n = held.take()
+            for k in range(ORDERS):
+                own, back = _distinct_contexts(code, n, k + 1)
+                for bit in range(8):
+                    at = slots(own, k + 1, bit) * 2 + ((own >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)
+                    order = np.argsort(at)
+                    at, weight = at[order], back[order]
+                    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    tables[k].reshape(-1)[at[first]] += np.add.reduceat(weight, first).astype(np.uint32)
+
+        for ids, texts in byte_slices(batches, SLICE_BYTES):
             raw = [t.encode("utf-8", "replace").lower() for d, t in zip(ids, texts) if not held_out(d)]
             if not raw:
                 continue
             docs += len(raw)
-            h, n = np.unique(np.concatenate([word_values(t) for t in raw]), return_counts=True)
+            h, n = np.unique(word_values(raw)[0], return_counts=True)
             tokens += int(n.sum()) + len(raw)
             order, key, bounds = _by_shard(h, word_shards)
             rows = [
@@ -234,16 +340,16 @@ def _first(word_shards: int):
                 for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
                 if a < b
             ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_PART)
-            code, count = _distinct(strings(raw)[0])
-            for k in range(ORDERS):
-                own, back = _distinct_contexts(code, count, k + 1)
-                for bit in range(8):
-                    at = slots(own, k + 1, bit) * 2 + ((own >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)
-                    tables[k].reshape(-1)[:] += np.bincount(at, weights=back, minlength=2 * SLOTS).astype(np.uint32)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_PART)
+            held.add(strings(raw)[0])
+            if held.full():
+                count()
         if docs:
+            count()
             step = SLOTS // RANGES
-            rows = [{"kind": "bits", "shard": k * RANGES + r, "payload": _packed(tables[k, r * step : (r + 1) * step])} for k in range(ORDERS) for r in range(RANGES)]
+            parts = ((k * RANGES + r, tables[k, r * step : (r + 1) * step]) for k in range(ORDERS) for r in range(RANGES))
+            rows = [{"kind": "bits", "shard": s, "payload": _packed(x)} for s, x in parts if x.any()]
             rows.append({"kind": "size", "shard": 0, "payload": np.array([docs, tokens], dtype=np.int64).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=_PART)
 
@@ -307,6 +413,17 @@ class Model:
         self.tables = np.zeros((ORDERS, SLOTS, 2), dtype=np.uint16)
         self.mixer = Mixer()
         self.docs = self.tokens = self.words = 0
+        self._stretched = None
+
+    def stretched(self) -> np.ndarray:
+        """Made once in each worker, in place of the counts."""
+        if self._stretched is None:
+            self._stretched = np.empty((ORDERS, SLOTS), dtype=np.float32)
+            for k in range(ORDERS):
+                pair = self.tables[k].astype(np.float32)
+                self._stretched[k] = _stretch(pair[:, 0], pair[:, 1])
+            self.tables = None
+        return self._stretched
 
 
 def train(docs: DataFrame, word_shards: int) -> tuple[Model, DataFrame]:
@@ -328,11 +445,14 @@ def train(docs: DataFrame, word_shards: int) -> tuple[Model, DataFrame]:
     shared = docs.sparkSession.sparkContext.broadcast(model.tables)
 
     def mix(batches):
-        mixer = Mixer()
-        for ids, texts in byte_slices(batches):
+        mixer, held = Mixer(), Distinct()
+        for ids, texts in byte_slices(batches, SLICE_BYTES):
             raw = [t.encode("utf-8", "replace").lower() for d, t in zip(ids, texts) if not held_out(d)]
             if raw:
-                mixer.learn(shared.value, *_distinct(strings(raw)[0]))
+                held.add(strings(raw)[0])
+            if held.full():
+                mixer.learn(shared.value, *held.take())
+        mixer.learn(shared.value, *held.take())
         if mixer.seen:
             both = np.concatenate([mixer.weights.ravel() * mixer.seen, mixer.refine.ravel(), [mixer.seen]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both)), pa.int32()), pa.array(both)], names=["place", "value"])
@@ -354,7 +474,7 @@ def _ask(shards: int):
     def go(key, table):
         block = key[0].as_py()
         texts = [t.encode("utf-8", "replace").lower() for t in table["text"].to_pylist()]
-        h = np.unique(np.concatenate([word_values(t) for t in texts]))
+        h = np.unique(np.concatenate([word_values(part)[0] for part in _parts(texts)]))
         _, keys, bounds = _by_shard(h, shards)
         rows = [
             {"shard": s, "block": block, "payload": np.ascontiguousarray(keys[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()}
@@ -387,6 +507,18 @@ def _answer(key, asked, counts):
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about ``SLICE_BYTES``."""
+    out, size = [], 0
+    for t in texts:
+        if out and size + len(t) > SLICE_BYTES:
+            yield out
+            out, size = [], 0
+        out.append(t)
+        size += len(t)
+    yield out
+
+
 def _score(shared, shards: int):
     def go(key, docs, answers):
         model: Model = shared.value
@@ -395,23 +527,30 @@ def _score(shared, shards: int):
         if not ids:
             return pa.Table.from_pylist([], schema=_RESULT)
         # words
-        own = [word_values(t) for t in texts]
-        h, back = np.unique(np.concatenate(own), return_inverse=True)
+        values, sizes = (np.concatenate(x) for x in zip(*(word_values(part) for part in _parts(texts))))
+        h, back = np.unique(values, return_inverse=True)
         order, _, bounds = _by_shard(h, shards)
         count = np.zeros(len(h))
         for s, raw in zip(answers["shard"].to_pylist(), answers["payload"]):
             count[order[bounds[s] : bounds[s + 1]]] = _opened(raw.as_py(), np.uint64)
         total = model.tokens + 0.1 * (model.words + (model.docs > 0) + 1)
         logs = lambda c: np.log10((c + 0.1) / total) if total else np.zeros_like(c)
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         per_word, known = logs(count)[back.ravel()], (count > 0)[back.ravel()]
         end_log = float(logs(np.array([float(model.docs)]))[0])
-        # bytes
-        code, sizes = strings(texts)
-        distinct, back = np.unique(code, return_inverse=True)
-        logp = np.concatenate([model.mixer.log10(model.tables, distinct[k : k + 200_000]) for k in range(0, len(distinct), 200_000)])[back.ravel()]
-        begins = np.cumsum(sizes) - sizes
-        score = np.add.reduceat(logp, begins)
+        # bytes: distinct strings of the block first, then the texts a slice at a time
+        held = Distinct()
+        for part in _parts(texts):
+            held.add(strings(part)[0])
+        distinct, _ = held.take()
+        stretched = model.stretched()
+        logp = np.concatenate([model.mixer.log10(stretched, distinct[k : k + 100_000]) for k in range(0, len(distinct), 100_000)])
+        find = Lookup(distinct)
+        sums = []
+        for part in _parts(texts):
+            code, sizes = strings(part)
+            sums.append(np.add.reduceat(logp[find(code)], np.cumsum(sizes) - sizes))
+        score = np.concatenate(sums)
         rows = []
         for k, doc_id in enumerate(ids):
             a, b = int(ends[k]), int(ends[k + 1])
