@@ -18,12 +18,14 @@ repeated rows are kept; an empty table writes no shard and gives no rows.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ BLOCK = 256
 #: Ids in one shard row at most (a longer document alone may exceed it).
 SHARD_IDS = 2_000_000
 PERCENTILE = 98
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 800_000
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -43,7 +45,11 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """ids of whole texts; remembers the ids of pieces between single spaces and line feeds."""
+    """ids of whole texts; remembers the ids of pieces between single spaces and line feeds.
+
+    Pieces are numbered; their ids stand one after another in ``flat``.  A slice of texts is split and
+    numbered in one go, so that only its distinct pieces are looked up.
+    """
 
     def __init__(self, path: str):
         import os
@@ -51,82 +57,141 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        feed = self.whole(["\n"])[0]
-        self.marks: dict[str, bytes] = {}
-        self.feed = feed if len(feed) == 4 else b""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer = self._ready(Tokenizer.from_file(path))
+        # words of letters alone are one pre-token each, so the library need not look for its bounds
+        lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Isolated", "invert": False}
+        letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain = spec.get("pre_tokenizer") or {}
+        self.feed = self._ids("\n") if plain.get("type") == "ByteLevel" and not plain.get("add_prefix_space") and not spec.get("normalizer") else []
+        if len(self.feed) == 1:
+            self.words = self._ready(Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [lines, letters]}, "post_processor": None})))
+            self.marks = {m: ids[0] for m in MARKS if len(ids := self._ids(m)) == 1}
+        self._forget()
+
+    @staticmethod
+    def _ready(tokenizer):
+        tokenizer.encode_special_tokens = True
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, dtype=np.uint32)
+        self.start = np.zeros(1 << 14, dtype=np.int64)
+        self.length = np.zeros(1 << 14, dtype=np.int32)
+        self.used = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
-    def _each(self, words: list[str], before: str) -> list[bytes]:
-        """ids of ``before + word`` for words without white space: one encoding of them all, line by line."""
-        out: list[bytes] = []
+    def _each(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words, and how many each has: one encoding of them, line by line."""
+        ids, sizes = [], []
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join([before + w for w in part]), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0])
-            if len(ends) != len(part) - 1:
-                out += self.whole([before + w for w in part])
-                continue
-            raw, cuts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
-            stops = [*(4 * ends).tolist(), 4 * len(ids)]
-            out += [raw[a:b] for a, b in zip(cuts, stops)]
-        return out
+            own = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(own == self.feed[0])
+            if len(ends) == len(part) - 1:
+                ids.append(np.delete(own, ends))
+                sizes.append(np.diff(np.r_[-1, ends, len(own)]) - 1)
+            else:
+                each = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids += each
+                sizes.append(np.array([len(e) for e in each]))
+        return (np.concatenate(ids), np.concatenate(sizes)) if sizes else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces stand after a space, or with a leading line feed after that; a final mark is a
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces stand after a space, or begin with a line feed; a final mark after letters is a
         pre-token of its own, so words are encoded without it."""
-        known = self.known
-        wanted: dict[str, dict[str, list[tuple[str, str]]]] = {" ": {}, "": {}}
+        lettered: dict[str, int] = {}
+        other: dict[str, int] = {}
+        place, head, mark = [], [], []
+        marks, none = self.marks, -1
         for piece in pieces:
-            head = piece[0] == "\n"
-            word = piece[1:] if head else piece
-            mark = word[-1] if word[-1] in MARKS and word[:-1].isalpha() else ""
-            wanted["" if head else " "].setdefault(word[: len(word) - len(mark)], []).append((piece, mark))
-        for before, words in wanted.items():
-            for ids, (word, uses) in zip(self._each(list(words), before), words.items()):
-                for piece, mark in uses:
-                    known[piece] = (b"" if before else self.feed) + ids + (self._mark(mark) if mark else b"")
-
-    def _mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            self.marks[mark] = self.whole([mark])[0]
-        return self.marks[mark]
+            fed = piece[0] == "\n"
+            core = piece[1:] if fed else piece
+            last = marks.get(core[-1], none)
+            if last >= 0:
+                if (bare := core[:-1]).isalpha():
+                    core, letters = bare, True
+                else:
+                    last, letters = none, False
+            else:
+                letters = core.isalpha()
+            word = core if fed else f" {core}"
+            place.append(lettered.setdefault(word, len(lettered)) if letters else none - other.setdefault(word, len(other)))
+            head.append(fed)
+            mark.append(last)
+        a, b = self._each(self.words, list(lettered)), self._each(self.tokenizer, list(other))
+        ids, size = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]).astype(np.int64)
+        begin = np.cumsum(size) - size
+        stem = np.array(place, dtype=np.int64)
+        stem = np.where(stem < 0, len(lettered) - 1 - stem, stem)
+        fed, last = np.array(head, dtype=bool), np.array(mark, dtype=np.int64)
+        n = size[stem] + fed + (last >= 0)
+        ends = np.cumsum(n)
+        out = np.zeros(int(n.sum()), dtype=np.uint32)
+        inner = np.repeat(ends - n + fed, size[stem]) + _ramps(size[stem])
+        out[inner] = ids[np.repeat(begin[stem], size[stem]) + _ramps(size[stem])]
+        out[(ends - n)[fed]] = self.feed[0]
+        out[(ends - 1)[last >= 0]] = last[last >= 0]
+        first, many = len(self.known), len(pieces)
+        self.flat = _grown(self.flat, self.used + len(out))
+        self.flat[self.used : self.used + len(out)] = out
+        self.start, self.length = _grown(self.start, first + many), _grown(self.length, first + many)
+        self.start[first : first + many], self.length[first : first + many] = self.used + ends - n, n
+        self.used += len(out)
+        self.known.update(zip(pieces, range(first, first + many)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u4 ids of every text."""
         out: list[bytes] = [b""] * len(texts)
         if len(self.known) > _CACHE_PIECES:
-            self.known.clear()
-        known, odd, late = self.known, [], []
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.feed or not _regular(text):
-                odd.append(k)
-                continue
-            # a text is taken as if after a line feed, whose id is then cut off
-            got = list(map(known.get, f"\n{text}".replace("\n", " \n").split(" ")[1:]))
-            if None in got:
-                late.append(k)
-            else:
-                out[k] = b"".join(got)[4:]
-        if late:
-            cut = {k: f"\n{texts[k]}".replace("\n", " \n").split(" ")[1:] for k in late}
-            self._learn({p for pieces in cut.values() for p in pieces if p not in known})
-            for k, pieces in cut.items():
-                out[k] = b"".join(map(known.__getitem__, pieces))[4:]
+            self._forget()
+        regular = [k for k, t in enumerate(texts) if t and len(self.feed) == 1 and _regular(t)]
+        known = set(regular)
+        odd = [k for k, t in enumerate(texts) if t and k not in known]
         for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else ()):
             out[k] = ids
+        if not regular:
+            return out
+        # a text is taken as if after a line feed, whose id is then cut off
+        whole = "".join(f"\n{texts[k]}" for k in regular).replace("\n", " \n")
+        pieces = pc.split_pattern(pa.array([whole], pa.large_string()), " ").flatten().slice(1).dictionary_encode()
+        names = pieces.dictionary.to_pylist()
+        number = list(map(self.known.get, names))
+        if None in number:
+            self._learn([p for p, k in zip(names, number) if k is None])
+            number = list(map(self.known.__getitem__, names))
+        at = np.array(number, dtype=np.int64)[pieces.indices.to_numpy()]
+        size = self.length[at].astype(np.int64)
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start[at], size) + _ramps(size)]
+        last = np.cumsum([texts[k].count(" ") + texts[k].count("\n") + 1 for k in regular]) - 1
+        begin = 0
+        for k, end in zip(regular, ends[last].tolist()):
+            out[k] = flat[begin + 1 : end].tobytes()
+            begin = end
         return out
 
 
+def _ramps(sizes: np.ndarray) -> np.ndarray:
+    """0..n-1 for every n, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
 #: Marks that end a word in running text.
 MARKS = ",.;:!?"
 #: White space other than space and line feed, as Unicode and Python know it.
@@ -247,7 +312,7 @@ def decode_shard(blob: bytes) -> np.ndarray:
 def encoded(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list, list[bytes]]]]:
     def go(batches):
         enc = encoder(vocabulary)
-        for ids, texts in byte_slices(batches, 2 << 20):
+        for ids, texts in byte_slices(batches, 4 << 20):
             yield ids, enc.encode(texts)
 
     return go
