@@ -31,5 +31,25 @@ GROUP BY l.doc_id
 )
 
 
+#: Every 50-byte window of every text, as hexadecimal digits.
+OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+hit AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE least < doc_id),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+      SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit))
+  GROUP BY doc_id, g),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM runs
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), max(n) FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * f + 1 AS BIGINT), CAST(2 * (t - f) AS BIGINT)), '' ORDER BY f) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(CAST(sum(b - a) AS BIGINT), 0) AS n_removed, count(a) AS n_spans, sha256(unhex(any_value(k))) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5}
+    return {"op5_line_dedup": OP5, "op7_suffix_dedup": OP7}
