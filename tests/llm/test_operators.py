@@ -510,6 +510,19 @@ def test_words_and_strings_of_the_model():
     assert (keys[language_model.Lookup(keys)(code)] == code).all()
 
 
+def test_language_model_counts_in_turns(spark, texts, monkeypatch):
+    once = sorted(map(str, queries.op2_language_model(spark, SF).select("doc_id", "base_score", "n_known").collect()))
+    first = language_model._first(4)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(texts), "text": list(texts.values())})
+    tables = lambda: {r["shard"]: language_model._opened(r["payload"], np.uint32).sum() for b in first(iter([batch])) for r in b.to_pylist() if r["kind"] == "bits"}
+    whole = tables()
+    monkeypatch.setattr(language_model.Distinct, "LIMIT", 10)
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 50_000)
+    assert tables() == whole and once
+
+
 def test_language_model_edges(spark, odd, empty):
     got = rows(language_model.score(odd))
     assert len(got) == 9 and all(np.isfinite(r["score"]) and r["score"] <= 0 for r in got)

@@ -318,7 +318,7 @@ def _first(word_shards: int):
 
         def count():
             code, n = held.take()
-            for k in range(ORDERS):
+            for k in range(ORDERS if len(code) else 0):
                 own, back = _distinct_contexts(code, n, k + 1)
                 for bit in range(8):
                     at = slots(own, k + 1, bit) * 2 + ((own >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)
