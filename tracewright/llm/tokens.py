@@ -60,13 +60,13 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = self._ready(Tokenizer.from_file(path))
-        # words of letters alone are one pre-token each, so the library need not look for its bounds
-        lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Isolated", "invert": False}
-        letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        # words of letters alone are one pre-token each: they need no search for bounds, and are given
+        # in the vocabulary's own alphabet for bytes, a line each
+        lines = {"type": "Split", "pattern": {"String": ALPHABET[10]}, "behavior": "Isolated", "invert": False}
         plain = spec.get("pre_tokenizer") or {}
         self.feed = self._ids("\n") if plain.get("type") == "ByteLevel" and not plain.get("add_prefix_space") and not spec.get("normalizer") else []
         if len(self.feed) == 1:
-            self.words = self._ready(Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [lines, letters]}, "post_processor": None})))
+            self.words = self._ready(Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": lines, "post_processor": None, "decoder": None, "added_tokens": []})))
             self.marks = {m: ids[0] for m in MARKS if len(ids := self._ids(m)) == 1}
         self._forget()
 
@@ -96,7 +96,10 @@ class Encoder:
         ids, sizes = [], []
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            own = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            text = "\n".join(part)
+            if tokenizer is self.words:
+                text = text.encode("utf-8").decode("latin-1").translate(ALPHABET)
+            own = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(own == self.feed[0])
             if len(ends) == len(part) - 1:
                 ids.append(np.delete(own, ends))
@@ -165,7 +168,8 @@ class Encoder:
         # a text is taken as if after a line feed, whose id is then cut off
         whole = "".join(f"\n{texts[k]}" for k in regular).replace("\n", " \n")
         pieces = pc.split_pattern(pa.array([whole], pa.large_string()), " ").flatten().slice(1).dictionary_encode()
-        names = pieces.dictionary.to_pylist()
+        # no piece holds a space: the distinct ones come over as one string
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary.cast(pa.string())), " ")[0].as_py().split(" ")
         number = list(map(self.known.get, names))
         if None in number:
             self._learn([p for p, k in zip(names, number) if k is None])
@@ -192,6 +196,14 @@ def _grown(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
+def _alphabet() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b if b in shown else 256 + hidden.index(b)) for b in range(256)}
+
+
+ALPHABET = _alphabet()
 #: Marks that end a word in running text.
 MARKS = ",.;:!?"
 #: White space other than space and line feed, as Unicode and Python know it.
