@@ -7,8 +7,8 @@ smaller doc_id.  Suffixes are compared to that depth only.
    grams (the rightmost of equals).  The choice depends on the window's bytes alone, so equal windows
    choose equal grams at equal places: only windows with a common anchor need to be compared.
    Windows of one document that choose the same gram are neighbours; their bytes are a segment.
-2. Meeting.  Hashes of anchors and whole segments meet by anchor, packed by source block and target
-   shard.  A segment that stands as a whole in a smaller document is settled: all its windows are
+2. Meeting.  Distinct hashes of anchors and whole segments of each block, with the block's smallest
+   doc_id, meet by anchor, packed by source block and target shard.  A segment that stands as a whole in a smaller document is settled: all its windows are
    equal suffixes of one class.  One representative of each other class under a shared anchor sends
    its bytes.
 3. Deep-shallow sorting of the representatives' suffixes: multikey quicksort by 8-byte words to a
@@ -124,10 +124,36 @@ class Anchors:
         seg = h32[low] * np.uint64(0xBF58476D1CE4E5B9) + h32[low + (size - 32) // 2] * np.uint64(0x94D049BB133111EB) + h32[low + size - 32] + size.astype(np.uint64)
         return [(row + first, low - begins[row], high - begins[row], gram[place], mixed(seg))]
 
-    def dealt(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries in the order of their shard, and the bounds of every shard."""
-        shard = (self.anchor % np.uint64(shards)).astype(np.int64)
-        return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+    def classes(self, ids: np.ndarray, shards: int) -> Classes:
+        return Classes(self, ids, shards)
+
+
+class Classes:
+    """Distinct (anchor, segment) pairs of a block, in order of their shard and then of their place.
+
+    Only these meet those of other blocks, so a passage that most documents share counts once for each
+    block.  The first entry of a class has its smallest doc_id in the block; entries with a larger
+    one are settled here already.
+    """
+
+    def __init__(self, a: Anchors, ids: np.ndarray, shards: int):
+        n = len(a.anchor)
+        order = np.lexsort((a.segment, a.anchor))
+        x, y = a.anchor[order], a.segment[order]
+        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])] if n else np.zeros(0, bool)
+        first = order[new]
+        shard = (a.anchor[first] % np.uint64(shards)).astype(np.int64)
+        turn = np.lexsort((first, shard))
+        #: first entry of every class, and the bounds of each shard in this order
+        self.first = first[turn]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+        place = np.empty(len(turn), dtype=np.int64)
+        place[turn] = np.arange(len(turn))
+        #: the class of every entry, and whether it shares the smallest doc_id
+        self.of = np.empty(n, dtype=np.int64)
+        self.of[order] = place[np.cumsum(new) - 1] if n else order
+        own = ids[a.row]
+        self.least = own == own[self.first][self.of] if n else np.zeros(0, bool)
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -264,12 +290,12 @@ def _first_pass(shards: int):
         block = key[0].as_py()
         _, ids, texts = _block_docs(table)
         a = Anchors(texts)
-        order, bounds = a.dealt(shards)
+        c = a.classes(ids, shards)
         rows = []
-        for s in np.flatnonzero(np.diff(bounds)).tolist():
-            at = order[bounds[s] : bounds[s + 1]]
+        for s in np.flatnonzero(np.diff(c.bounds)).tolist():
+            at = c.first[c.bounds[s] : c.bounds[s + 1]]
             docs, index = np.unique(a.row[at], return_inverse=True)
-            step = np.diff(index, prepend=0)
+            step = np.diff(index.ravel(), prepend=0)
             payload = b"".join(
                 [struct.pack("<II", len(at), len(docs)), ids[docs].astype("<i8").tobytes(), step.astype("<u1").tobytes(), _six(a.anchor[at]), _six(a.segment[at])]
             )
@@ -329,13 +355,14 @@ def _send(shards: int):
             block = docs["block"][0].as_py()
             _, ids, texts = _block_docs(docs)
             a = Anchors(texts)
-            order, bounds = a.dealt(shards)
+            c = a.classes(ids, shards)
             for s, raw in zip(marks["shard"].to_pylist(), marks["payload"].to_pylist()):
-                at = order[bounds[s] : bounds[s + 1]]
-                at = at[_codes(raw, len(at))[1]]
+                classes = np.arange(c.bounds[s], c.bounds[s + 1])
+                classes = classes[_codes(raw, len(classes))[1]]
+                at = c.first[classes]
                 if len(at):
                     body = b"".join(texts[r][x : y + LENGTH] for r, x, y in zip(a.row[at].tolist(), a.low[at].tolist(), a.high[at].tolist()))
-                    payload = b"".join([struct.pack("<I", len(at)), at.astype("<u4").tobytes(), ids[a.row[at]].astype("<i8").tobytes(), (a.high[at] - a.low[at] + 1).astype("<u1").tobytes(), body])
+                    payload = b"".join([struct.pack("<I", len(at)), classes.astype("<u4").tobytes(), ids[a.row[at]].astype("<i8").tobytes(), (a.high[at] - a.low[at] + 1).astype("<u1").tobytes(), body])
                     rows.append({"shard": s, "block": block, "payload": payload})
         return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())]))
 
@@ -380,28 +407,30 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _finish(shards: int, with_bytes: bool):
     def go(key, docs, marks):
-        given, _, texts = _block_docs(docs)
+        given, ids, texts = _block_docs(docs)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         base = np.cumsum(sizes) - sizes
         change = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
-        if marks.num_rows:
-            a = Anchors(texts)
-            order, bounds = a.dealt(shards)
-            at_byte = base[a.row] if len(a.row) else a.row
-            for kind, s, raw in zip(marks["kind"].to_pylist(), marks["shard"].to_pylist(), marks["payload"].to_pylist()):
-                if kind == 1:
-                    at = order[bounds[s] : bounds[s + 1]]
-                    at = at[_codes(raw, len(at))[0]]
-                    start, end = at_byte[at] + a.low[at], at_byte[at] + a.high[at] + LENGTH
-                else:
-                    both = np.frombuffer(raw, "<u4").reshape(2, -1)
-                    bits = (both[1][:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
-                    k, w = np.nonzero(bits)
-                    at = both[0][k].astype(np.int64)
-                    start = at_byte[at] + a.low[at] + w
-                    end = start + LENGTH
-                np.add.at(change, start, 1)
-                np.add.at(change, end, -1)
+        a = Anchors(texts)
+        c = a.classes(ids, shards)
+        settled, mask = np.zeros(len(c.first), dtype=bool), np.zeros(len(c.first), dtype=np.uint32)
+        for kind, s, raw in zip(marks["kind"].to_pylist(), marks["shard"].to_pylist(), marks["payload"].to_pylist()):
+            if kind == 1:
+                settled[c.bounds[s] : c.bounds[s + 1]] = _codes(raw, int(c.bounds[s + 1] - c.bounds[s]))[0]
+            else:
+                both = np.frombuffer(raw, "<u4").reshape(2, -1)
+                mask[both[0]] = both[1]
+        if len(a.row):
+            at_byte = base[a.row]
+            at = np.flatnonzero(~c.least | settled[c.of])
+            np.add.at(change, at_byte[at] + a.low[at], 1)
+            np.add.at(change, at_byte[at] + a.high[at] + LENGTH, -1)
+            part = np.flatnonzero(c.least & ~settled[c.of] & (mask[c.of] > 0))
+            bits = (mask[c.of[part]][:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+            k, w = np.nonzero(bits)
+            start = at_byte[part[k]] + a.low[part[k]] + w
+            np.add.at(change, start, 1)
+            np.add.at(change, start + LENGTH, -1)
         gone = np.cumsum(change[:-1]) > 0
         out: list[list] = [[], [], [], []]
         for doc_id, text, at in zip(given, texts, base.tolist()):
