@@ -279,16 +279,16 @@ def encode_shard(ids: np.ndarray, percentile: float = PERCENTILE, block: int = B
     start = np.zeros(blocks, dtype=np.int64)
     if blocks:
         start[1:] = np.cumsum(size)[:-1]
-    packed = np.zeros(int(size.sum()), dtype=np.uint8)
+    packed = np.zeros(int(size.sum()) // 8, dtype=np.uint64)
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
         low_bits = diff[at] & np.uint32((1 << int(w)) - 1 if w < 32 else 0xFFFFFFFF)
-        words = _pack(low_bits.reshape(-1, 64), int(w)).reshape(len(at), -1).view(np.uint8)
-        packed[(start[at][:, None] + np.arange(words.shape[1])[None, :]).ravel()] = words.ravel()
+        words = _pack(low_bits.reshape(-1, 64), int(w)).reshape(len(at), -1)
+        packed[start[at][:, None] // 8 + np.arange(words.shape[1])[None, :]] = words
     r, c = np.nonzero(big)
     head = struct.pack("<4sQII", b"TWPF", n, block, blocks)
     parts = [low.astype("<u4"), width.astype("<u1"), big.sum(axis=1).astype("<u2"), start.astype("<u8")]
-    return b"".join([head, *(x.tobytes() for x in parts), packed.tobytes(), c.astype("<u2").tobytes(), diff[r, c].astype("<u4").tobytes()])
+    return b"".join([head, *(x.tobytes() for x in parts), packed.astype("<u8", copy=False).tobytes(), c.astype("<u2").tobytes(), diff[r, c].astype("<u4").tobytes()])
 
 
 def decode_shard(blob: bytes) -> np.ndarray:
@@ -305,12 +305,11 @@ def decode_shard(blob: bytes) -> np.ndarray:
 
     low, width, odd, start = take("<u4", blocks), take("<u1", blocks), take("<u2", blocks), take("<u8", blocks).astype(np.int64)
     per = block // 64
-    packed = take("<u1", int((width.astype(np.int64) * per * 8).sum()))
+    packed = take("<u8", int((width.astype(np.int64) * per).sum()))
     diff = np.empty((blocks, block), dtype=np.uint32)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        size = int(w) * per * 8
-        words = packed[(start[rows][:, None] + np.arange(size)[None, :])].view("<u8")
+        words = packed[start[rows][:, None] // 8 + np.arange(int(w) * per)[None, :]]
         diff[rows] = _unpack(words, int(w)).reshape(len(rows), block)
     total = int(odd.sum())
     column, value = take("<u2", total), take("<u4", total)
