@@ -35,7 +35,7 @@ BLOCK = 256
 #: Ids in one shard row at most (a longer document alone may exceed it).
 SHARD_IDS = 2_000_000
 PERCENTILE = 98
-_CACHE_PIECES = 800_000
+_CACHE_PIECES = 650_000
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -323,7 +323,7 @@ def decode_shard(blob: bytes) -> np.ndarray:
 def encoded(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list, list[bytes]]]]:
     def go(batches):
         enc = encoder(vocabulary)
-        for ids, texts in byte_slices(batches, 6 << 20):
+        for ids, texts in byte_slices(batches, 3 << 20):
             yield ids, enc.encode(texts)
 
     return go
