@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontamination, line_dedup, packing, quality, simhash
+from tracewright.llm import decontamination, jaccard, line_dedup, packing, quality
 from tracewright.llm.common import ensure_checkpoint_dir
 
 
@@ -31,10 +31,11 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
 
-    A repeated doc_id keeps all its rows only if their texts are not copies: rows are told apart by
-    (doc_id, fingerprint) and exact repeats of a row fall together.
+    Documents are linked at a Jaccard similarity of 0.8 or more between their five-word-shingle sets.
+    A repeated doc_id keeps all its rows only if their texts are not near-duplicates; exact repeats of
+    a row fall together.
     """
-    return simhash.keep_first(docs, width=5, budget=4)
+    return jaccard.keep_first(docs, width=5)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
