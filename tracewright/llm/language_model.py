@@ -1,7 +1,7 @@
 """Language-model scores by logistic context mixing over hashed byte contexts, with a word-unigram base.
 
 Model.  A text is its lower-cased bytes and an end byte 0.  Each byte is eight binary decisions.
-Five predictors (the word so far, and the last 2..5 bytes, hashed with the decision's place into
+Five predictors (the word so far, of which at most the last five bytes, and the last 2..5 bytes, hashed with the decision's place into
 tables of 2^21 slots) give counts of zeros and ones; their stretched probabilities are mixed by weights that a
 gate chooses (how many predictors have seen the context, the length of the word so far, and which
 bit it is); the mixed
@@ -11,7 +11,7 @@ log10 probabilities over all bits of the text.
 Learning.  One pass over the training documents counts every (context, decision) and every word; the
 counts are summed by slot range and word shard, so what is gathered grows with the corpus while the
 tables stay of fixed size (the broadcast bound: ``ORDERS`` x ``SLOTS`` x 4 bytes).  A second pass
-trains mixing weights online in each partition, from counts without the decision at hand, and the
+trains mixing weights by batch steps in each partition, from counts without the decision at hand, and the
 partitions' weights are averaged; the refinement table is summed.
 
 Work per byte is small because all decisions of a six-byte string are the same wherever it stands:
