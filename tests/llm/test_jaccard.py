@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import SF, empty, odd, rows  # noqa: F401
-from tracewright.llm import jaccard
+from tracewright.llm import jaccard, simhash
 
 
 def brute_kept(docs):
@@ -69,17 +69,26 @@ def test_near_duplicates_over_a_whole_table(spark):
     t = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     want, n_pairs = brute_kept(dict(zip(t["doc_id"], t["text"])))
     assert n_pairs > 0
-    got = rows(jaccard.keep_first(spark.read.parquet(f"{SF}/documents.parquet")))
+    got = rows(simhash.keep_first(spark.read.parquet(f"{SF}/documents.parquet")))
     assert sorted(r["doc_id"] for r in got) == sorted(want)
 
 
 def test_edges(spark, odd, empty):  # noqa: F811
-    kept = rows(jaccard.keep_first(odd))
+    kept = rows(simhash.keep_first(odd))
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "4", "6", "7", "None"]
-    assert jaccard.keep_first(odd).columns == odd.columns
-    assert rows(jaccard.keep_first(empty)) == []
+    assert simhash.keep_first(odd).columns == odd.columns
+    null_ids = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "other words that stand here alone"), (5, None), (3, "")], "doc_id long, text string")
+    assert sorted(map(str, (r["doc_id"] for r in rows(simhash.keep_first(null_ids))))) == ["3", "None", "None"]
+    assert rows(simhash.keep_first(empty)) == []
 
 
 def test_prefix_size():
     for n in range(200):
         assert jaccard.prefix_size(n) == (n - -(-8 * n // 10) + 1 if n else 0)
+
+
+def test_rows_beyond_the_broadcast_bound(spark, copies, monkeypatch):
+    want, _ = brute_kept(copies)
+    df = spark.createDataFrame(list(copies.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "KEYS", 0)
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_first(df))) == sorted(want)

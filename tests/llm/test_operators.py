@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracewright.llm import line_dedup, packing, quality, queries, simhash, tokens
 
@@ -36,7 +37,11 @@ def odd(spark):
         (6, "word " * 60_000, "x", 6),
         (7, "é ü 漢字 \U0001f600 <|endoftext|> x y", "x", 7),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, fp int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, fp int")
+    # names that the operators would like to use themselves
+    for name in ("_q_text", "_Q_n_words", "_l_n_lines", "_l_row", "_s_tie", "_s_same_id", "tie", "sig", "key", "block", "length"):
+        df = df.withColumn(name, F.lit(name))
+    return df
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +79,50 @@ def test_quality_measures(spark, texts):
         assert r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
 
 
+def brute_em(patterns, rounds):
+    """The same model as plain sums over documents: share of good ones, and chances of the votes -1, 0, 1 per rule."""
+    n_rules = len(patterns[0][0])
+    share = [0.9 if sum(v) > 0 else 0.1 if sum(v) < 0 else 0.5 for v, _ in patterns]
+    for turn in range(rounds + 1):
+        if turn:
+            odds = [np.log(good / (1 - good)) + sum(np.log(a[v + 1] / b[v + 1]) for v, a, b in zip(votes, on_good, on_bad)) for votes, _ in patterns]
+            share = [1 / (1 + np.exp(-x)) for x in odds]
+        total = sum(n for _, n in patterns)
+        good = (sum(n * s for (_, n), s in zip(patterns, share)) + 1) / (total + 2)
+        on_good, on_bad = [], []
+        for j in range(n_rules):
+            a = np.array([x + sum(n * s for (v, n), s in zip(patterns, share) if v[j] == vote) for vote, x in ((-1, 0.5), (0, 2.0), (1, 2.0))])
+            b = np.array([x + sum(n * (1 - s) for (v, n), s in zip(patterns, share) if v[j] == vote) for vote, x in ((-1, 2.0), (0, 2.0), (1, 0.5))])
+            a, b = a / a.sum(), b / b.sum()
+            for vote, worse in ((0, a[0] > b[0]), (2, b[2] > a[2])):
+                if worse:
+                    a[vote] = b[vote] = (a[vote] + b[vote]) / 2
+            on_good.append(a / a.sum())
+            on_bad.append(b / b.sum())
+    return good, on_good, on_bad
+
+
+def test_quality_posteriors_against_sums_over_documents(spark):
+    got = rows(queries.op3_quality(spark, SF))
+    patterns = sorted(Counter(tuple(r[k] for k in quality.RULES) for r in got).items())
+    good, on_good, on_bad = brute_em(patterns, quality.ITERATIONS)
+    for r in got:
+        odds = np.log(good / (1 - good)) + sum(np.log(a[r[k] + 1] / b[r[k] + 1]) for k, a, b in zip(quality.RULES, on_good, on_bad))
+        assert abs(r["posterior"] - 1 / (1 + np.exp(-odds))) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.35])
+def test_quality_em_finds_that_most_are_bad(share):
+    rng = np.random.default_rng(6)
+    acc = np.linspace(0.75, 0.95, len(quality.RULES))
+    pats = Counter()
+    for _ in range(20_000):
+        y = 1 if rng.random() < share else -1
+        pats[tuple(int(v) for v in np.where(rng.random(len(acc)) < 0.3, 0, np.where(rng.random(len(acc)) < acc, y, -y)))] += 1
+    assert abs(quality.maximise(list(pats.items())).good - share) < 0.03
+
+
 def test_quality_agrees_with_labels(spark):
     labels = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pydict()
     good = dict(zip(labels["doc_id"], labels["quality"]))
@@ -115,71 +164,128 @@ def test_quality_edges(spark, odd, empty):
 # --- line dedup ------------------------------------------------------------------------------
 
 
-def brute_lines(texts, least):
+def brute_lines(docs, least):
+    """docs: (doc_id, text) rows; a null id is a document of its own."""
     key = lambda line: line.encode().strip(WS).lower()
     held = defaultdict(set)
-    for row, t in enumerate(texts):
+    for row, (d, t) in enumerate(docs):
         for line in (t or "").split("\n"):
-            held[key(line)].add(row)
+            held[key(line)].add(("row", row) if d is None else d)
     out = []
-    for t in texts:
+    for d, t in docs:
         lines = (t or "").split("\n")
         stay = [x for x in lines if not key(x) or len(held[key(x)]) < least]
-        out.append((len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+        out.append((d, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
     return out
 
 
+def digest_rows(df):
+    n, gone = df.columns[-2:]
+    return sorted(((r["doc_id"], r[n], r[gone], hashlib.sha256(r["text"].encode()).hexdigest()) for r in df.collect()), key=str)
+
+
 def test_line_dedup(spark, texts):
-    want = dict(zip(texts, brute_lines(list(texts.values()), 10)))
-    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows(queries.op5_line_dedup(spark, SF))}
-    assert got == want
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows(queries.op5_line_dedup(spark, SF))]
+    assert sorted(got) == sorted(brute_lines(list(texts.items()), 10))
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    docs = [(1, f"again\nown {k}") for k in range(10)] + [(k, "shared\nx") for k in range(2, 12)] + [(None, "lone\ny") for _ in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert digest_rows(line_dedup.dedup(df, 10)) == sorted(brute_lines(docs, 10), key=str)
 
 
 def test_line_dedup_beyond_the_broadcast_bound(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    state = line_dedup.cut(line_dedup.insert(None, docs))
-    near = line_dedup.clean(docs, state, 3)
-    far = line_dedup.clean(docs, state, 3, broadcast_bytes=0)
+    state = line_dedup.insert(line_dedup.LineState.empty(spark, 3), docs).cut()
+    near, far = line_dedup.clean(docs, state), line_dedup.clean(docs, state, broadcast_bytes=0)
     assert near.columns == far.columns
-    assert sorted(map(str, near.collect())) == sorted(map(str, far.collect()))
+    assert digest_rows(near) == digest_rows(far) == sorted(brute_lines(list(texts.items()), 3), key=str)
 
 
-def test_line_state_is_reversible(spark):
+def filter_content(state):
+    """Fingerprints with their pair of buckets, by shard."""
+    out = Counter()
+    for r in state.filters.collect():
+        f = line_dedup.CuckooFilter.load(bytes(r["filter"]))
+        for bucket, slot in zip(*np.nonzero(f.table)):
+            print_ = f.table[bucket, slot]
+            out[r["shard"], f.buckets, int(print_), min(int(bucket), int(f._other(bucket, print_)))] += 1
+    return out
+
+
+def test_line_state_is_reversible(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     some, more = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")
-    first = line_dedup.cut(line_dedup.insert(None, some))
-    both = line_dedup.cut(line_dedup.insert(first, more))
-    whole = line_dedup.line_counts(docs)
+    as_set = lambda x: {(bytes(r["key"]), r["n_docs"]) for r in x.counts.collect()}
+    first = line_dedup.insert(line_dedup.LineState.empty(spark, 2), some)
+    first.save(str(tmp_path / "state"))
+    both = line_dedup.insert(line_dedup.LineState.load(spark, str(tmp_path / "state"), 2), more)
+    whole = line_dedup.insert(line_dedup.LineState.empty(spark, 2), docs)
     back = line_dedup.delete(both, more)
-    as_set = lambda df: {(bytes(r["key"]), r["n_docs"]) for r in df.collect()}
-    assert as_set(both) == as_set(whole)
-    assert as_set(back) == as_set(first)
+    assert as_set(both) == as_set(whole) and as_set(back) == as_set(first) and as_set(first) != as_set(whole)
+    for state in (first, both, whole, back):
+        keys = [bytes(r["key"]) for r in state.frequent().collect()]
+        shipped = line_dedup.ShardedFilter([(r["shard"], bytes(r["filter"])) for r in state.filters.collect()])
+        assert keys and shipped.contains(keys).all()
+        assert sum(f.count for f in shipped.shards.values()) == len(keys)
+    # fingerprints are those of a rebuild, wherever kicks have put them
+    prints = lambda state: Counter((s, p) for (s, _, p, _), n in filter_content(state).items() for _ in range(n))
+    assert prints(back) == prints(first) and prints(both) == prints(whole)
+    sizes = lambda state: {(k[0], k[1]) for k in filter_content(state)}
+    same = sizes(back) & sizes(first)
+    pick = lambda state: Counter({k: n for k, n in filter_content(state).items() if (k[0], k[1]) in same})
+    assert same and pick(back) == pick(first)
+
+
+def test_full_shards_are_built_anew(spark):
+    make = lambda a, b: spark.createDataFrame([(d, f"line {k}") for d in (0, 1) for k in range(a, b)], "x long, text string").selectExpr("monotonically_increasing_id() doc_id", "text")
+    state = line_dedup.insert(line_dedup.LineState.empty(spark, 2), make(0, 700))
+    more = line_dedup.insert(state, make(700, 9000))
+    shipped = line_dedup.ShardedFilter([(r["shard"], bytes(r["filter"])) for r in more.filters.collect()])
+    keys = [bytes(r["key"]) for r in more.frequent().collect()]
+    assert len(keys) == 9000 and shipped.contains(keys).all() and sum(f.count for f in shipped.shards.values()) == 9000
+    gone = line_dedup.delete(more, make(0, 9000))
+    assert gone.counts.isEmpty() and not filter_content(gone)
 
 
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 5000, dtype=np.uint64)
-    f = line_dedup.ShardedFilter(keys)
-    assert f.contains(keys).all()
+    f = line_dedup.CuckooFilter.of(keys.tolist())
+    assert f.count == 5000 and f.contains(keys).all()
     others = rng.integers(0, 2**63, 50_000, dtype=np.uint64)
     assert f.contains(others).mean() < 0.01
-    for k in keys[:2500].tolist():
-        assert f.delete(k)
-    assert f.contains(keys[2500:]).all()
+    assert f.updated(keys[:2500].tolist(), []) is f
+    assert f.count == 2500 and f.contains(keys[2500:]).all()
     assert f.contains(keys[:2500]).mean() < 0.02
-    for k in keys[:2500].tolist():
-        f.insert(k)
-    assert f.contains(keys).all()
+    with pytest.raises(KeyError):
+        line_dedup.CuckooFilter(16).updated([1], [])
+    assert f.updated([], keys[:2500].tolist()) is f
+    g = line_dedup.CuckooFilter.load(f.dump())
+    assert g.contains(keys).all() and (g.contains(others) == f.contains(others)).all()
+    assert f.updated(keys.tolist(), []).count == 0
+    assert line_dedup.CuckooFilter(16).updated([], keys.tolist()) is None
+
+
+def test_a_full_cuckoo_filter_stays_as_it_was():
+    f = line_dedup.CuckooFilter(4)
+    rng = np.random.default_rng(2)
+    held = []
+    for key in rng.integers(0, 2**63, 200, dtype=np.uint64).tolist():
+        if f.insert(key):
+            held.append(key)
+        else:
+            assert f.contains(np.array(held, dtype=np.uint64)).all() and f.count == len(held)
+    assert len(held) < 200
 
 
 def test_line_edges(spark, odd, empty):
-    got = rows(line_dedup.dedup(odd, min_docs=3))
-    assert len(got) == 9
-    for r in got:
-        if r["doc_id"] in (4, 5):
-            assert (r["_l_n_lines"], r["_l_n_dropped"], r["text"]) == (1, 1, "")
-        if r["doc_id"] in (1, 2):
-            assert (r["_l_n_lines"], r["_l_n_dropped"], r["text"]) == (1, 0, "")
+    docs = [(r["doc_id"], r["text"]) for r in rows(odd)]
+    for least in (2, 3):
+        out = line_dedup.dedup(odd, min_docs=least)
+        assert out.columns[:-2] == odd.columns
+        assert digest_rows(out) == sorted(brute_lines(docs, least), key=str)
     assert rows(line_dedup.dedup(empty)) == []
 
 
@@ -269,52 +375,79 @@ def test_packing(spark, texts):
         for r in own:
             assert r["ids_crc32"] == zlib.crc32(raw[4 * r["start"] : 4 * (r["start"] + r["length"])])
     bins = check_packing(got, 1024)
-    assert len(bins) <= -(-sum(r["length"] for r in got) // 1024) * 1.02 + 1
+    want = best_fit_one_by_one([r["length"] for r in got], packing.Capacity())
+    assert sorted(sorted((n for _, n in own), reverse=True) for own in bins.values()) == sorted(sorted(own, reverse=True) for own in want)
 
 
 def best_fit_one_by_one(lengths, cap):
-    room = []
+    """Vector best-fit by its definition: pieces one after another, every open sequence looked at."""
+    size, weight = np.array([cap.tokens, cap.documents, cap.cost], float), np.array(cap.weights)
+    left, bins = np.zeros((len(lengths), 3)), []
     for n in sorted(lengths, reverse=True):
-        fits = [k for k, r in enumerate(room) if r >= n]
-        k = min(fits, key=lambda k: room[k]) if fits else None
-        if k is None:
-            room.append(cap)
-            k = len(room) - 1
-        room[k] -= n
-    return len(room)
+        need = np.array([n, 1, n * n], float)
+        best = None
+        own = left[: len(bins)]
+        for k in np.flatnonzero((own >= need).all(axis=1)).tolist():
+            after = (own[k] - need) / size
+            score = float((after**2 * weight).sum()) if cap.rule == "norm" else -float((own[k] / size * (need / size) * weight).sum())
+            mark = (round(score, 12), own[k][1], own[k][2], own[k][0], k)
+            best = mark if best is None else min(best, mark)
+        if best is None:
+            left[len(bins)] = size
+            bins.append([])
+            k = len(bins) - 1
+        else:
+            k = best[-1]
+        left[k] -= need
+        bins[k].append(n)
+    return bins
 
 
-@pytest.mark.parametrize("rule", ["norm", "dot"])
-def test_plan_respects_every_capacity(rule):
-    rng = np.random.default_rng(3)
-    lengths = rng.integers(1, 100, 3000).tolist()
-    cap = packing.Capacity(tokens=100, documents=6, cost=4000 if rule == "dot" else 10_000, weights=(1, 1, 1), rule=rule)
-    lengths = [n for n in lengths if n * n <= cap.cost]
-    steps = packing.plan(dict(Counter(lengths)), cap)
-    bins = defaultdict(list)
-    for n, a, b, first, offset in steps.tolist():
-        for k in range(b - a):
-            bins[first + k].append((offset, n))
-    placed = Counter(n for own in bins.values() for _, n in own)
-    assert placed == Counter(lengths)
-    for own in bins.values():
+def bins_of(steps):
+    found = defaultdict(list)
+    for n, a, b, first, offset, each in steps.tolist():
+        for r in range(b - a):
+            found[first + r // each].append((offset + r % each * n, n))
+    out = []
+    for _, own in sorted(found.items()):
         at = 0
         for offset, n in sorted(own):
             assert offset == at
             at += n
-        assert at <= 100 and len(own) <= 6 and sum(n * n for _, n in own) <= cap.cost
+        out.append([n for _, n in sorted(own)])
+    return out
 
 
-def test_plan_is_best_fit_decreasing():
-    rng = np.random.default_rng(4)
-    lengths = rng.integers(1, 1025, 4000).tolist()
-    steps = packing.plan(dict(Counter(lengths)), packing.Capacity())
-    made = int((steps[:, 3] + steps[:, 2] - steps[:, 1]).max())
-    assert made <= best_fit_one_by_one(lengths, 1024) * 1.002
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("documents", [100, 6])
+@pytest.mark.parametrize("weights", [(1, 0.05, 0.05), (1, 1, 1), (1, 0, 0)])
+def test_plan_is_vector_best_fit_bin_by_bin(rule, documents, weights):
+    rng = np.random.default_rng(3)
+    lengths = np.r_[rng.integers(1, 101, 250), rng.integers(1, 12, 250)].tolist()
+    cap = packing.Capacity(tokens=100, documents=documents, cost=10_000, weights=weights, rule=rule)
+    got = bins_of(packing.plan(dict(Counter(lengths)), cap))
+    assert got == best_fit_one_by_one(lengths, cap)
+    assert all(sum(own) <= 100 and len(own) <= documents for own in got)
+
+
+def test_a_binding_cost_is_kept():
+    cap = packing.Capacity(tokens=100, documents=100, cost=10_000, weights=(1, 1, 1), rule="dot")
+    # by tokens alone 50 + 50 would fit twice as tightly as the cost of a longer piece allows
+    got = bins_of(packing.plan({80: 5, 20: 40, 1: 7}, cap))
+    assert all(sum(n * n for n in own) <= cap.cost for own in got)
+
+
+def test_weights_decide_between_equal_tokens():
+    # 6 + 2 + 2 and 10: both leave 4 of 14; the one with fewer documents left is fuller
+    by = lambda w: bins_of(packing.plan({10: 1, 6: 1, 2: 2, 4: 1}, packing.Capacity(tokens=14, documents=3, cost=196, weights=w)))
+    assert by((1, 0, 0)) == best_fit_one_by_one([10, 6, 2, 2, 4], packing.Capacity(tokens=14, documents=3, cost=196, weights=(1, 0, 0)))
+    with pytest.raises(ValueError):
+        packing.Capacity(tokens=1024, cost=10)
 
 
 def test_packing_edges(spark, odd, empty):
     got = rows(packing.pack_documents(odd))
+    assert sum(r["length"] for r in got) == sum(map(len, library_ids([r["text"] for r in rows(odd)], 2)))
     check_packing(got, 1024)
     assert {r["length"] for r in got if r["doc_id"] in (1, 2)} == {1}
     assert rows(packing.pack_documents(empty)) == []
@@ -459,15 +592,47 @@ def test_very_long_text_is_cut_into_pieces_without_loss(monkeypatch):
     assert by_window(cut) == by_window(whole)
 
 
-def test_suffix_classes_follow_byte_order():
+@pytest.mark.parametrize("groups", [1, 7, 1000])
+def test_suffix_sort_follows_byte_order(groups):
     rng = np.random.default_rng(8)
     m = rng.integers(97, 99, (3000, 50), dtype=np.uint8)
     m[:, :40] = 97
     m[::3] = m[0]
-    ranks = suffix_dedup.suffix_classes(m)
-    strings = [r.tobytes() for r in m]
-    want = {s: k for k, s in enumerate(sorted(set(strings)))}
-    assert ranks.tolist() == [want[s] for s in strings]
+    m[1::9, :20] = rng.integers(97, 100, (len(m[1::9]), 20))
+    group = rng.integers(0, groups, 3000)
+    order, new = suffix_dedup.suffix_sort(m.ravel(), np.arange(3000) * 50, group)
+    name = [(int(g), r.tobytes()) for g, r in zip(group, m)]
+    assert sorted(order.tolist()) == list(range(3000))
+    assert [name[k] for k in order] == sorted(name)
+    assert new.tolist() == [True, *(name[a] != name[b] for a, b in zip(order, order[1:]))]
+
+
+def test_anchors_of_many_classes_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = word(70)
+    docs = [(d, word(60) + passage[: int(rng.integers(40, 70))] + word(60)) for d in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = sorted(brute_repeats(docs))
+    assert sum(r[2] for r in want) > 1000
+    for most in (2000, 3):
+        # the bound is read on the workers, which are forked from this process's session
+        monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", most)
+        codes = suffix_dedup._settle(np.array([1, 1, 1, 1, 2], np.uint64), np.arange(5, dtype=np.uint64), np.arange(5, dtype=np.uint64))[0][0]
+        assert codes.tolist() == [suffix_dedup.SEND if most > 4 else suffix_dedup.SEND_DEALT] * 4 + [suffix_dedup.NONE]
+    monkeypatch.setattr(suffix_dedup, "MEETING", suffix_dedup.Meeting(np.minimum, dealt_settle, suffix_dedup._give, 1))
+    assert sorted(tuple(r)[:5] for r in suffix_dedup.remove_repeats(df).collect()) == want
+
+
+def test_repeats_across_a_tree_of_blocks(spark, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "Tree", lambda blocks: exchange.Tree(20, 2))
+    got = [tuple(r)[:5] for r in queries.op7_suffix_dedup(spark, SF).collect()]
+    assert sorted(got) == sorted(brute_repeats(texts.items()))
+
+
+def dealt_settle(anchor, segment, doc):
+    codes, facts = suffix_dedup._settle(anchor, segment, doc)
+    return [np.where(codes[0] == suffix_dedup.SEND, np.uint64(suffix_dedup.SEND_DEALT), codes[0])], facts
 
 
 # --- language model ----------------------------------------------------------------------------
@@ -486,20 +651,107 @@ def test_language_model(spark, texts):
         want = sum(np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[d], len(own), sum(count[w] > 0 for w in own), n)
         assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want))
-    held = [r for r in got.values() if r["held_out"]]
-    # half a megabyte of training text; with 24 MB the model is ahead of the word base
-    assert sum(r["score"] for r in held) > 1.1 * sum(r["base_score"] for r in held)
+
+
+def test_scores_one_decision_at_a_time(spark, texts):
+    """Some scores again: bytes one by one, and stretches by dictionaries over all training documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r for r in rows(language_model.score(docs))}
+    model = language_model.train(docs)
+    lower = {d: t.encode().lower() for d, t in texts.items()}
+    learns = {d: zlib.crc32(str(d).encode()) % 10 != 0 for d in texts}
+
+    def stretches(raw):
+        """(first byte, end, the three words before, bytes) by the definition of anchors."""
+        words = [m.span() for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", raw)]
+        h = [int(arrays.word_values([raw[a:b]])[0][0]) for a, b in words]
+        at = []
+        for k in range(3, len(words)):
+            key = 0
+            for x in h[k - 3 : k]:
+                key = (key * 0x9E3779B97F4A7C15 + x) % 2**64
+            if int(mixed(np.array([(key + 3) % 2**64], np.uint64))[0]) % 16 == 0:
+                at.append((words[k][0], tuple(raw[a:b] for a, b in words[k - 3 : k])))
+        ends = [a for a, _ in at[1:]] + [len(raw) + 1]
+        return [(a, e, c, (raw + b"\0")[a:e]) for (a, c), e in zip(at, ends)]
+
+    context, pair = Counter(), Counter()
+    own = {d: stretches(raw) for d, raw in lower.items()}
+    for d, found in own.items():
+        if learns[d]:
+            context.update(c for _, _, c, _ in found)
+            pair.update((c, t) for _, _, c, t in found)
+    gates = lambda n: sum(n > x for x in (1, 2, 3, 5, 9, 17, 65))
+    seen, met = np.zeros(8), np.zeros(8)
+    for (c, _), n in pair.items():
+        if context[c] > 1:
+            seen[gates(context[c] - 1)] += n
+            met[gates(context[c] - 1)] += n if n > 1 else 0
+    weight = np.clip((met + 0.5) / (seen + 1), 1e-3, 1 - 1e-3)
+    stretched = model.stretched()
+    matched = 0
+    short = [x for x in texts if len(lower[x]) < 1500]
+    for d in [*[x for x in short if got[x]["matched_bytes"]][:4], *short[:2]]:
+        codes = np.array([int.from_bytes((bytes(5) + lower[d] + bytes(1))[k : k + 6], "big") for k in range(len(lower[d]) + 1)], np.uint64)
+        bits = [float(model.mixer.log10(stretched, codes[k : k + 1])[0]) for k in range(len(codes))]
+        mine_c, mine_p = Counter(c for _, _, c, _ in own[d]), Counter((c, t) for _, _, c, t in own[d])
+        total, at = 0.0, 0
+        for a, e, c, t in own[d]:
+            total += sum(bits[at:a])
+            n, k = context[c] - learns[d] * mine_c[c], pair[c, t] - learns[d] * mine_p[c, t]
+            plain = sum(bits[a:e])
+            w = weight[gates(n)] if n else 0.0
+            total += np.log10(w * k / n + (1 - w) * 10.0**plain) if k and plain > -300 else np.log10(w * k / n) if k else np.log10(1 - w) + plain
+            matched += k > 0
+            at = e
+        total += sum(bits[at:])
+        assert abs(got[d]["score"] - total) < 1e-6 * abs(total)
+    assert matched > 3
+
+
+def test_the_model_is_ahead_of_the_word_base(spark):
+    got = [r for r in rows(queries.op2_language_model(spark, "/root/testdata/sf0.01")) if r["held_out"]]
+    assert sum(r["score"] for r in got) > 0.97 * sum(r["base_score"] for r in got)
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstu"), int(rng.integers(2, 9))))
+    vocabulary = [word() for _ in range(3000)]
+    texts_ = [" ".join(rng.choice(vocabulary, 300)) for _ in range(150)]
+    docs = [(d, t) for d, t in enumerate(texts_ + texts_[:30])]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in rows(language_model.score(spark.createDataFrame(docs, "doc_id long, text string")))}
+    learns = lambda d: zlib.crc32(str(d).encode()) % 10 != 0
+    twice = [got[d] for d in range(30) if learns(d + 150)] + [got[d + 150] for d in range(30) if learns(d)]
+    once = [got[d] for d in range(30, 150)]
+    assert max(twice) < 0.6 * min(once)
 
 
 def test_model_probabilities_sum_to_one():
-    mixer, tables = language_model.Mixer(), np.random.default_rng(0).normal(size=(language_model.ORDERS, language_model.SLOTS)).astype(np.float32)
+    mixer, tables = language_model.Mixer(), np.random.default_rng(0).normal(size=(language_model.ORDERS, 1 << language_model.SLOT_BITS)).astype(np.float32)
     code = (np.uint64(0x6162636465) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     assert abs((10 ** mixer.log10(tables, code)).sum() - 1) < 1e-6
 
 
+def test_stretches_share_their_probability():
+    """All stretches after a context, and the bits, together weigh one."""
+    own = np.array([3.0, 1.0, 1.0])
+    got = 10 ** language_model.mixed_log10(np.full(3, -400.0), np.full(3, 5.0), own, np.full(8, 0.25))
+    assert abs(got.sum() - 0.25) < 1e-12
+    assert language_model.mixed_log10(np.array([-2.0]), np.zeros(1), np.zeros(1), np.full(8, 0.25))[0] == -2
+
+
+def test_counts_beyond_the_exact_range_keep_their_ratio():
+    mixer = language_model.Mixer(4)
+    tables = np.zeros((language_model.ORDERS, 16, 2), np.uint16)
+    tables[:, :, 0], tables[:, :, 1] = language_model.EXACT, 600
+    x, _ = mixer.inputs(tables, np.arange(8, dtype=np.uint64), 0, np.zeros(8, int), np.ones(8, bool))
+    assert np.allclose(x[:, 0], np.log(600.3 / (language_model.EXACT + 0.3)))
+
+
 def test_words_and_strings_of_the_model():
     texts = [b"", b" a bb  a\n", b"x" * 9000 + b" " + b"x" * 8999 + b"y", b"ab ba", b"\x0b\x0c"]
-    h, n = language_model.word_values(texts)
+    h, n = arrays.word_values(texts)
     words = [w for t in texts for w in t.split()]
     assert n.tolist() == [len(t.split()) for t in texts]
     assert len(set(zip(h.tolist(), words))) == len(set(h.tolist())) == len(set(words))
@@ -510,26 +762,90 @@ def test_words_and_strings_of_the_model():
     assert (keys[language_model.Lookup(keys)(code)] == code).all()
 
 
-def test_language_model_counts_in_turns(spark, texts, monkeypatch):
-    once = sorted(map(str, queries.op2_language_model(spark, SF).select("doc_id", "base_score", "n_known").collect()))
-    first = language_model._first(4)
+def test_language_model_counts_in_turns(texts, monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"doc_id": list(texts), "text": list(texts.values())})
-    tables = lambda: {r["shard"]: language_model._opened(r["payload"], np.uint32).sum() for b in first(iter([batch])) for r in b.to_pylist() if r["kind"] == "bits"}
-    whole = tables()
+    count = lambda: {r["shard"]: arrays.opened(r["payload"], np.uint32).tolist() for b in language_model._first(12)(iter([batch])) for r in b.to_pylist() if r["kind"] == "bits"}
+    whole = count()
+    # the counts by their definition, for one order
+    want = np.zeros((1 << 12, 2), int)
+    raw = [t.encode().lower() for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10]
+    code = language_model.strings(raw)[0]
+    for bit in range(8):
+        np.add.at(want, (language_model.slots(code, 3, bit, 12), ((code >> np.uint64(bit)) & np.uint64(1)).astype(int)), 1)
+    assert np.concatenate([whole[2 * language_model.RANGES + r] for r in range(language_model.RANGES)]).reshape(-1, 2).tolist() == want.tolist()
     monkeypatch.setattr(language_model.Distinct, "LIMIT", 10)
     monkeypatch.setattr(language_model, "SLICE_BYTES", 50_000)
-    assert tables() == whole and once
+    assert count() == whole
 
 
 def test_language_model_edges(spark, odd, empty):
     got = rows(language_model.score(odd))
     assert len(got) == 9 and all(np.isfinite(r["score"]) and r["score"] <= 0 for r in got)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    assert len({(r["score"], r["base_score"]) for r in got if r["doc_id"] == 4}) == 1
     assert rows(language_model.score(empty)) == []
 
 
+# --- meeting in a tree -----------------------------------------------------------------------------
+
+from tracewright.llm import arrays, exchange  # noqa: E402
+from tracewright.llm.common import mixed  # noqa: E402
+
+
+@pytest.mark.parametrize("blocks,fan_bits", [(1, 7), (16, 7), (16, 1), (13, 2), (40, 2)])
+def test_entries_meet_in_a_tree(spark, blocks, fan_bits):
+    tree = exchange.Tree(blocks, fan_bits)
+    assert tree.levels == -(-max(1, (blocks - 1).bit_length()) // fan_bits)
+    df = spark.range(blocks).selectExpr("cast(id as int) block", "id")
+
+    def entries(block):
+        rng = np.random.default_rng(block)
+        key = np.unique(mixed(rng.integers(0, 400, 120).astype(np.uint64)))
+        return key, key % np.uint64(3), rng.integers(1, 5, len(key)).astype(np.uint64)
+
+    def emit(key, table):
+        return exchange.rows_of(tree, 1, key[0].as_py(), *entries(key[0].as_py()))
+
+    meeting = exchange.Meeting(np.add, lambda k, s, v: ([v, k], [len(k), v.sum()]), lambda own, met, found: found, 2)
+    answers, up = exchange.meet(df.groupBy("block").applyInArrow(emit, exchange.ROW), tree, meeting)
+    total = Counter()
+    for b in range(blocks):
+        for k, s, v in zip(*(x.tolist() for x in entries(b))):
+            total[k, s] += v
+    table = answers.toArrow()
+    for b in range(blocks):
+        import pyarrow.compute as pc
+
+        got = exchange.answer_columns(table.filter(pc.equal(table["source"], b)), 2)
+        key, sub, _ = entries(b)
+        assert got[1].tolist() == key.tolist()
+        assert got[0].tolist() == [total[k, s] for k, s in zip(key.tolist(), sub.tolist())]
+    facts = np.array([f for f in table["facts"].to_pylist() if f]).sum(axis=0)
+    assert facts.tolist() == [len(total), sum(total.values())]
+    for level in up:
+        assert level.count() <= blocks * 2**fan_bits + 2**fan_bits
+
+
+def test_planes_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 1000):
+        x = np.sort(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+        y = rng.integers(0, 300, n).astype(np.uint64)
+        a, b = arrays.of_planes(arrays.planes(arrays.steps(x), y), 2)
+        assert arrays.of_steps(a).tolist() == x.tolist() and b.tolist() == y.tolist()
+
+
+def test_majority_bits():
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 3, 0, 1, 70_000, 0, 2, 140_000, 5, 0])
+    h = rng.integers(0, 2**64 - 1, sizes.sum(), dtype=np.uint64)
+    bounds = np.r_[0, np.cumsum(sizes)]
+    for a, b, got in zip(bounds, bounds[1:], arrays.majority(h, bounds).tolist()):
+        assert got == sum(1 << k for k in range(64) if 2 * int(((h[a:b] >> np.uint64(k)) & np.uint64(1)).sum()) > b - a)
+
+
 # --- toxicity, decontamination, licenses ---------------------------------------------------------
 
 from tracewright.llm import decontamination, licenses, toxicity  # noqa: E402
@@ -570,6 +886,46 @@ def test_ftrl_keeps_few_weights():
     assert len(at) < 1500
 
 
+def test_ftrl_follows_the_rule_coordinate_by_coordinate():
+    rng = np.random.default_rng(5)
+    model, z, n = toxicity.Ftrl(size=40, l1=0.3), defaultdict(float), defaultdict(float)
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, 0.3, toxicity.L2
+
+    def weight(i):
+        bound = 0.0 if i == 40 else l1
+        return 0.0 if abs(z[i]) <= bound else -(z[i] - np.sign(z[i]) * bound) / ((b + np.sqrt(n[i])) / a + l2)
+
+    for _ in range(300):
+        at, y = rng.integers(0, 40, 6), int(rng.random() < 0.4)
+        model.learn(at, y)
+        own = [*sorted(set(at.tolist())), 40]
+        w = {i: weight(i) for i in own}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for i in own:
+            step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / a
+            z[i] += g - step * w[i]
+            n[i] += g * g
+    assert np.allclose(model.weights(np.arange(41)), [weight(i) for i in range(41)])
+    assert 0 < len(model.sparse()[0]) < 41
+
+
+def test_toxicity_trains_in_shards(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 400_000)
+    at, w = toxicity.fit(docs, labels)
+    assert len(at) and np.isfinite(w).all()
+
+
+def test_toxicity_of_repeated_rows_and_ids(spark):
+    bad, fine = "you utter fool I hate you", "the weather is fine today in town"
+    docs = [(d, bad if d % 2 else fine) for d in range(60)] + [(1, bad), (1, bad)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(60)] + [(2, 0), (2, None), (3, 0)], "doc_id long, toxic int")
+    got = rows(toxicity.toxicity(df, labels))
+    assert len(got) == 62 and {(r["doc_id"] % 2, r["predicted"]) for r in got} == {(0, 0), (1, 1)}
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
 def brute_tiles(a, b, least):
     """Greedy string tiling by its definition."""
     ma, mb, total = [False] * len(a), [False] * len(b), 0
@@ -600,6 +956,24 @@ def test_tiling_covers_as_much_as_the_definition():
         assert (got[0][2] if got else 0) == brute_tiles(doc, item, 5)
 
 
+def test_tiling_of_repeated_words():
+    """Repeats on both sides: runs, not pairs, are kept, and the cover is that of the definition."""
+    import time
+
+    for doc, item in (("a " * 30, "a " * 12), ("a b " * 20, "a b " * 9), ("a a b " * 9 + "b", "b a a " * 6), ("x " + "a " * 7 + "y " + "a " * 8, "a " * 14)):
+        index = decontamination.Index.of([(1, item)])
+        got = index.matches(doc)
+        assert (got[0][2] if got else 0) == brute_tiles(doc.split(), item.split(), 5)
+    index = decontamination.Index.of([(1, "a " * 300)])
+    begun = time.process_time()
+    assert index.matches("a " * 3000)[0][2] == 300
+    assert time.process_time() - begun < 2
+
+
+def test_items_of_one_or_two_words_match_nothing():
+    assert decontamination.Index.of([(1, "the"), (2, "of the"), (3, "one two three")]).items == [3]
+
+
 def test_decontamination(spark, texts):
     from tracewright.llm.common import plain_words
 
@@ -645,5 +1019,67 @@ def test_license_with_edits():
     assert [x[0] for x in twice] == ["mit-notice", "mit-notice"]
 
 
+def test_whole_licenses_and_their_parts():
+    scan = licenses.Scanner().scan
+    for name, text in licenses.TEMPLATES.items():
+        assert [(x[0], x[3]) for x in scan(f"Some words before.\n{text}\nand after it")] == [(name, 1.0)], name
+    bsd = licenses.TEMPLATES["bsd-3-clause"].replace("copyright holder", "University of Somewhere")
+    found = scan(bsd)
+    assert [x[0] for x in found] == ["bsd-3-clause"] and 0.95 < found[0][3] < 1
+
+
+@pytest.mark.parametrize("name", ["apache-2.0-header", "mit-grant", "mit"])
+@pytest.mark.parametrize("side", ["start", "end"])
+def test_licenses_cut_at_the_document(name, side):
+    own = licenses.TEMPLATES[name].split()
+    for gone in range(0, len(own) // 6):
+        text = " ".join(own[gone:] + ["and", "more", "words"]) if side == "start" else " ".join(["words", "before", "it", *own[: len(own) - gone]])
+        found = {x[0]: x for x in licenses.Scanner({name: licenses.TEMPLATES[name]}).scan(text)}
+        words = len(licenses.plain_words(licenses.TEMPLATES[name]))
+        there = len(licenses.plain_words(" ".join(own[gone:] if side == "start" else own[: len(own) - gone])))
+        assert found[name][2] == there and found[name][1] == words
+
+
+def brute_matches(template, text):
+    """Most template words that one alignment matches: longest common subsequence with any window."""
+    best = np.zeros(len(text) + 1, int)
+    for w in template:
+        now = best.copy()
+        for j, x in enumerate(text):
+            now[j + 1] = max(best[j] + (w == x), best[j + 1], now[j])
+        best = now
+    return int(best[-1])
+
+
+def test_coverage_of_edited_licenses():
+    rng = np.random.default_rng(7)
+    template = licenses.plain_words(licenses.TEMPLATES["isc-grant"])
+    scanner = licenses.Scanner({"t": " ".join(template)})
+    for _ in range(30):
+        own = list(template)
+        for k in sorted(rng.choice(len(own), 4, replace=False).tolist(), reverse=True):
+            own[k : k + 1] = [[], ["new"], [own[k], "more"]][int(rng.integers(0, 3))]
+        text = ["lead"] * int(rng.integers(0, 20)) + own + ["tail"] * 5
+        (found,) = scanner.scan(" ".join(text))
+        assert found[2] == brute_matches(template, own)
+        assert text[found[4]] in template and text[found[5] - 1] in template and found[5] - found[4] <= len(own)
+
+
+def test_spans_are_those_of_the_text():
+    for lead in ("", "\u0130" * 5 + " ", "\u1e9e STRASSE "):
+        text = lead + "x released under the MIT License. tail"
+        (found,) = licenses.Scanner().scan(text)
+        assert text[found[6] : found[7]] == "released under the MIT License"
+
+
+def test_templates_of_one_and_two_words():
+    found = licenses.Scanner({"one": "Copyleft", "two": "public domain"}).scan("copyleft or the Public Domain, public or domain")
+    assert [(x[0], x[4], x[5]) for x in found] == [("one", 0, 1), ("two", 3, 5)]
+
+
 def test_license_edges(spark, odd, empty):
     assert rows(licenses.scan(odd)) == [] and rows(licenses.scan(empty)) == []
+    notice = "Released under the MIT License."
+    docs = [(None, notice), (1, notice), (1, notice), (2, "word " * 50_000 + notice), (3, None)]
+    got = rows(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert Counter((r["doc_id"], r["license"], r["first_word"]) for r in got) == {(None, "mit-notice", 0): 1, (1, "mit-notice", 0): 2, (2, "mit-notice", 50_000): 1}

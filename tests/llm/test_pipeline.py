@@ -7,7 +7,8 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import SF, brute_components, brute_fp, brute_quality, brute_tiles, check_packing, library_ids
+from tests.llm.test_jaccard import brute_kept
+from tests.llm.test_operators import SF, brute_em, brute_quality, brute_tiles, check_packing, library_ids
 from tracewright.llm import quality
 from tracewright.llm.common import cut, plain_words
 
@@ -45,17 +46,16 @@ def brute_stages():
     t = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     docs = dict(zip(t["doc_id"], t["text"]))
     voted = {d: votes(x) for d, x in docs.items()}
-    model = quality.maximise(list(Counter(v for v, _ in voted.values()).items()))
-    odds = lambda v: math.log(model.good / (1 - model.good)) + sum(model.weight(j, x) for j, x in enumerate(v))
+    good, on_good, on_bad = brute_em(sorted(Counter(v for v, _ in voted.values()).items()), quality.ITERATIONS)
+    odds = lambda v: math.log(good / (1 - good)) + sum(math.log(a[x + 1] / b[x + 1]) for x, a, b in zip(v, on_good, on_bad))
     docs = {d: x for d, x in docs.items() if not voted[d][1] and odds(voted[d][0]) >= 0}
     yield docs
     key = lambda line: line.strip(KEY).encode().lower()
     held = Counter(k for x in docs.values() for k in {key(line) for line in x.split("\n")} if k)
     docs = {d: "\n".join(line for line in x.split("\n") if held[key(line)] < 10) for d, x in docs.items()}
     yield docs
-    ids = list(docs)
-    fps = [brute_fp(docs[d], 5) for d in ids]
-    docs = {d: docs[d] for d, c in zip(ids, brute_components(ids, fps, 4)) if c == d}
+    kept, _ = brute_kept(docs)
+    docs = {d: x for d, x in docs.items() if d in kept}
     yield docs
     b = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
     items = [plain_words(x) for x in b["text"]]
@@ -101,6 +101,12 @@ def test_run_over_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    # nulls, empties and texts under 20 words fail the base rule; the repeated windows of id null and 3 too
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    words = "the cat of a house and its dog in to be was for it on with as by an or".split()
+    fine = [(7, " ".join(f"{w}{k} {w}" for k, w in enumerate(words)) + ".", "en", "s", 1)] * 2 + [(None, " ".join(f"{w} {w}x{k}" for k, w in enumerate(words)) + ".", None, None, None)]
+    spark.createDataFrame(rows + fine, schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == [7, None]
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

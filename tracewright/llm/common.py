@@ -8,7 +8,6 @@ Text conventions used everywhere in this subpackage: a null text is the empty te
 from __future__ import annotations
 
 import re
-import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.shared import cut, free_prefix, made, release, scratch, shared_folder  # noqa: F401
+
 #: White space between words, as a Java/RE2 pattern.
 WS = r"[\x20\x09-\x0D]+"
 
@@ -49,24 +50,6 @@ def crc_col(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; one of our own only where none is set (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tracewright-checkpoints-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and continue from its rows in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def byte_slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[tuple[list, list]]:
     """(doc_ids, texts) lists of about ``limit`` characters, at least one row each.
 

@@ -2,17 +2,22 @@
 
 Seeds: runs of five words that a document shares with a benchmark item (the whole item where it has
 fewer words), found by a running Karp-Rabin hash over word numbers.  For each (document, item) pair
-with a seed, matches are extended along their diagonals and tiled greedily: the longest match whose
+with a seed, seeds are joined to maximal runs along their diagonals and tiled greedily: the longest match whose
 words are all unmarked is marked on both sides, overlapped matches shrink to their unmarked rest,
 until nothing of seed length is left.  Tiles may stand in any order, so reordered passages count.
-A pair is reported when tiles cover at least 80 % of the item's words.
+A pair is reported when tiles cover at least 80 % of the item's words.  Items of fewer than ``LEAST_WORDS``
+words say too little and match nothing.
 
 Scale: the benchmark is the small side, but its size is measured: items are taken in blocks of at
 most ``BLOCK_CHARS`` characters, each block's index is broadcast and all documents run against it
-in one narrow pass; there is no shuffle of texts.
+in one narrow pass (so a benchmark of n blocks is n scans); there is no shuffle of texts.  A word that is repeated on both sides gives
+seeds for every pair of its places; they are found a stretch of the document at a time and kept as runs only.
 
-Defined cases: null or empty items and documents match nothing; repeated documents are reported
-each; repeated items likewise; an empty table on either side gives no rows.
+Defined cases: null or empty items and documents match nothing; texts of any length are used whole; repeated documents are reported
+each; repeated items likewise; of matches of one length the first in the document, then in the item, is marked first; columns other than
+doc_id and text are not read, and pass through :func:`keep_clean` whatever their names; an empty table on either side gives no rows.
+
+:func:`leaks` and :func:`keep_clean` read the benchmark when they are called.
 """
 
 from __future__ import annotations
@@ -25,9 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.arrays import ramps
 from tracewright.llm.common import byte_slices, gram_hashes, id_text, plain_words, spec, text_slices
 
 SEED_WORDS = 5
+LEAST_WORDS = 3
+#: Seed pairs that are looked at together.
+PAIRS_AT_ONCE = 1 << 19
 COVERAGE = 0.8
 BLOCK_CHARS = 8_000_000
 
@@ -41,6 +50,9 @@ class Index:
     vocabulary: dict[str, int]
     #: seed length -> (sorted seed hashes, first entry, end entry, item index, position)
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    #: all items' words one after another, and where each item begins
+    flat: np.ndarray
+    starts: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], seed_words: int = SEED_WORDS) -> Index:
@@ -48,7 +60,7 @@ class Index:
         items, words = [], []
         for item, text in rows:
             own = plain_words(text or "")
-            if own:
+            if len(own) >= LEAST_WORDS:
                 items.append(item)
                 words.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in own], dtype=np.uint64))
         seeds = {}
@@ -62,67 +74,79 @@ class Index:
             h, item, at = h[order], item[order], at[order]
             keys, first = np.unique(h, return_index=True)
             seeds[length] = (keys, first, np.r_[first[1:], len(h)], item, at)
-        return cls(items, words, vocabulary, seeds)
+        flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        return cls(items, words, vocabulary, seeds, flat, np.cumsum([0, *map(len, words)])[:-1])
 
     def matches(self, text: str) -> list[tuple[int, int, int, list[tuple[int, int, int]]]]:
         """(item index, item words, covered words, tiles (document word, item word, length)) of every
         item that shares a seed."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in plain_words(text)], dtype=np.uint64)
-        found: dict[int, list[tuple[int, int]]] = {}
+        runs: dict[int, list[np.ndarray]] = {}
         lengths: dict[int, int] = {}
         for length, (keys, first, end, item, at) in self.seeds.items():
             if len(ids) < length:
                 continue
             h = gram_hashes(ids, length)
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for p in np.flatnonzero(keys[k] == h).tolist():
-                for e in range(first[k[p]], end[k[p]]):
-                    i, q = int(item[e]), int(at[e])
-                    if (ids[p : p + length] == self.words[i][q : q + length]).all():
-                        found.setdefault(i, []).append((p, q))
-                        lengths[i] = length
+            hits = np.flatnonzero(keys[k] == h)
+            many = (end - first)[k[hits]]
+            stops = np.flatnonzero(np.diff(np.cumsum(many) // PAIRS_AT_ONCE, prepend=0)).tolist()
+            for a, b in zip([0, *stops], [*stops, len(hits)]):
+                p = np.repeat(hits[a:b], many[a:b])
+                e = np.repeat(first[k[hits[a:b]]], many[a:b]) + ramps(many[a:b])
+                i, q = item[e], at[e]
+                flat = self.starts[i] + q
+                same = np.ones(len(p), dtype=bool)
+                for w in range(length):
+                    same &= ids[p + w] == self.flat[flat + w]
+                p, i, q = p[same], i[same], q[same]
+                order = np.lexsort((p, p - q, i))
+                p, i, q = p[order], i[order], q[order]
+                for x in np.split(np.arange(len(p)), np.flatnonzero(np.diff(i)) + 1) if len(p) else ():
+                    own = int(i[x[0]])
+                    runs.setdefault(own, []).append(joined(p[x], q[x], np.full(len(x), length), length))
+                    lengths[own] = length
         out = []
-        for i, pairs in found.items():
-            tiles = tile(pairs, lengths[i])
+        for i, parts in runs.items():
+            p, q, n = np.concatenate(parts, axis=1)
+            if len(parts) > 1:
+                order = np.lexsort((p, p - q))
+                p, q, n = joined(p[order], q[order], n[order], lengths[i])
+            tiles = tile(list(zip(p.tolist(), q.tolist(), n.tolist())), lengths[i])
             out.append((i, len(self.words[i]), sum(n for _, _, n in tiles), tiles))
         return out
 
 
-def tile(seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles from seed matches (document word, item word), each ``least`` words long."""
-    runs: list[tuple[int, int, int]] = []
-    for p, q in sorted(seeds, key=lambda x: (x[0] - x[1], x[0])):
-        if runs and runs[-1][0] - runs[-1][1] == p - q and p <= runs[-1][0] + runs[-1][2] - least + 1:
-            a, b, _ = runs[-1]
-            runs[-1] = (a, b, p - a + least)
-        else:
-            runs.append((p, q, least))
+def joined(p: np.ndarray, q: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """Maximal runs (document word, item word, words) of matches sorted by diagonal and document word."""
+    end = p + n
+    new = np.r_[True, (np.diff(p - q) != 0) | (p[1:] > end[:-1] - least + 1)]
+    at = np.flatnonzero(new)
+    return np.stack([p[at], q[at], np.maximum.reduceat(end, at) - p[at]])
+
+
+def tile(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles from maximal matches (document word, item word, words)."""
     heap = [(-n, p, q) for p, q, n in runs]
     heapq.heapify(heap)
-    marked_doc: set[int] = set()
-    marked_item: set[int] = set()
+    base = min(p for p, _, _ in runs)
+    marked_doc = np.zeros(max(p + n for p, _, n in runs) - base, dtype=bool)
+    marked_item = np.zeros(max(q + n for _, q, n in runs), dtype=bool)
     tiles = []
     while heap:
         n, p, q = heapq.heappop(heap)
         n = -n
-        free = [p + k not in marked_doc and q + k not in marked_item for k in range(n)]
-        if all(free):
-            marked_doc.update(range(p, p + n))
-            marked_item.update(range(q, q + n))
+        taken = marked_doc[p - base : p - base + n] | marked_item[q : q + n]
+        if not taken.any():
+            marked_doc[p - base : p - base + n] = marked_item[q : q + n] = True
             tiles.append((p, q, n))
             continue
-        k = 0
-        while k < n:
-            if not free[k]:
-                k += 1
-                continue
-            e = k
-            while e < n and free[e]:
-                e += 1
-            if e - k >= least:
-                heapq.heappush(heap, (-(e - k), p + k, q + k))
-            k = e
+        # what is left of it, in stretches
+        edge = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a >= least:
+                heapq.heappush(heap, (-(b - a), p + a, q + a))
     return tiles
 
 

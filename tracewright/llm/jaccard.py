@@ -1,36 +1,42 @@
-"""Near-duplicates by the exact Jaccard similarity of word-shingle sets, 0.8 or more.
+"""Pairs of texts whose word-shingle sets have a Jaccard similarity of 0.8 or more, exactly.
 
-A prefix-filtered self-join: in one common order of all shingles, two sets of similarity ``t`` or more
+What SimHash tries cannot reach (such pairs lie up to 17 of 64 bits apart) is found by a prefix-filtered
+self-join: in one common order of all shingles, two sets of similarity ``t`` or more
 share one of the first ``n - ceil(t n) + 1`` shingles of each.  The order is by estimated frequency,
 rarest first; the estimates come from a table of counters and any estimate gives the same pairs, since
-only the order follows it.  Sets that share a prefix shingle are candidates; each candidate pair is
-confirmed on the whole sets, so the pairs are exactly those of the definition (shingles and sets are
+only the order follows it.  Sets that share a prefix shingle are candidates; each candidate pair, and each
+pair that the tries hint at, is confirmed on the whole sets, so the pairs are exactly those of the definition (shingles and sets are
 told apart by 64 bits of hash).
 
-Large groups: neighbours under a few orders within each prefix shingle are confirmed first, which is
+Large groups: hints and neighbours under a few orders within each prefix shingle are confirmed first, which is
 linear in the group; afterwards only pairs of different components are looked at.
 
+Nothing of all documents comes to the driver but the counters (up to 32 MB).  Keys of candidate rows are
+broadcast up to ``KEYS`` of them; beyond, the rows are joined by shuffle.
+
 Defined cases: words and shingles as in ``simhash`` (fewer words than a shingle make one of them all);
-texts without words are copies of each other; an empty table gives no rows.
+texts of any length are used whole; texts without words are copies of each other; a null id is an id like any other; repeated rows and ties have one set;
+an empty table gives no pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import byte_slices, cut, gram_hashes, id_text, mixed, spec, text_slices
+from tracewright.llm.arrays import majority, opened, packed, word_values
+from tracewright.llm.common import cut, gram_hashes, mixed, text_slices
 from tracewright.llm.graph import components
-from tracewright.llm.language_model import _opened, _packed, word_values
 
 #: Similarity as a fraction: 8 / 10.
 TOP, BOTTOM = 8, 10
 RANGES = 16
 CHAINS = 3
 SLICE = 1 << 20
+#: Row keys that are broadcast at most (24 bytes each).
+KEYS = 500_000
 
 
 def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,72 +86,73 @@ def frequency_ranks(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches):
         sums = np.zeros(n, dtype=np.uint32)
-        for _, texts in byte_slices(batches, SLICE):
-            sums += np.bincount(_place(shingles(texts, width)[0], n), minlength=n).astype(np.uint32)
+        for batch in _slices(batches):
+            sums += np.bincount(_place(shingles(batch["text"].to_pylist(), width)[0], n), minlength=n).astype(np.uint32)
         for r in range(RANGES):
             part = sums[r * step : (r + 1) * step]
             if part.any():
-                yield pa.RecordBatch.from_pylist([{"range": r, "payload": _packed(part)}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"range": r, "payload": packed(part)}], schema=schema)
 
     def add(batches):
         sums = {}
         for batch in batches:
             for r, raw in zip(batch["range"].to_pylist(), batch["payload"]):
-                got = _opened(raw.as_py(), np.uint32)
+                got = opened(raw.as_py(), np.uint32)
                 sums[r] = sums[r] + got if r in sums else got
         for r, got in sums.items():
-            yield pa.RecordBatch.from_pylist([{"range": r, "payload": _packed((4 * np.log2(1.0 + got)).astype(np.uint8))}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"range": r, "payload": packed((4 * np.log2(1.0 + got)).astype(np.uint8))}], schema=schema)
 
     schema = pa.schema([("range", pa.int32()), ("payload", pa.binary())])
     ddl = "range int, payload binary"
     out = np.zeros(n, dtype=np.uint8)
-    for row in docs.mapInArrow(count, ddl).repartition(RANGES, "range").mapInArrow(add, ddl).collect():
-        out[row["range"] * step : (row["range"] + 1) * step] = _opened(bytes(row["payload"]), np.uint8)
+    for row in docs.select("text").mapInArrow(count, ddl).repartition(RANGES, "range").mapInArrow(add, ddl).collect():
+        out[row["range"] * step : (row["range"] + 1) * step] = opened(bytes(row["payload"]), np.uint8)
     return out
 
 
-def _ties(texts: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) for t in texts], dtype=np.uint64).view(np.int64)
-
-
 def _arrays(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
 
 
-def _prefixes(docs: DataFrame, width: int, rank) -> DataFrame:
-    """doc_id, tie (hash of the text), sig (hash of the set), n and the prefix of every row."""
+def keyed(docs: DataFrame, tie: str = "tie") -> DataFrame:
+    """doc_id, text, and the text's hash; the two others name a row, or several that are alike."""
+    return docs.withColumn(tie, F.xxhash64("text"))
+
+
+def described(docs: DataFrame, width: int, rank) -> DataFrame:
+    """doc_id, tie, sig (hash of the set), fp (SimHash of the set), n and the prefix of every row of ``docs`` (doc_id, tie, text)."""
 
     def go(batches):
-        for ids, texts in byte_slices(batches, SLICE):
+        for batch in _slices(batches):
+            texts = batch["text"].to_pylist()
             h, bounds, sig = shingle_sets(texts, width, rank.value)
             n = np.diff(bounds)
             p = prefix_size(n)
             first = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(p, n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(_ties(texts)), pa.array(sig), pa.array(n, pa.int32()), _arrays(h[first], np.r_[0, np.cumsum(p)])],
-                names=["doc_id", "tie", "sig", "n", "prefix"],
+                [batch["doc_id"], batch["tie"], pa.array(sig), pa.array(majority(h, bounds).view(np.int64)), pa.array(n, pa.int32()), _arrays(h[first], np.r_[0, np.cumsum(p)])],
+                names=["doc_id", "tie", "sig", "fp", "n", "prefix"],
             )
 
-    return docs.mapInArrow(go, "doc_id long, tie long, sig long, n int, prefix array<long>")
+    return docs.select("doc_id", "tie", "text").mapInArrow(go, "doc_id long, tie long, sig long, fp long, n int, prefix array<long>")
+
+
+def _slices(batches):
+    return text_slices(batches, SLICE)
 
 
-def _whole(docs: DataFrame, width: int, wanted) -> DataFrame:
-    """(sig, whole): the sets named by the sorted array ``wanted``, each once."""
+def _whole(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sig, whole): the sets of the rows that ``wanted`` (sig, doc_id, tie; cut) names, each once."""
 
     def go(batches):
-        for _, texts in byte_slices(batches, SLICE):
-            h, bounds, sig = shingle_sets(texts, width)
-            at = np.minimum(np.searchsorted(wanted.value, sig), len(wanted.value) - 1)
-            _, once = np.unique(sig, return_index=True)
-            keep = np.zeros(len(sig), dtype=bool)
-            keep[once] = True
-            keep &= wanted.value[at] == sig
-            n = np.diff(bounds)
-            out = pa.RecordBatch.from_arrays([pa.array(sig[keep]), _arrays(h[np.repeat(keep, n)], np.r_[0, np.cumsum(n[keep])])], names=["sig", "whole"])
-            if out.num_rows:
-                yield out
+        for batch in _slices(batches):
+            h, bounds, _ = shingle_sets(batch["text"].to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([batch["sig"], _arrays(h, bounds)], names=["sig", "whole"])
 
-    return docs.mapInArrow(go, "sig long, whole array<long>").groupBy("sig").agg(F.first("whole").alias("whole"))
+    wanted = wanted.select("sig", F.col("doc_id").alias("w_id"), F.col("tie").alias("w_tie"))
+    near = F.broadcast(wanted) if wanted.count() <= KEYS else wanted
+    rows = docs.join(near, docs["doc_id"].eqNullSafe(near["w_id"]) & (docs["tie"] == near["w_tie"]))
+    return rows.select("sig", "text").mapInArrow(go, "sig long, whole array<long>").groupBy("sig").agg(F.first("whole").alias("whole"))
 
 
 # --- candidates of one task ----------------------------------------------------------------------
@@ -233,13 +240,11 @@ def _pairs(out):
 # --- tables --------------------------------------------------------------------------------------
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """The pairs whose sets have the similarity; only the sets of ``pairs`` (cut) are made again."""
-    spark = docs.sparkSession
-    named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().toArrow()["sig"].to_numpy()
-    if not len(named):
-        return pairs
-    whole = cut(_whole(docs, width, spark.sparkContext.broadcast(np.sort(named))))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = cut(classes.select("sig", "best.doc_id", "best.tie").join(named, "sig", "left_semi"))
+    whole = cut(_whole(docs, wanted, width))
     a = whole.select(F.col("sig").alias("a"), F.col("whole").alias("x"))
     b = whole.select(F.col("sig").alias("b"), F.col("whole").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -256,47 +261,21 @@ def _promising(common):
     return (common + rest) * (TOP + BOTTOM) >= (F.col("na") + F.col("nb")) * TOP
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(a, b): links between the sets (sig, n, prefix) of ``classes`` that give the components of all similar pairs."""
-    entries = classes.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sig", "n", "pos")
+def links(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, hints: DataFrame, width: int) -> DataFrame:
+    """(a, b): links between sets that give the components of all similar pairs.
+
+    ``docs``: doc_id, tie, text; ``classes``: a row for each set with sig and best (doc_id, tie: a row that has it);
+    ``prefixes``: sig, n, prefix of each set; ``hints``: pairs (a, b) of sets that are likely similar.
+    """
+    entries = prefixes.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sig", "n", "pos")
     shared = cut(entries.repartition("token").mapInArrow(_shared, "token long, sig long, n int, pos int"))
     held = cut(shared.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
     side = lambda c: held.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"tokens_{c}"))
     pairs = shared.repartition("token").mapInArrow(_neighbours, "a long, b long").distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_promising(F.size(F.array_intersect("tokens_a", "tokens_b")))).select("a", "b")
-    near = _confirmed(cut(pairs), docs, width)
+    near = _confirmed(cut(pairs.unionByName(hints).distinct()), docs, classes, width)
     roots = components(near)
     label = shared.join(roots, shared["sig"] == roots["node"], "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("label"))
     far = label.repartition("token").mapInArrow(_across, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     far = far.join(side("a").drop("tokens_a"), "a").join(side("b").drop("tokens_b"), "b").where(_promising(F.col("common"))).select("a", "b")
-    return near.unionByName(_confirmed(cut(far), docs, width))
-
-
-def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one row of each component of similar texts, columns unchanged.
-
-    The row kept has the component's smallest doc_id (nulls last) and, among repeated ids, the
-    smallest text hash.
-    """
-    names = docs.columns
-    plain = id_text(docs)
-    rank = docs.sparkSession.sparkContext.broadcast(frequency_ranks(plain, width))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tie"))
-    classes = cut(_prefixes(plain, width, rank).groupBy("sig").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    roots = components(links(plain, classes, width))
-    best = classes.join(roots, classes["sig"] == roots["node"], "left").select(F.coalesce("root", "sig").alias("root"), "best")
-    stay = best.groupBy("root").agg(F.min("best").alias("best"))
-    stay = cut(stay.select(stay["best"]["doc_id"].alias("_j_id"), stay["best"]["tie"].alias("_j_stay")))
-
-    def beside(batches):
-        for batch in text_slices(batches, SLICE):
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_ties(texts))], names=[*names, "_j_tie"])
-
-    # joined and made distinct by the same columns: the texts are dealt once
-    key = lambda c: [F.coalesce(c, F.lit(0)).alias("_j_value"), c.isNull().alias("_j_null")]
-    marked = docs.mapInArrow(beside, spec(docs, "_j_tie long")).select("*", *key(F.col("doc_id").cast("long")))
-    stay = stay.select(*key(F.col("_j_id")), F.col("_j_stay").alias("_j_tie"))
-    on = ["_j_value", "_j_null", "_j_tie"]
-    # exact repeats of a whole row's id and text: one stays
-    return marked.join(stay, on, "left_semi").dropDuplicates(on).select(*names)
+    return near.unionByName(_confirmed(cut(far), docs, classes, width))

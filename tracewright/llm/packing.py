@@ -2,22 +2,32 @@
 
 A sequence has three capacities: tokens, documents and attention cost (sum of squared piece
 lengths).  Pieces are placed longest first; among the sequences that can take a piece under every
-constraint the one is chosen whose remaining capacity vector afterwards is smallest (``norm``), or
-whose remaining vector has the largest weighted dot product with the piece's own (``dot``).
+constraint the one is chosen whose weighted residual norm afterwards is smallest (``norm``), or
+whose residual capacity has the largest weighted dot product with the piece's needs (``dot``); of equals the one with
+fewer documents left, then less cost left.  Residuals are parts of their capacity.
 
 Scale: a piece matters to the rule only by its length, and lengths are bounded by the capacity.  So
 the corpus is reduced to a histogram of at most ``capacity`` rows, the rule is run on the driver
-over classes of identical sequences (many sequences advance in one step), and the resulting plan -
-"ranks a..b of length L go to sequences s.., at offset o" - is applied to the pieces by their rank
-within their length.  Ranks come from salted two-level counts, so no length (however frequent)
+over classes of sequences with equal residuals, and the resulting plan - "ranks a..b of length L go to
+sequences s.., so many to each, from offset o" - is applied to the pieces by their rank within their
+length.  The plan is the one that placing piece by piece gives: under ``norm`` a sequence that has
+taken a piece stays the best while another one of that length fits, so it takes as many at once; under ``dot`` the class's
+other sequences come first.  Ranks come from salted two-level counts, so no length (however frequent)
 meets in one task.
 
-Defined cases: null text is empty (end id only); an empty table gives no rows; repeated rows are
-packed separately; ties in rank order fall to (doc_id, piece, ids_crc32).
+The query's capacities are tokens 1024, documents 1024 and cost 1024 ** 2, which no set of pieces within 1024 tokens exceeds:
+under its contract only tokens may limit a sequence.  Documents and cost take part in the choice by their weights.
+
+Defined cases: null text is empty (end id only); texts of any length are encoded whole and cut into pieces; an empty table gives no rows;
+repeated rows are packed separately; ties in rank order fall to (doc_id, piece, ids_crc32); columns other than doc_id and text are not
+read, so none can clash.
+
+:func:`pack` runs the encoding and the histogram when it is called.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass
 
@@ -39,15 +49,25 @@ class Capacity:
     tokens: int = 1024
     documents: int = 1024
     cost: int = 1024 * 1024
-    #: Weights of the three residuals, each first divided by its capacity.
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    #: Weights of the three residuals.
+    weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     rule: str = "norm"
 
     def __post_init__(self):
         if self.rule not in ("norm", "dot"):
             raise ValueError(f"unknown rule {self.rule!r}")
-        if self.cost < self.tokens**2 and self.cost < 1 or self.documents < 1:
-            raise ValueError("every capacity must admit a piece")
+        if self.tokens < 1 or self.documents < 1 or self.cost < self.tokens**2:
+            raise ValueError("an empty sequence must admit a piece of as many ids as it has tokens")
+
+    def needs(self, length: int) -> tuple[int, int, int]:
+        return length, 1, length * length
+
+    def score(self, left: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Smaller is better; ``left``: rows of residuals."""
+        size, weight = np.array([self.tokens, self.documents, self.cost], dtype=float), np.array(self.weights)
+        if self.rule == "norm":
+            return (((left - need) / size) ** 2 * weight).sum(axis=1)
+        return -((left / size) * (need / size) * weight).sum(axis=1)
 
 
 def pieces(docs: DataFrame, capacity: int, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
@@ -76,68 +96,76 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str | None = None, end_id
     return id_text(docs).mapInArrow(go, PIECES)
 
 
-def plan(histogram: dict[int, int], cap: Capacity) -> np.ndarray:
-    """Rows (length, first rank, last rank + 1, first sequence, offset), by length and rank."""
-    # one class of sequences: remaining (tokens, documents, cost) -> list of [first, end) numbers
-    room = np.zeros((1024, 3))
-    spans: list[list[tuple[int, int]]] = []
-    where: dict[tuple[int, int, int], int] = {}
-    free: list[int] = []
-    size = np.array([cap.tokens, cap.documents, cap.cost], dtype=float)
-    weight = np.array(cap.weights, dtype=float)
-    out, made = [], 0
-
-    def put(key: tuple[int, int, int], span: tuple[int, int]) -> None:
-        nonlocal room
-        if key not in where:
-            if free:
-                k = free.pop()
-                spans[k] = []
+class Classes:
+    """Open sequences by what they have left; equal ones are one class of number ranges."""
+
+    def __init__(self):
+        self.left = np.full((1024, 3), -1.0)
+        self.ranges: list[list[tuple[int, int]]] = []
+        self.where: dict[tuple[int, int, int], int] = {}
+        self.free: list[int] = []
+
+    def put(self, left: tuple[int, int, int], span: tuple[int, int]) -> None:
+        k = self.where.get(left)
+        if k is None:
+            if self.free:
+                k = self.free.pop()
             else:
-                k = len(spans)
-                spans.append([])
-                if k >= len(room):
-                    room = np.vstack([room, np.zeros_like(room)])
-            where[key], room[k] = k, key
-        spans[where[key]].append(span)
+                k = len(self.ranges)
+                self.ranges.append([])
+                if k >= len(self.left):
+                    self.left = np.vstack([self.left, np.full_like(self.left, -1.0)])
+            self.where[left], self.left[k] = k, left
+        heapq.heappush(self.ranges[k], span)
+
+    def take(self, k: int, most: int) -> tuple[int, int]:
+        """The lowest numbers of the class, ``most`` of them at most."""
+        first, end = heapq.heappop(self.ranges[k])
+        if first + most < end:
+            heapq.heappush(self.ranges[k], (first + most, end))
+            return first, first + most
+        if not self.ranges[k]:
+            del self.where[tuple(int(x) for x in self.left[k])]
+            self.left[k] = -1
+            self.free.append(k)
+        return first, end
+
+    def best(self, cap: Capacity, need: np.ndarray) -> int | None:
+        """The class that takes the next piece."""
+        live = self.left[: len(self.ranges)]
+        at = np.flatnonzero((live >= need).all(axis=1))
+        if not len(at):
+            return None
+        return int(at[np.lexsort((live[at, 0], live[at, 2], live[at, 1], cap.score(live[at], need)))[0]])
 
+
+def plan(histogram: dict[int, int], cap: Capacity) -> np.ndarray:
+    """Rows (length, first rank, end rank, first sequence, offset, pieces in each), by length and rank:
+    rank ``r`` goes to sequence ``first + (r - first rank) // pieces``."""
+    classes, out, made = Classes(), [], 0
+    full = (cap.tokens, cap.documents, cap.cost)
     for length in sorted(histogram, reverse=True):
-        left, rank = histogram[length], 0
-        need = np.array([length, 1, length * length], dtype=float)
-        if (need > size).any():
+        left, rank, need = histogram[length], 0, np.array(cap.needs(length), dtype=float)
+        if (need > full).any():
             raise ValueError(f"a piece of {length} ids exceeds an empty sequence")
-        each = int(min(size // need))
         while left:
-            live = room[: len(spans)]
-            fits = (live >= need).all(axis=1)
-            if fits.any():
-                at = np.flatnonzero(fits)
-                after = (live[at] - need) / size
-                if cap.rule == "norm":
-                    score = ((after**2) * weight).sum(axis=1)
-                else:
-                    score = -((live[at] / size) * (need / size) * weight).sum(axis=1)
-                k = int(at[np.lexsort((live[at][:, 2], live[at][:, 1], score))[0]])
-                key = tuple(int(x) for x in room[k])
-                first, end = spans[k].pop()
-                take = min(left, end - first)
-                if first + take < end:
-                    spans[k].append((first + take, end))
-                if not spans[k]:
-                    del where[key]
-                    room[k] = -1
-                    free.append(k)
-                out.append((length, rank, rank + take, first, cap.tokens - key[0]))
-                put((key[0] - length, key[1] - 1, key[2] - length * length), (first, first + take))
+            k = classes.best(cap, need)
+            room = full if k is None else tuple(int(x) for x in classes.left[k])
+            each = min(left, int(min(a // b for a, b in zip(room, need)))) if k is None or cap.rule == "norm" else 1
+            most = left // each
+            if k is None:
+                # a new sequence is the only one that fits, so it is filled before the next one opens
+                first, end = made, made + most
+                made = end
             else:
-                # open sequences for what is left: as many equal pieces in each as fit, the rest later
-                take = max(1, left // each)
-                out.append((length, rank, rank + take, made, 0))
-                put((cap.tokens - length, cap.documents - 1, cap.cost - length * length), (made, made + take))
-                made += take
-            left -= take
-            rank += take
-    return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
+                first, end = classes.take(k, most)
+            n = (end - first) * each
+            out.append((length, rank, rank + n, first, cap.tokens - room[0], each))
+            after = tuple(int(a - each * b) for a, b in zip(room, need))
+            classes.put(after, (first, end))
+            left -= n
+            rank += n
+    return np.array(sorted(out), dtype=np.int64).reshape(-1, 6)
 
 
 def ranked(parts: DataFrame) -> DataFrame:
@@ -173,7 +201,8 @@ def pack(parts: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
             # steps are sorted by (length, first rank): search the combined key
             base = int(steps[:, 2].max(initial=1)) + 1
             k = np.searchsorted(steps[:, 0] * base + steps[:, 1], length * base + rank, side="right") - 1
-            t = t.append_column("sequence_id", pa.array(steps[k, 3] + rank - steps[k, 1])).append_column("offset", pa.array(steps[k, 4]))
+            turn, inside = np.divmod(rank - steps[k, 1], steps[k, 5])
+            t = t.append_column("sequence_id", pa.array(steps[k, 3] + turn)).append_column("offset", pa.array(steps[k, 4] + inside * length))
             yield from t.select(names).combine_chunks().to_batches()
 
     schema = parts.schema.add("sequence_id", "long").add("offset", "long")

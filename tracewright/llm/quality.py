@@ -7,8 +7,11 @@ documents, and the share of good ones.  The posterior of a document is a closed
 votes.
 
 Defined cases: null or empty text has no words, so it fails the base rule and is not kept; a table
-without rows yields no rows and the starting accuracies; repeated rows are scored separately and
-alike; texts of any length are used whole (windows are compared by 64-bit hash within one text).
+without rows yields no rows and the starting accuracies; repeated rows, ties among them, are scored separately and
+alike; texts of any length are used whole (windows are compared by 64-bit hash within one text); extra
+columns pass through :func:`keep` whatever their names, as measures get a prefix that is free.
+
+:func:`score` and :func:`keep` measure the texts and fit the model when they are called.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import WS, cut
+from tracewright.llm.common import cut, free_prefix, scratch
 
 RULES = (
     "rule_symbols",
@@ -44,70 +47,79 @@ ITERATIONS = 60
 PRIOR = (2.0, 2.0, 0.5)
 
 
+#: Measures are columns whose names begin so, or longer where the input has such names.
+PREFIX = "_q_"
+#: White space other than the space.
+WHITE = ("\t", "\n", "\x0b", "\x0c", "\r")
 FORMS = sorted({f for w in FUNCTION_WORDS for f in (w, w.capitalize(), w.upper())})
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and the measures below, each prefixed ``_q_``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("_q_text", text)
+def features(docs: DataFrame, p: str = PREFIX) -> DataFrame:
+    """All columns of ``docs`` and the measures below, each prefixed ``p`` (which no column of ``docs`` may begin with)."""
+    q = lambda name: f"{p}{name}"
+    c = lambda name: F.col(q(name))
+    out = docs.withColumn(q("text"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    # white space as single marks, which split without a search
+    plain = F.col(q("text"))
+    for mark in WHITE:
+        plain = F.replace(plain, F.lit(mark), F.lit(" "))
     out = out.withColumns(
         {
-            "_q_words": F.array_remove(F.split("_q_text", WS), ""),
-            "_q_lines": F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            q("words"): F.array_remove(F.split(plain, " "), ""),
+            q("lines"): F.filter(F.split(q("text"), "\n"), lambda x: F.btrim(x, F.lit(" " + "".join(WHITE))) != ""),
         }
     )
-    out = out.withColumns(
-        {
-            "_q_n_words": F.size("_q_words").cast("long"),
-            "_q_windows": F.when(
-                F.size("_q_words") >= 8,
-                F.transform(
-                    F.sequence(F.lit(1), F.size("_q_words") - 7),
-                    lambda i: F.xxhash64(F.slice(F.col("_q_words"), i, F.lit(8))),
-                ),
-            ),
-        }
+    # windows of eight words by doubling: each hash takes in the one that follows it
+    longer = lambda name, n: F.when(
+        F.size(name) > n,
+        F.zip_with(F.slice(name, 1, F.size(name) - n), F.slice(name, n + 1, F.size(name) - n), lambda a, b: F.xxhash64(a, b)),
     )
+    out = out.withColumn(q("joined"), F.array_join(q("words"), ""))
+    out = out.withColumn(q("one"), F.transform(q("words"), lambda w: F.xxhash64(w)))
+    out = out.withColumn(q("two"), longer(q("one"), 1))
+    out = out.withColumn(q("four"), longer(q("two"), 2))
+    out = out.withColumn(q("windows"), longer(q("four"), 4))
     # Most texts repeat no window: only the others are sorted.
     out = out.withColumn(
-        "_q_sorted",
+        q("sorted"),
         F.when(
-            F.size(F.array_distinct("_q_windows")) < F.size("_q_windows"),
-            F.sort_array(F.transform("_q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.size(F.array_distinct(q("windows"))) < F.size(q("windows")),
+            F.sort_array(F.transform(q("windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     )
     out = out.withColumn(
-        "_q_starts",
+        q("starts"),
         F.sort_array(
             F.transform(
                 F.filter(
-                    "_q_sorted",
-                    lambda x, k: (F.get("_q_sorted", k - 1)["h"] == x["h"]) | (F.get("_q_sorted", k + 1)["h"] == x["h"]),
+                    q("sorted"),
+                    lambda x, k: (F.get(q("sorted"), k - 1)["h"] == x["h"]) | (F.get(q("sorted"), k + 1)["h"] == x["h"]),
                 ),
                 lambda x: x["i"],
             )
         ),
     )
     size = F.char_length
-    gone = lambda pattern: size("_q_text") - size(F.regexp_replace("_q_text", pattern, ""))
+    only = lambda of, rest: size(F.regexp_replace(of, rest, ""))
+    count = lambda mark: F.octet_length(q("joined")) - F.octet_length(F.replace(c("joined"), F.lit(mark), F.lit("")))
     return out.withColumns(
         {
             # not deterministic on purpose: a filter on the measures must not be pushed below them,
             # where it would repeat their expressions
-            "_q_row": F.monotonically_increasing_id(),
-            "_q_word_chars": size(F.regexp_replace("_q_text", WS, "")).cast("long"),
-            "_q_n_symbols": gone(r"[#*$%&|<>]+").cast("long"),
-            "_q_n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
-            "_q_n_lines": F.size("_q_lines").cast("long"),
-            "_q_n_function": F.size(F.filter("_q_words", lambda w: w.isin(*FORMS))).cast("long"),
-            "_q_n_letters": gone(r"\p{L}+").cast("long"),
-            "_q_n_upper": gone(r"\p{Lu}+").cast("long"),
-            "_q_n_exclaim": gone("!+").cast("long"),
-            "_q_n_stops": gone(r"[.?]+").cast("long"),
-            "_q_n_repeat_words": F.coalesce(
+            q("row"): F.monotonically_increasing_id(),
+            q("n_words"): F.size(q("words")).cast("long"),
+            q("word_chars"): size(q("joined")).cast("long"),
+            q("n_symbols"): only(q("joined"), r"[^#*$%&|<>]+").cast("long"),
+            q("n_dup_lines"): (F.size(q("lines")) - F.size(F.array_distinct(q("lines")))).cast("long"),
+            q("n_lines"): F.size(q("lines")).cast("long"),
+            q("n_function"): F.size(F.filter(q("words"), lambda w: w.isin(*FORMS))).cast("long"),
+            q("n_letters"): only(q("joined"), r"\P{L}+").cast("long"),
+            q("n_upper"): only(q("joined"), r"\P{Lu}+").cast("long"),
+            q("n_exclaim"): count("!").cast("long"),
+            q("n_stops"): (count(".") + count("?")).cast("long"),
+            q("n_repeat_words"): F.coalesce(
                 F.aggregate(
-                    "_q_starts",
+                    q("starts"),
                     F.struct(F.lit(0).cast("long").alias("n"), F.lit(-8).alias("p")),
                     lambda a, x: F.struct((a["n"] + F.least(F.lit(8), x - a["p"])).alias("n"), x.alias("p")),
                     lambda a: a["n"],
@@ -115,7 +127,7 @@ def features(docs: DataFrame) -> DataFrame:
                 F.lit(0).cast("long"),
             ),
         }
-    ).drop("_q_text", "_q_words", "_q_lines", "_q_windows", "_q_sorted", "_q_starts")
+    ).drop(*map(q, ("text", "words", "lines", "joined", "one", "two", "four", "windows", "sorted", "starts")))
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
@@ -123,8 +135,8 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
     return (vote if good is None else vote.when(good, F.lit(1))).otherwise(F.lit(0))
 
 
-def votes() -> dict[str, Column]:
-    c = lambda name: F.col(f"_q_{name}")
+def votes(p: str = PREFIX) -> dict[str, Column]:
+    c = lambda name: F.col(f"{p}{name}")
     n, chars = c("n_words"), c("word_chars")
     return {
         "rule_symbols": _vote(10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
@@ -139,8 +151,8 @@ def votes() -> dict[str, Column]:
     }
 
 
-def base_failed() -> Column:
-    return (F.col("_q_n_words") < 20) | (100 * F.col("_q_n_repeat_words") > 30 * F.col("_q_n_words"))
+def base_failed(p: str = PREFIX) -> Column:
+    return (F.col(f"{p}n_words") < 20) | (100 * F.col(f"{p}n_repeat_words") > 30 * F.col(f"{p}n_words"))
 
 
 @dataclass(frozen=True)
@@ -202,23 +214,22 @@ def _maximised(patterns, share) -> VoteModel:
         if b[2] > g[2]:
             g[2] = b[2] = (g[2] + b[2]) / 2
         g[:], b[:] = [x / sum(g) for x in g], [x / sum(b) for x in b]
-    return VoteModel(min(0.99, max(0.5, (sum_good + 4) / (total + 5))), tuple(map(tuple, good)), tuple(map(tuple, bad)))
+    return VoteModel((sum_good + 1) / (total + 2), tuple(map(tuple, good)), tuple(map(tuple, bad)))
 
 
-def fit(measured: DataFrame) -> VoteModel:
+def fit(measured: DataFrame, p: str = PREFIX) -> VoteModel:
     """``measured``: rows of :func:`features`.  Collects at most 3^9 counted patterns."""
-    by = [v.alias(k) for k, v in votes().items()]
+    by = [v.alias(k) for k, v in votes(p).items()]
     rows = measured.select(*by).groupBy(*RULES).count().collect()
     return maximise([(tuple(r[k] for k in RULES), r["count"]) for r in rows])
 
 
-def verdicts(measured: DataFrame, model: VoteModel) -> DataFrame:
-    """Adds ``_q_posterior``, ``_q_base_failed`` and ``_q_kept``."""
-    by = votes()
+def verdicts(measured: DataFrame, model: VoteModel, p: str = PREFIX) -> DataFrame:
+    """Adds posterior, base_failed and kept, prefixed ``p``."""
     return (
-        measured.withColumn("_q_base_failed", base_failed())
-        .withColumn("_q_posterior", 1 / (1 + F.exp(-model.log_odds(by))))
-        .withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_posterior") >= 0.5))
+        measured.withColumn(f"{p}base_failed", base_failed(p))
+        .withColumn(f"{p}posterior", 1 / (1 + F.exp(-model.log_odds(votes(p)))))
+        .withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}posterior") >= 0.5))
     )
 
 
@@ -228,8 +239,8 @@ def score(docs: DataFrame) -> DataFrame:
     out = verdicts(measured, fit(measured))
     return out.select(
         "doc_id",
-        *[F.col(f"_q_{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
-        F.col("_q_posterior").alias("posterior"),
+        *[F.col(f"{PREFIX}{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
+        F.col(f"{PREFIX}posterior").alias("posterior"),
         *[v.alias(k) for k, v in votes().items()],
     )
 
@@ -237,8 +248,11 @@ def score(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns unchanged.
 
-    The measures are made again in the second pass: cheaper than moving the texts through a join,
-    and right for repeated or null ids.
+    Rows are measured once: they are written with their measures to a table in the shared folder (columnar and compressed,
+    about the size of the input), which the fit reads by its vote columns and the filter as a whole.
     """
-    model = fit(features(docs.select("text")))
-    return verdicts(features(docs), model).where(F.col("_q_kept") & (F.col("_q_row") >= 0)).select(*docs.columns)
+    p = free_prefix(docs, PREFIX)
+    path = scratch(docs.sparkSession, "quality")
+    features(docs, p).write.option("compression", "zstd").parquet(path)
+    measured = docs.sparkSession.read.parquet(path)
+    return verdicts(measured, fit(measured, p), p).where(F.col(f"{p}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

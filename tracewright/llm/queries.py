@@ -38,10 +38,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import line_dedup
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return line_dedup.dedup(docs, min_docs=10).select(
+    out = line_dedup.dedup(docs, min_docs=10)
+    n_lines, n_dropped = out.columns[-2:]
+    return out.select(
         "doc_id",
-        F.col("_l_n_lines").alias("n_lines"),
-        F.col("_l_n_dropped").alias("n_dropped"),
+        F.col(n_lines).alias("n_lines"),
+        F.col(n_dropped).alias("n_dropped"),
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
     )
 

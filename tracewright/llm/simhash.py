@@ -13,8 +13,11 @@ traversal starts at (root, root).  Tries are dealt to tasks by root.  A task emi
 of the links it finds, not every pair, which keeps components whole and the output linear.
 
 Defined cases: null or empty text has fingerprint zero and links like any other; fewer words than a
-shingle make one shingle of them all; equal fingerprints are one class, so copies never meet in a
-join; component_id is the smallest non-null doc_id of the component; an empty table gives no rows.
+shingle make one shingle of them all; texts of any length are used whole; equal fingerprints (repeated rows, ties) are one class, so copies never meet in a
+join; component_id is the smallest non-null doc_id of the component; columns other than doc_id and text
+are not read, and pass through :func:`keep_first` whatever their names; an empty table gives no rows.
+
+:func:`near_classes` and :func:`keep_first` run jobs when they are called.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import byte_slices, cut, id_text, words_of
+from tracewright.llm import jaccard
+from tracewright.llm.arrays import majority
+from tracewright.llm.common import byte_slices, cut, free_prefix, id_text, words_of
 from tracewright.llm.graph import components
 
-_BITS = np.arange(64, dtype=np.uint64)
-
 
 def fingerprint(words: list[bytes], width: int) -> int:
     """The unsigned fingerprint of a sequence of words."""
@@ -43,11 +46,7 @@ def fingerprint(words: list[bytes], width: int) -> int:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 65536):
-        bits = np.unpackbits(h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int((np.uint64(1) << _BITS[2 * ones > len(h)]).sum(dtype=np.uint64))
+    return int(majority(h, np.array([0, len(h)]))[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -230,45 +229,47 @@ def hex_fp(col):
 
 
 def keep_first(docs: DataFrame, width: int = 5, budget: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, columns unchanged.
+    """``docs`` with one row of each group of near-duplicates, columns unchanged.
 
-    The row kept has the component's smallest doc_id (nulls last) and, among repeated ids, the
-    smallest text hash.  Rows are marked inside one pass over the texts: their fingerprint is made
-    again next to the row and joined with the small list of fingerprints that stay.
-    """
-    names = docs.columns
-    marked = fingerprints_beside(docs, width)
-    own = cut(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "_s_fp", "_s_tie"))
-    # one candidate for each fingerprint, then one for each component
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_s_tie"), F.col("_s_fp"))
-    best = own.groupBy("_s_fp").agg(F.min(order).alias("best"))
-    fps = best.select(F.col("_s_fp").alias("fp"))
-    roots = components(links(fps, budget))
-    best = best.join(roots, best["_s_fp"] == roots["node"], "left").select(F.coalesce("root", "_s_fp").alias("root"), "best")
-    stay = best.groupBy("root").agg(F.min("best").alias("best"))
-    stay = stay.select(stay["best"]["doc_id"].alias("_s_id"), stay["best"]["_s_tie"].alias("_s_stay_tie"), stay["best"]["_s_fp"].alias("_s_stay_fp"))
-    stay = cut(stay)
-    hit = marked.join(
-        stay,
-        marked["doc_id"].cast("long").eqNullSafe(stay["_s_id"]) & (marked["_s_tie"] == stay["_s_stay_tie"]) & (marked["_s_fp"] == stay["_s_stay_fp"]),
-        "left_semi",
-    )
-    # exact repeats of a whole row's id and text: one stays
-    return hit.dropDuplicates(["doc_id", "_s_tie", "_s_fp"]).select(*names)
-
-
-def fingerprints_beside(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` with ``_s_fp`` (signed fingerprint) and ``_s_tie`` (hash of the text)."""
-    from tracewright.llm.common import schema_of, text_slices
-
-    names = docs.columns
+    Near-duplicates are texts whose sets of ``width``-word shingles have a Jaccard similarity of 0.8 or more, and what such
+    pairs connect.  The trie self-join over the sets' fingerprints proposes its spanning links, which are
+    confirmed on the sets; pairs beyond its budget come from :mod:`tracewright.llm.jaccard`, so that none is lost.
 
-    def go(batches):
-        for batch in text_slices(batches):
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            fps = np.array([fingerprint(words_of(t), width) for t in texts], dtype=np.uint64).view(np.int64)
-            ties = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps), pa.array(ties)], names=[*names, "_s_fp", "_s_tie"])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(go, schema_of(f"{ddl}, _s_fp long, _s_tie long"))
+    The row kept has the group's smallest doc_id (nulls last) and, among repeated ids, the
+    smallest text hash; of rows alike in id and text one stays.
+    """
+    p = free_prefix(docs, "_s_")
+    tie, same_id, same_tie = f"{p}tie", f"{p}same_id", f"{p}same_tie"
+    plain = jaccard.keyed(id_text(docs))
+    rank = docs.sparkSession.sparkContext.broadcast(jaccard.frequency_ranks(plain, width))
+    rows = cut(jaccard.described(plain, width, rank))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tie"))
+    classes = cut(rows.groupBy("sig").agg(F.min(order).alias("best"), F.min("fp").alias("fp")))
+    best = classes.select(F.col("sig").alias("of"), F.col("best.doc_id").alias("b_id"), F.col("best.tie").alias("b_tie"))
+    prefixes = rows.join(best, (rows["sig"] == best["of"]) & rows["doc_id"].eqNullSafe(best["b_id"]) & (rows["tie"] == best["b_tie"]), "left_semi")
+    # sets of one fingerprint are tied to one of them, and these by the tries
+    named = cut(classes.groupBy("fp").agg(F.min("sig").alias("name")))
+    tied = classes.join(named, "fp").where("sig <> name").select(F.col("sig").alias("a"), F.col("name").alias("b"))
+    found = links(named.select("fp"), budget)
+    side = lambda c: named.select(F.col("fp").alias(f"f_{c}"), F.col("name").alias(c))
+    tries = found.select(F.col("a").alias("f_a"), F.col("b").alias("f_b")).join(side("a"), "f_a").join(side("b"), "f_b").select("a", "b")
+    hints = tied.unionByName(tries).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = components(jaccard.links(plain, classes, prefixes.select("sig", "n", "prefix"), hints, width))
+    grouped = classes.join(roots, classes["sig"] == roots["node"], "left").select(F.coalesce("root", "sig").alias("root"), "best")
+    stay = grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.tie").alias("k_tie"))
+    keys = rows.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n"))
+    kept = keys.join(stay, keys["doc_id"].eqNullSafe(stay["k_id"]) & (keys["tie"] == stay["k_tie"]), "left")
+    # the few that go, or stand more than once, are taken out by key; the others' texts stay where they lie
+    state = cut(kept.select("doc_id", "tie", F.col("k_tie").isNotNull().alias("stays"), "n").where("not stays or n > 1"))
+    marks = state.select(F.col("doc_id").alias(same_id), F.col("tie").alias(same_tie), F.col("stays").alias(f"{p}stays"))
+    near = F.broadcast(marks) if marks.count() <= jaccard.KEYS else marks
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.withColumn(tie, F.xxhash64(text))
+    marked = marked.join(near, marked["doc_id"].cast("long").eqNullSafe(near[same_id]) & (marked[tie] == near[same_tie]), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = marked.where(F.col(same_tie).isNull()).select(*names)
+    if marks.where(f"{p}stays").isEmpty():
+        return out
+    # rows alike in id and text: one of them, through a key that nulls share
+    again = marked.where(F.col(f"{p}stays")).withColumns({f"{p}value": F.coalesce(same_id, F.lit(0)), f"{p}null": F.col(same_id).isNull()})
+    return out.unionByName(again.dropDuplicates([f"{p}value", f"{p}null", tie]).select(*names))

@@ -16,7 +16,7 @@ WITH lines AS (
   )
 ),
 frequent AS (
-  SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) + count(*) FILTER (doc_id IS NULL) >= 10
 )
 """
 

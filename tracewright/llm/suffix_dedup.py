@@ -7,21 +7,26 @@ smaller doc_id.  Suffixes are compared to that depth only.
    grams (the rightmost of equals).  The choice depends on the window's bytes alone, so equal windows
    choose equal grams at equal places: only windows with a common anchor need to be compared.
    Windows of one document that choose the same gram are neighbours; their bytes are a segment.
-2. Meeting.  Distinct hashes of anchors and whole segments of each block, with the block's smallest
-   doc_id, meet by anchor, packed by source block and target shard.  A segment that stands as a whole in a smaller document is settled: all its windows are
-   equal suffixes of one class.  One representative of each other class under a shared anchor sends
-   its bytes.
-3. Deep-shallow sorting of the representatives' suffixes: multikey quicksort by 8-byte words to a
-   shallow depth of 16 bytes, then the groups that still agree are ordered by blind tries (which
-   branch on the first differing bit only).  Every class of equal suffixes keeps its smallest doc_id.
+2. Meeting.  Distinct (anchor hash, segment hash) pairs of each block, with the block's smallest
+   doc_id, meet by anchor (:mod:`tracewright.llm.exchange`; rows in proportion to the blocks).  A segment that stands as
+   a whole in a smaller document is settled: all its windows are equal suffixes of one class, told by 128 bits of hash.  One
+   representative of each other class under a shared anchor sends its bytes.  An anchor with more
+   than ``HOT_CLASSES`` classes is dealt further: its windows travel singly, by their first 16 bytes.
+3. Deep-shallow sorting of the representatives' suffixes, which anchors (and the anchor's place in the suffix)
+   deal into groups: multikey quicksort, three-way partitioning by 8-byte words, to the shallow
+   depth of 16 bytes; the groups that still agree are put into blind tries, which find equal suffixes
+   and give the others' order.  Neighbours in the sorted order that agree to the full depth are one class, and
+   its smallest doc_id decides.
 4. Marks return to the source blocks, where removed runs are counted and cut.
 
 Texts are shuffled once, by block; the three passes over them share that exchange.  Blocks and
 shards hold a bounded number of bytes.
 
-Defined cases: null text is empty; texts under ``LENGTH`` bytes lose nothing; a null doc_id counts
-as larger than every other; rows with equal doc_ids do not remove from each other; an empty table
-gives no rows.
+Defined cases: null text is empty; texts under ``LENGTH`` bytes lose nothing; texts of any length are used
+whole; a null doc_id counts as larger than every other; rows with equal doc_ids (repeated rows too) do not remove from each other;
+columns other than doc_id and text are not read; an empty table gives no rows.
+
+:func:`remove_repeats` runs the meeting when it is called.
 """
 
 from __future__ import annotations
@@ -31,10 +36,13 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import id_text, mixed
+from tracewright.llm.arrays import of_planes, of_steps, planes, ramps, steps
+from tracewright.llm.common import cut, id_text, mixed
+from tracewright.llm.exchange import ROW, Meeting, Tree, answer_columns, meet, rows_of
 
 LENGTH, GRAM = 50, 20
 CHOICE = LENGTH - GRAM + 1
@@ -43,7 +51,10 @@ CHUNK_BYTES = (1 << 20) - 4096
 NO_ID = np.iinfo(np.int64).max
 _A = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_48 = np.uint64((1 << 48) - 1)
+#: Order-preserving between signed ids and the exchange's unsigned values.
+_SIGN = np.uint64(1 << 63)
+HOT_CLASSES = 2_000
+NONE, SETTLED, SEND, SEND_DEALT = range(4)
 
 
 def _power(n: int) -> np.uint64:
@@ -56,7 +67,8 @@ def _doubled(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of a block: per entry its document (row), window range and hashes."""
+    """Anchors of a block: per entry its document (row), window range, hashes, and how far behind the
+    first window's start the anchor lies."""
 
     def __init__(self, texts: list[bytes]):
         self.texts = texts
@@ -69,9 +81,9 @@ class Anchors:
                 end += 1
             parts += self._chunk(start, texts[start:end])
             start = end
-        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64)
         columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in kinds]
-        self.row, self.low, self.high, self.anchor, self.segment = columns
+        self.row, self.low, self.high, self.anchor, self.segment, self.ahead = columns
 
     def _chunk(self, first: int, texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
         if len(texts) == 1 and len(texts[0]) > CHUNK_BYTES:
@@ -79,8 +91,8 @@ class Anchors:
             # windows that choose one gram may be cut at a piece's end, which only splits a segment
             text, out, step = texts[0], [], CHUNK_BYTES - LENGTH + 1
             for at in range(0, len(text) - LENGTH + 1, step):
-                for row, low, high, anchor, segment in self._chunk(first, [text[at : at + CHUNK_BYTES]]):
-                    out.append((row, low + at, high + at, anchor, segment))
+                for row, low, high, anchor, segment, ahead in self._chunk(first, [text[at : at + CHUNK_BYTES]]):
+                    out.append((row, low + at, high + at, anchor, segment, ahead))
             return out
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -122,49 +134,31 @@ class Anchors:
         place = (low_bits - (chosen[at] & low_bits)).astype(np.int64)
         size = high - low + LENGTH
         seg = h32[low] * np.uint64(0xBF58476D1CE4E5B9) + h32[low + (size - 32) // 2] * np.uint64(0x94D049BB133111EB) + h32[low + size - 32] + size.astype(np.uint64)
-        return [(row + first, low - begins[row], high - begins[row], gram[place], mixed(seg))]
-
-    def classes(self, ids: np.ndarray, shards: int) -> Classes:
-        return Classes(self, ids, shards)
+        return [(row + first, low - begins[row], high - begins[row], gram[place], mixed(seg), place - low)]
 
 
 class Classes:
-    """Distinct (anchor, segment) pairs of a block, in order of their shard and then of their place.
+    """Distinct (anchor, segment) pairs of a block, in sorted order.
 
     Only these meet those of other blocks, so a passage that most documents share counts once for each
     block.  The first entry of a class has its smallest doc_id in the block; entries with a larger
     one are settled here already.
     """
 
-    def __init__(self, a: Anchors, ids: np.ndarray, shards: int):
+    def __init__(self, a: Anchors, ids: np.ndarray):
         n = len(a.anchor)
         order = np.lexsort((a.segment, a.anchor))
         x, y = a.anchor[order], a.segment[order]
         new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])] if n else np.zeros(0, bool)
-        first = order[new]
-        shard = (a.anchor[first] % np.uint64(shards)).astype(np.int64)
-        turn = np.lexsort((first, shard))
-        #: first entry of every class, and the bounds of each shard in this order
-        self.first = first[turn]
-        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
-        place = np.empty(len(turn), dtype=np.int64)
-        place[turn] = np.arange(len(turn))
+        #: first entry of every class; documents stand in ascending order, so it has the smallest id
+        self.first = order[new]
+        self.anchor, self.segment = x[new], y[new]
         #: the class of every entry, and whether it shares the smallest doc_id
         self.of = np.empty(n, dtype=np.int64)
-        self.of[order] = place[np.cumsum(new) - 1] if n else order
+        self.of[order] = np.cumsum(new) - 1
         own = ids[a.row]
-        self.least = own == own[self.first][self.of] if n else np.zeros(0, bool)
-
-
-def _six(x: np.ndarray) -> bytes:
-    """The lower six bytes of every value."""
-    return np.ascontiguousarray((x & _48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _of_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.uint64)
+        self.doc = own[self.first]
+        self.least = own == self.doc[self.of] if n else np.zeros(0, bool)
 
 
 def _block_docs(t: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
@@ -177,263 +171,360 @@ def _block_docs(t: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
 
 # --- deep-shallow sorting ----------------------------------------------------------------------
 
-SHALLOW_WORDS = 2
-
-
-def _words(suffixes: np.ndarray, word: int) -> np.ndarray:
-    """Bytes 8*word.. of every row of an (n, LENGTH) byte matrix, big-endian, zero-padded."""
-    part = suffixes[:, 8 * word : 8 * word + 8]
-    if part.shape[1] < 8:
-        part = np.pad(part, ((0, 0), (0, 8 - part.shape[1])))
-    return np.ascontiguousarray(part).view(">u8").ravel().astype(np.uint64)
-
-
-class BlindTrie:
-    """Orders a few distinct strings of equal length; inner nodes hold only the first bit in which
-    their two sides differ, so an insertion reads one stored string."""
-
-    def __init__(self):
-        self.root = None
-
-    @staticmethod
-    def _bit(s: bytes, bit: int) -> int:
-        return s[bit >> 3] >> (7 - (bit & 7)) & 1
-
-    def insert(self, s: bytes, value: int) -> None:
-        if self.root is None:
-            self.root = (s, value)
-            return
-        node = self.root
-        while len(node) == 3:
-            node = node[1 + self._bit(s, node[0])]
-        other = node[0]
-        diff = int.from_bytes(s, "big") ^ int.from_bytes(other, "big")
-        if not diff:
-            return
-        bit = 8 * len(s) - diff.bit_length()
-        path, node = [], self.root
-        while len(node) == 3 and node[0] < bit:
-            side = self._bit(s, node[0])
-            path.append((node, side))
-            node = node[1 + side]
-        leaf = (s, value)
-        node = (bit, node, leaf) if self._bit(s, bit) else (bit, leaf, node)
-        for up, side in reversed(path):
-            node = (up[0], node, up[2]) if side == 0 else (up[0], up[1], node)
-        self.root = node
-
-    def ordered(self) -> list[int]:
-        out, stack = [], [self.root] if self.root else []
-        while stack:
-            node = stack.pop()
-            if len(node) == 3:
-                stack += [node[2], node[1]]
-            else:
-                out.append(node[1])
-        return out
-
-
-def suffix_classes(suffixes: np.ndarray) -> np.ndarray:
-    """Rank of every suffix among the distinct ones, in byte order: equal suffixes, equal rank."""
-    n = len(suffixes)
+SHALLOW = 16
+#: Where the words of the deep comparison begin; the last overlaps its predecessor.
+DEEP_WORDS = [*range(SHALLOW, LENGTH - 8, 8), LENGTH - 8]
+
+
+def big_endian(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, first byte highest; zeros follow the end."""
+    x = np.r_[raw, np.zeros(8, np.uint8)].astype(np.uint64)
+    two = (x[:-1] << np.uint64(8)) | x[1:]
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    return ((four[:-4] << np.uint64(32)) | four[4:])[: len(raw)]
+
+
+def _middle(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+
+def multikey(order: np.ndarray, start: np.ndarray, end: np.ndarray, places: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of the ranges [start, end) of ``order`` (numbers of suffixes) to the shallow depth.
+
+    All ranges of a round are partitioned at once around the median of three of their words: smaller
+    and larger ones go on at the same depth, equal ones a word deeper.  ``order`` is sorted in
+    place; returned are the ranges of two or more suffixes that agree to the shallow depth.
+    """
+    depth = np.zeros(len(start), dtype=np.int64)
+    deep: list[tuple[np.ndarray, np.ndarray]] = []
+    alive = end - start > 1
+    start, end, depth = start[alive], end[alive], depth[alive]
+    while len(start):
+        size = end - start
+        at = np.repeat(start, size) + ramps(size)
+        own = order[at]
+        key = word[places[own] + np.repeat(depth, size)]
+        begin = np.cumsum(size) - size
+        pivot = np.repeat(_middle(key[begin], key[begin + size // 2], key[begin + size - 1]), size)
+        less, same = key < pivot, key == pivot
+        n_less, n_same = np.add.reduceat(less, begin, dtype=np.int64), np.add.reduceat(same, begin, dtype=np.int64)
+        # stable places: within its part, a suffix follows those before it
+        rank_less, rank_same = np.cumsum(less) - less, np.cumsum(same) - same
+        inside = ramps(size)
+        rank_less -= np.repeat(rank_less[begin], size)
+        rank_same -= np.repeat(rank_same[begin], size)
+        to = np.where(less, rank_less, np.where(same, np.repeat(n_less, size) + rank_same, np.repeat(n_less + n_same, size) + inside - rank_less - rank_same))
+        order[np.repeat(start, size) + to] = own
+        a, b = start + n_less, start + n_less + n_same
+        deeper = depth + 8
+        final = (deeper >= SHALLOW) & (b - a > 1)
+        deep.append((a[final], b[final]))
+        parts = [(start, a, depth), (a, b, deeper), (b, end, depth)]
+        start, end, depth = (np.concatenate(x) for x in zip(*parts))
+        alive = (end - start > 1) & (depth < SHALLOW)
+        start, end, depth = start[alive], end[alive], depth[alive]
+    if not deep:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in deep]), np.concatenate([x for _, x in deep])
+
+
+def _first_bit(x: np.ndarray) -> np.ndarray:
+    """How many leading zero bits each value has."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> np.uint64(shift))
+    return 64 - np.bitwise_count(x).astype(np.int64)
+
+
+class BlindTries:
+    """Blind tries of many groups of suffixes, grown side by side.
+
+    An inner node holds only the first bit in which its two sides differ.  A suffix follows the
+    branches to some leaf, is compared with that leaf's suffix alone, and either is equal to it or
+    gets a node at the first differing bit.  Each turn takes one suffix from every group; those that are
+    equal to the leaf just made are taken along while a group is young.
+    """
+
+    TOGETHER = 3
+
+    def __init__(self, raw: np.ndarray, word: np.ndarray, places: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.raw, self.word, self.places = raw, word, places
+        size = end - start
+        by_size = np.argsort(-size, kind="stable")
+        #: groups by descending size; each has room for 2 * size nodes
+        self.start, self.size = start[by_size], size[by_size]
+        self.room = np.cumsum(2 * self.size) - 2 * self.size
+        n = int(2 * self.size.sum())
+        self.bit = np.full(n, -1, dtype=np.int64)
+        self.low, self.high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.suffix = np.zeros(n, np.int64)
+        self.root = self.room.copy()
+        self.used = np.ones(len(self.size), dtype=np.int64)
+        #: the leaf of every place in the groups, or -1
+        self.leaf = np.full(len(places), -1, dtype=np.int64)
+        self._grow()
+
+    def _bit(self, suffix: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        return (self.raw[suffix + (bit >> 3)] >> (7 - (bit & 7)).astype(np.uint8)) & np.uint8(1)
+
+    def _same(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether suffixes are equal, and else their first differing bit."""
+        bit = np.full(len(a), -1, dtype=np.int64)
+        for d in DEEP_WORDS:
+            left = np.flatnonzero(bit < 0)
+            x = self.word[a[left] + d] ^ self.word[b[left] + d]
+            some = x > 0
+            bit[left[some]] = 8 * d + _first_bit(x[some])
+        return bit < 0, bit
+
+    def _take_along(self, g: np.ndarray, leaf: np.ndarray) -> None:
+        """Gives a leaf to all suffixes of its group that are equal to it."""
+        size = self.size[g]
+        at = np.repeat(self.start[g], size) + ramps(size)
+        free = self.leaf[at] < 0
+        at, own = at[free], np.repeat(leaf, size)[free]
+        same, _ = self._same(self.places[at], self.suffix[own])
+        self.leaf[at[same]] = own[same]
+
+    def _grow(self) -> None:
+        groups = np.arange(len(self.size))
+        self.suffix[self.room] = self.places[self.start]
+        self.leaf[self.start] = self.room
+        self._take_along(groups, self.room)
+        for turn in range(1, int(self.size.max(initial=0))):
+            g = groups[: np.searchsorted(-self.size, -turn)]  # those with more than ``turn`` suffixes
+            g = g[self.leaf[self.start[g] + turn] < 0]
+            if not len(g):
+                continue
+            at = self.start[g] + turn
+            x = self.places[at]
+            found = self._follow(g, x, np.full(len(g), 8 * LENGTH))[0]
+            same, bit = self._same(x, self.suffix[found])
+            self.leaf[at[same]] = found[same]
+            g, at, x, bit = (v[~same] for v in (g, at, x, bit))
+            if not len(g):
+                continue
+            below, parent, side = self._follow(g, x, bit)
+            leaf, inner = self.room[g] + self.used[g], self.room[g] + self.used[g] + 1
+            self.used[g] += 2
+            self.suffix[leaf], self.bit[inner], self.leaf[at] = x, bit, leaf
+            one = self._bit(x, bit) == 1
+            self.low[inner], self.high[inner] = np.where(one, below, leaf), np.where(one, leaf, below)
+            top = parent < 0
+            self.root[g[top]] = inner[top]
+            up = ~top & (side == 0)
+            self.low[parent[up]] = inner[up]
+            up = ~top & (side == 1)
+            self.high[parent[up]] = inner[up]
+            if turn <= self.TOGETHER:
+                self._take_along(g, leaf)
+
+    def _follow(self, g: np.ndarray, x: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Node reached from the root by the suffix's bits, down to a leaf or to the first node at or
+        beyond bit ``until``; with its parent (-1: none) and side."""
+        node, parent, side = self.root[g], np.full(len(g), -1, np.int64), np.zeros(len(g), np.int64)
+        left = np.flatnonzero((self.bit[node] >= 0) & (self.bit[node] < until))
+        while len(left):
+            at = node[left]
+            one = self._bit(x[left], self.bit[at])
+            parent[left], side[left] = at, one
+            node[left] = np.where(one == 1, self.high[at], self.low[at])
+            bit = self.bit[node[left]]
+            left = left[(bit >= 0) & (bit < until[left])]
+        return node, parent, side
+
+    def ranks(self) -> np.ndarray:
+        """Number of every leaf among its group's, in the order of the suffixes, by node."""
+        rank = np.zeros(len(self.bit), dtype=np.int64)
+        stack = np.zeros(len(self.bit), dtype=np.int64)
+        depth, given = np.ones(len(self.size), np.int64), np.zeros(len(self.size), np.int64)
+        stack[self.room] = self.root
+        g = np.arange(len(self.size))
+        while len(g):
+            node = stack[self.room[g] + depth[g] - 1]
+            inner = self.bit[node] >= 0
+            leaf = g[~inner]
+            rank[node[~inner]] = given[leaf]
+            given[leaf] += 1
+            depth[leaf] -= 1
+            own = g[inner]
+            at = self.room[own] + depth[own] - 1
+            stack[at], stack[at + 1] = self.high[node[inner]], self.low[node[inner]]
+            depth[own] += 1
+            g = g[depth[g] > 0]
+        return rank
+
+
+def suffix_sort(raw: np.ndarray, places: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): numbers of the suffixes at ``places`` sorted by group and then by their first
+    ``LENGTH`` bytes, and whether each differs from its predecessor in that order."""
+    n = len(places)
     if not n:
-        return np.zeros(0, np.int64)
-    group = np.zeros(n, dtype=np.int64)
-    order = np.arange(n)
-    live = np.ones(n, dtype=bool)
-    # shallow: three-way partition by words; only groups of two or more go on
-    for word in range(SHALLOW_WORDS):
-        key = np.zeros(n, dtype=np.uint64)
-        key[live] = _words(suffixes[live], word)
-        order = np.lexsort((key, group))
-        g, k = group[order], key[order]
-        new = np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]
-        group[order] = np.cumsum(new) - 1
-        live = np.bincount(group)[group] > 1
-    # deep: a group either is one string throughout or is ordered by a blind trie of its strings
-    depth = 8 * SHALLOW_WORDS
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    word = big_endian(raw)
     order = np.argsort(group, kind="stable")
-    rest = np.ascontiguousarray(suffixes[order, depth:])
-    sizes = np.bincount(group)
-    starts = np.cumsum(sizes) - sizes
-    head = np.repeat(starts, sizes)
-    even = (rest == rest[head]).all(axis=1)
-    mixed_groups = np.flatnonzero(np.bincount(group[order][~even], minlength=len(sizes)))
-    inner = np.zeros(n, dtype=np.int64)
-    count = np.ones(len(sizes), dtype=np.int64)
-    for g in mixed_groups.tolist():
-        a, b = int(starts[g]), int(starts[g] + sizes[g])
-        strings = [r.tobytes() for r in rest[a:b]]
-        number: dict[bytes, int] = {}
-        trie = BlindTrie()
-        for s in strings:
-            if s not in number:
-                number[s] = len(number)
-                trie.insert(s, number[s])
-        rank = {v: k for k, v in enumerate(trie.ordered())}
-        inner[a:b] = [rank[number[s]] for s in strings]
-        count[g] = len(number)
-    base = np.cumsum(count) - count
-    out = np.empty(n, dtype=np.int64)
-    out[order] = base[group[order]] + inner
-    return out
+    g = group[order]
+    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    start, end = multikey(order, start, np.r_[start[1:], n], places, word)
+    new = np.ones(n, dtype=bool)
+    if len(start):
+        tries = BlindTries(raw, word, places[order], start, end)
+        rank = tries.ranks()
+        size = end - start
+        at = np.repeat(start, size) + ramps(size)
+        own = rank[tries.leaf[at]]
+        of = np.repeat(np.arange(len(start)), size)
+        inside = np.lexsort((own, of))
+        order[at] = order[at][inside]
+        own, of = own[inside], of[inside]
+        new[at] = np.r_[True, (own[1:] != own[:-1]) | (of[1:] != of[:-1])]
+    return order, new
 
 
 # --- the passes ----------------------------------------------------------------------------------
 
-META = "shard int, block int, payload binary"
-MARKS = "block int, kind int, shard int, payload binary"
+SENT = "shard long, block int, payload binary"
+MARKS = "block int, kind int, node long, payload binary"
+_SENT = pa.schema([("shard", pa.int64()), ("block", pa.int32()), ("payload", pa.binary())])
+_MARKS = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("node", pa.int64()), ("payload", pa.binary())])
 
 
-def _first_pass(shards: int):
-    def go(key, table):
-        block = key[0].as_py()
-        _, ids, texts = _block_docs(table)
-        a = Anchors(texts)
-        c = a.classes(ids, shards)
-        rows = []
-        for s in np.flatnonzero(np.diff(c.bounds)).tolist():
-            at = c.first[c.bounds[s] : c.bounds[s + 1]]
-            docs, index = np.unique(a.row[at], return_inverse=True)
-            step = np.diff(index.ravel(), prepend=0)
-            payload = b"".join(
-                [struct.pack("<II", len(at), len(docs)), ids[docs].astype("<i8").tobytes(), step.astype("<u1").tobytes(), _six(a.anchor[at]), _six(a.segment[at])]
-            )
-            rows.append({"shard": s, "block": block, "payload": payload})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())]))
+def _settle(anchor, segment, doc):
+    """What is to be done under each anchor: windows can be equal across documents where there is more
+    than one class and more than one smallest document."""
+    start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    size = np.diff(np.r_[start, len(anchor)])
+    live = (size > 1) & (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))
+    code = np.where(live, np.where(size > HOT_CLASSES, SEND_DEALT, SEND), NONE)
+    return [np.repeat(code, size).astype(np.uint64)], []
 
-    return go
 
+def _give(own, met, found):
+    return [np.where(own > met, np.uint64(SETTLED), found[0])]
 
-def _meet(key, table):
-    """Codes of every entry of a shard: settled (1) or to be sent (2)."""
-    shard = key[0].as_py()
-    blocks, parts, sizes = table["block"].to_pylist(), [], []
-    for raw in table["payload"]:
-        raw = raw.as_py()
-        n, d = struct.unpack_from("<II", raw)
-        at = 8
-        ids = np.frombuffer(raw, "<i8", d, at)
-        at += 8 * d
-        index = np.cumsum(np.frombuffer(raw, "<u1", n, at).astype(np.int64))
-        at += n
-        parts.append((ids[index], _of_six(raw[at : at + 6 * n]), _of_six(raw[at + 6 * n : at + 12 * n])))
-        sizes.append(n)
-    doc, anchor, segment = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((doc, segment, anchor))
-    d, a, s = doc[order], anchor[order], segment[order]
-    new_anchor = np.r_[True, a[1:] != a[:-1]]
-    new_class = new_anchor | np.r_[True, s[1:] != s[:-1]]
-    of_class, of_anchor = np.cumsum(new_class) - 1, np.cumsum(new_anchor) - 1
-    least = d[np.flatnonzero(new_class)][of_class]
-    starts = np.flatnonzero(new_anchor)
-    spread = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
-    classes = np.bincount(of_anchor, weights=new_class)
-    code = np.zeros(len(doc), dtype=np.uint8)
-    code[order] = np.where(d > least, 1, np.where((spread & (classes > 1))[of_anchor], 2, 0))
-    rows, at = [], 0
-    for block, n in zip(blocks, sizes):
-        own = code[at : at + n]
-        at += n
-        if own.any():
-            rows.append({"block": block, "kind": 1, "shard": shard, "payload": np.packbits(np.stack([own == 1, own == 2])).tobytes()})
-    return pa.Table.from_pylist(rows, schema=_MARKS)
 
+MEETING = Meeting(np.minimum, _settle, _give, 1)
 
-_MARKS = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary())])
 
+def _first_pass(tree: Tree):
+    def go(key, table):
+        _, ids, texts = _block_docs(table)
+        c = Classes(Anchors(texts), ids)
+        return rows_of(tree, 1, key[0].as_py(), c.anchor, c.segment, c.doc.view(np.uint64) ^ _SIGN)
 
-def _codes(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=2 * n).astype(bool)
-    return bits[:n], bits[n:]
+    return go
 
 
-def _send(shards: int):
-    def go(key, docs, marks):
+def _sendings(a: Anchors, c: Classes, texts: list[bytes], code: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs of windows to be sorted: whole segments, or single windows under an anchor of many classes."""
+    whole = np.flatnonzero(code == SEND)
+    at = c.first[whole]
+    runs = {
+        "key": c.anchor[whole], "entry": whole, "first": np.zeros(len(at), np.int64), "windows": a.high[at] - a.low[at] + 1,
+        "ahead": a.ahead[at], "row": a.row[at], "low": a.low[at], "doc": c.doc[whole],
+    }
+    dealt = np.flatnonzero(code == SEND_DEALT)
+    if len(dealt):
+        at = c.first[dealt]
+        size = a.high[at] - a.low[at] + 1
+        entry, at, inside = np.repeat(dealt, size), np.repeat(at, size), ramps(size)
+        row, low = a.row[at], a.low[at] + inside
+        begins = np.array([xxhash.xxh3_64_intdigest(texts[r][x : x + SHALLOW]) for r, x in zip(row.tolist(), low.tolist())], dtype=np.uint64)
+        one = {
+            "key": mixed(c.anchor[entry] ^ begins), "entry": entry, "first": inside, "windows": np.ones(len(entry), np.int64),
+            "ahead": a.ahead[at] - inside, "row": row, "low": low, "doc": c.doc[entry],
+        }
+        runs = {k: np.concatenate([v, one[k]]) for k, v in runs.items()}
+    order = np.argsort(runs["key"], kind="stable")
+    return {k: v[order] for k, v in runs.items()}
+
+
+def _send(tree: Tree):
+    def go(key, docs, answers):
         rows = []
-        if docs.num_rows and marks.num_rows:
-            block = docs["block"][0].as_py()
+        if docs.num_rows and answers.num_rows:
             _, ids, texts = _block_docs(docs)
             a = Anchors(texts)
-            c = a.classes(ids, shards)
-            for s, raw in zip(marks["shard"].to_pylist(), marks["payload"].to_pylist()):
-                classes = np.arange(c.bounds[s], c.bounds[s + 1])
-                classes = classes[_codes(raw, len(classes))[1]]
-                at = c.first[classes]
-                if len(at):
-                    body = b"".join(texts[r][x : y + LENGTH] for r, x, y in zip(a.row[at].tolist(), a.low[at].tolist(), a.high[at].tolist()))
-                    payload = b"".join([struct.pack("<I", len(at)), classes.astype("<u4").tobytes(), ids[a.row[at]].astype("<i8").tobytes(), (a.high[at] - a.low[at] + 1).astype("<u1").tobytes(), body])
-                    rows.append({"shard": s, "block": block, "payload": payload})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())]))
+            c = Classes(a, ids)
+            r = _sendings(a, c, texts, answer_columns(answers, 1)[0])
+            shard = tree.lanes(r["key"], tree.levels)
+            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
+            for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)]):
+                own = {k: v[x:y] for k, v in r.items()}
+                shape = (own["first"] | (own["windows"] << 8) | (own["ahead"] << 16)).astype(np.uint64)
+                head = planes(steps(own["key"]), own["entry"].astype(np.uint64), own["doc"].view(np.uint64) ^ _SIGN, shape)
+                sizes = own["windows"] + LENGTH - 1
+                body = b"".join(texts[d][p : p + n] for d, p, n in zip(own["row"].tolist(), own["low"].tolist(), sizes.tolist()))
+                rows.append({"shard": int(shard[x]), "block": key[0].as_py(), "payload": struct.pack("<I", len(head)) + head + body})
+        return pa.Table.from_pylist(rows, schema=_SENT)
 
     return go
 
 
 def _sort(key, table):
-    """Windows of the sent segments that a smaller document holds too, as bit masks per segment."""
-    shard = key[0].as_py()
+    """Windows of the sent runs that a smaller document holds too, as bit masks per segment."""
     parts, bodies = [], []
     blocks = table["block"].to_pylist()
     for number, raw in enumerate(table["payload"]):
         raw = raw.as_py()
         (n,) = struct.unpack_from("<I", raw)
-        entry, doc = np.frombuffer(raw, "<u4", n, 4), np.frombuffer(raw, "<i8", n, 4 + 4 * n)
-        windows = np.frombuffer(raw, "<u1", n, 4 + 12 * n).astype(np.int64)
-        parts.append((np.full(n, number), entry, doc, windows))
-        bodies.append(raw[4 + 13 * n :])
-    number, entry, doc, windows = (np.concatenate(c) for c in zip(*parts))
+        anchor, entry, doc, shape = of_planes(raw[4 : 4 + n], 4)
+        parts.append((np.full(len(entry), number), of_steps(anchor), entry.astype(np.int64), doc, shape.astype(np.int64)))
+        bodies.append(raw[4 + n :])
+    number, anchor, entry, doc, shape = (np.concatenate(c) for c in zip(*parts))
+    first, windows, ahead = shape & 255, (shape >> 8) & 255, shape >> 16
     raw = np.frombuffer(b"".join(bodies), np.uint8)
+    del parts, bodies
     sizes = windows + LENGTH - 1
     begin = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(entry)), windows)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    views = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
-    rank = suffix_classes(views[begin[owner] + inside])
-    least = np.full(int(rank.max()) + 1, NO_ID)
-    np.minimum.at(least, rank, doc[owner])
-    hit = least[rank] < doc[owner]
-    mask = np.zeros(len(entry), dtype=np.uint32)
-    np.bitwise_or.at(mask, owner[hit], np.uint32(1) << inside[hit].astype(np.uint32))
+    owner, inside = np.repeat(np.arange(len(entry)), windows), ramps(windows)
+    _, anchor = np.unique(anchor, return_inverse=True)
+    group = anchor.ravel()[owner] * (CHOICE + 1) + (ahead[owner] - inside)
+    order, new = suffix_sort(raw, begin[owner] + inside, group)
+    starts = np.flatnonzero(new)
+    d = doc[owner[order]]
+    least = np.repeat(np.minimum.reduceat(d, starts), np.diff(np.r_[starts, len(d)])) if len(d) else d
+    hit = order[d > least]
+    bits = np.bincount(owner[hit], weights=2.0 ** (first[owner[hit]] + inside[hit]), minlength=len(entry)).astype(np.uint64)
     rows = []
     for k, block in enumerate(blocks):
-        own = (number == k) & (mask > 0)
+        own = (number == k) & (bits > 0)
         if own.any():
-            rows.append({"block": block, "kind": 2, "shard": shard, "payload": entry[own].astype("<u4").tobytes() + mask[own].astype("<u4").tobytes()})
+            rows.append({"block": block, "kind": 2, "node": 0, "payload": planes(entry[own].astype(np.uint64), bits[own])})
     return pa.Table.from_pylist(rows, schema=_MARKS)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _finish(shards: int, with_bytes: bool):
+def _finish(with_bytes: bool):
     def go(key, docs, marks):
         given, ids, texts = _block_docs(docs)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         base = np.cumsum(sizes) - sizes
         change = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
         a = Anchors(texts)
-        c = a.classes(ids, shards)
-        settled, mask = np.zeros(len(c.first), dtype=bool), np.zeros(len(c.first), dtype=np.uint32)
-        for kind, s, raw in zip(marks["kind"].to_pylist(), marks["shard"].to_pylist(), marks["payload"].to_pylist()):
-            if kind == 1:
-                settled[c.bounds[s] : c.bounds[s + 1]] = _codes(raw, int(c.bounds[s + 1] - c.bounds[s]))[0]
-            else:
-                both = np.frombuffer(raw, "<u4").reshape(2, -1)
-                mask[both[0]] = both[1]
+        c = Classes(a, ids)
+        settled, mask = np.zeros(len(c.first), dtype=bool), np.zeros(len(c.first), dtype=np.uint64)
+        kinds = marks["kind"].to_numpy()
+        if len(c.first):
+            settled = answer_columns(marks.filter(pa.array(kinds == 1)), 1)[0] == SETTLED
+        for raw in marks.filter(pa.array(kinds == 2))["payload"]:
+            entry, bits = of_planes(raw.as_py(), 2)
+            np.bitwise_or.at(mask, entry.astype(np.int64), bits)
         if len(a.row):
             at_byte = base[a.row]
             at = np.flatnonzero(~c.least | settled[c.of])
             np.add.at(change, at_byte[at] + a.low[at], 1)
             np.add.at(change, at_byte[at] + a.high[at] + LENGTH, -1)
             part = np.flatnonzero(c.least & ~settled[c.of] & (mask[c.of] > 0))
-            bits = (mask[c.of[part]][:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+            bits = (mask[c.of[part]][:, None] >> np.arange(CHOICE, dtype=np.uint64)) & np.uint64(1)
             k, w = np.nonzero(bits)
             start = at_byte[part[k]] + a.low[part[k]] + w
             np.add.at(change, start, 1)
             np.add.at(change, start + LENGTH, -1)
         gone = np.cumsum(change[:-1]) > 0
         out: list[list] = [[], [], [], []]
-        for doc_id, text, at in zip(given, texts, base.tolist()):
+        for text, at in zip(texts, base.tolist()):
             own = gone[at : at + len(text)]
             removed = int(own.sum())
             kept = text if not removed else np.frombuffer(text, np.uint8)[~own].tobytes()
@@ -452,10 +543,11 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     own = id_text(docs)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
-    rows = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
-    first = rows.groupBy("block").applyInArrow(_first_pass(parts), META)
-    met = first.groupBy("shard").applyInArrow(_meet, MARKS)
-    sent = rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_send(parts), META)
+    tree = Tree(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES)))
+    rows = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(tree.blocks)).cast("int"))
+    first = rows.groupBy("block").applyInArrow(_first_pass(tree), ROW)
+    answers = meet(first, tree, MEETING)[0].where("source is not null")
+    answers = cut(answers.select(F.col("source").cast("int").alias("block"), F.lit(1).alias("kind"), "node", "payload"))
+    sent = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(tree), SENT)
     found = sent.groupBy("shard").applyInArrow(_sort, MARKS)
-    return rows.groupBy("block").cogroup(met.unionByName(found).groupBy("block")).applyInArrow(_finish(parts, with_bytes), RESULT)
+    return rows.groupBy("block").cogroup(answers.unionByName(found).groupBy("block")).applyInArrow(_finish(with_bytes), RESULT)

@@ -12,8 +12,11 @@ offset of every block's packed words; packed words; exception positions (u2) and
 differences (u4).  Within a block every id loses the block's minimum and is packed at the width
 that covers the given percentile; larger differences ("exceptions") are patched in after unpacking.
 
-Defined cases: null text is empty (end id only); ids are ordered by (doc_id, text), nulls first;
-repeated rows are kept; an empty table writes no shard and gives no rows.
+Defined cases: null text is empty (end id only); texts of any length are encoded whole; rows stand in
+the order of doc_id, nulls first, and of one doc_id in the order of their text's hash; repeated rows are kept; columns other than
+doc_id and text are not read; an empty table writes no shard and gives no rows.
+
+:func:`token_table` writes the files when it is called.  Rows of one doc_id and one text go to one task.
 """
 
 from __future__ import annotations
@@ -29,13 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import byte_slices, ensure_checkpoint_dir, id_text
+from tracewright.llm.arrays import ramps
+from tracewright.llm.common import byte_slices, id_text, scratch
 
 BLOCK = 256
 #: Ids in one shard row at most (a longer document alone may exceed it).
 SHARD_IDS = 2_000_000
 PERCENTILE = 98
-_CACHE_PIECES = 800_000
+#: Pieces that an encoder remembers at most, in two generations: a piece stays while it is met again.
+CACHE_PIECES = 500_000
+SLICE_BYTES = 2 << 20
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -48,7 +54,8 @@ class Encoder:
     """ids of whole texts; remembers the ids of pieces between single spaces and line feeds.
 
     Pieces are numbered; their ids stand one after another in ``flat``.  A slice of texts is split and
-    numbered in one go, so that only its distinct pieces are looked up.
+    numbered in one go, so that only its distinct pieces are looked up.  When ``CACHE_PIECES`` are known,
+    those that were not met since the last such moment are forgotten.
     """
 
     def __init__(self, path: str):
@@ -59,24 +66,23 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = self._ready(Tokenizer.from_file(path))
-        # words of letters alone are one pre-token each: they need no search for bounds, and are given
-        # in the vocabulary's own alphabet for bytes, a line each
-        lines = {"type": "Split", "pattern": {"String": ALPHABET[10]}, "behavior": "Isolated", "invert": False}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        # words of letters alone are one pre-token each: they go to the library's model directly, in the
+        # vocabulary's own alphabet for bytes, without a search for bounds
         plain = spec.get("pre_tokenizer") or {}
-        self.feed = self._ids("\n") if plain.get("type") == "ByteLevel" and not plain.get("add_prefix_space") and not spec.get("normalizer") else []
-        if len(self.feed) == 1:
-            self.words = self._ready(Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": lines, "post_processor": None, "decoder": None, "added_tokens": []})))
-            self.marks = {m: ids[0] for m in MARKS if len(ids := self._ids(m)) == 1}
+        known = plain.get("type") == "ByteLevel" and plain.get("use_regex", True) and not plain.get("add_prefix_space") and not spec.get("normalizer")
+        self.feed = self._ids("\n") if known else []
+        self.regular = len(self.feed) == 1
+        self.marks = {m: ids[0] for m in MARKS if len(ids := self._ids(m)) == 1}
+        ending = "".join(self.marks)
+        self.lettered = rf"^\n?[{LETTERS}]+[{ending}]?$" if ending else rf"^\n?[{LETTERS}]+$"
+        self.ending = ending
+        self.words = self.tokenizer.model
         self._forget()
 
-    @staticmethod
-    def _ready(tokenizer):
-        tokenizer.encode_special_tokens = True
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        return tokenizer
-
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -85,80 +91,89 @@ class Encoder:
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int32)
+        self.met = np.zeros(1 << 14, dtype=bool)
         self.used = 0
 
+    def _age(self) -> None:
+        """Keeps the pieces met since the last call, and as few as half of the room at most."""
+        n = len(self.known)
+        stay = self.met[:n]
+        if 2 * int(stay.sum()) > CACHE_PIECES:
+            return self._forget()
+        names = [name for name, number in self.known.items() if stay[number]]
+        old = np.array([self.known[name] for name in names], dtype=np.int64)
+        size = self.length[old].astype(np.int64)
+        flat = self.flat[np.repeat(self.start[old], size) + ramps(size)]
+        self._forget()
+        self._add(names, flat, size)
+        self.met[:] = False
+
+    def _add(self, names: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        first, many = len(self.known), len(names)
+        self.flat = _grown(self.flat, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start, self.length, self.met = (_grown(x, first + many) for x in (self.start, self.length, self.met))
+        self.start[first : first + many], self.length[first : first + many] = self.used + np.cumsum(size) - size, size
+        self.met[first : first + many] = False
+        self.used += len(flat)
+        self.known.update(zip(names, range(first, first + many)))
+
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
-    def _each(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all words, and how many each has: one encoding of them, line by line."""
-        ids, sizes = [], []
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            text = "\n".join(part)
-            if tokenizer is self.words:
-                text = text.encode("utf-8").decode("latin-1").translate(ALPHABET)
-            own = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = np.flatnonzero(own == self.feed[0])
-            if len(ends) == len(part) - 1:
-                ids.append(np.delete(own, ends))
-                sizes.append(np.diff(np.r_[-1, ends, len(own)]) - 1)
-            else:
-                each = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                ids += each
-                sizes.append(np.array([len(e) for e in each]))
-        return (np.concatenate(ids), np.concatenate(sizes)) if sizes else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    def _model_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words that are one pre-token each, and how many each has."""
+        ids: list[int] = []
+        sizes: list[int] = []
+        tokenize = self.words.tokenize
+        for word in "\n".join(words).encode("utf-8").decode("latin-1").translate(ALPHABET).split(ALPHABET[10]) if words else ():
+            got = tokenize(word)
+            sizes.append(len(got))
+            ids += [t.id for t in got]
+        return np.array(ids, dtype=np.uint32), np.array(sizes, dtype=np.int64)
+
+    def _text_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words."""
+        got = [e.ids for at in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
+        return np.array([i for x in got for i in x], dtype=np.uint32), np.array([len(x) for x in got], dtype=np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
         """Pieces stand after a space, or begin with a line feed; a final mark after letters is a
         pre-token of its own, so words are encoded without it."""
-        lettered: dict[str, int] = {}
-        other: dict[str, int] = {}
-        place, head, mark = [], [], []
-        marks, none = self.marks, -1
-        for piece in pieces:
-            fed = piece[0] == "\n"
-            core = piece[1:] if fed else piece
-            last = marks.get(core[-1], none)
-            if last >= 0:
-                if (bare := core[:-1]).isalpha():
-                    core, letters = bare, True
-                else:
-                    last, letters = none, False
-            else:
-                letters = core.isalpha()
-            word = core if fed else f" {core}"
-            place.append(lettered.setdefault(word, len(lettered)) if letters else none - other.setdefault(word, len(other)))
-            head.append(fed)
-            mark.append(last)
-        a, b = self._each(self.words, list(lettered)), self._each(self.tokenizer, list(other))
-        ids, size = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]).astype(np.int64)
+        names = pa.array(pieces, pa.string())
+        fed = pc.starts_with(names, "\n").to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(names, self.lettered).to_numpy(zero_copy_only=False)
+        last = np.full(len(pieces), -1, dtype=np.int64)
+        for mark, number in self.marks.items():
+            last[pc.ends_with(names, mark).to_numpy(zero_copy_only=False) & plain] = number
+        # stems: words without line feed and mark, after their space
+        core = pc.if_else(pa.array(plain), pc.utf8_trim(names, "\n" + self.ending), pc.utf8_ltrim(names, "\n"))
+        # only the first line feed is the piece's own; the others' pieces are taken as they are
+        core = pc.if_else(pa.array(~plain & fed), pc.utf8_slice_codeunits(names, 1), core)
+        stems = pc.binary_join_element_wise(pc.if_else(pa.array(fed), "", " "), core, "")
+        own = pc.if_else(pa.array(plain), stems, None).dictionary_encode()
+        rest = pc.if_else(pa.array(plain), None, stems).dictionary_encode()
+        a, b = self._model_ids(own.dictionary.to_pylist()), self._text_ids(rest.dictionary.to_pylist())
+        ids, size = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
         begin = np.cumsum(size) - size
-        stem = np.array(place, dtype=np.int64)
-        stem = np.where(stem < 0, len(lettered) - 1 - stem, stem)
-        fed, last = np.array(head, dtype=bool), np.array(mark, dtype=np.int64)
+        fill = lambda d: pc.fill_null(d.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        stem = np.where(plain, fill(own), len(own.dictionary) + fill(rest))
         n = size[stem] + fed + (last >= 0)
         ends = np.cumsum(n)
         out = np.zeros(int(n.sum()), dtype=np.uint32)
-        inner = np.repeat(ends - n + fed, size[stem]) + _ramps(size[stem])
-        out[inner] = ids[np.repeat(begin[stem], size[stem]) + _ramps(size[stem])]
+        inner = np.repeat(ends - n + fed, size[stem]) + ramps(size[stem])
+        out[inner] = ids[np.repeat(begin[stem], size[stem]) + ramps(size[stem])]
         out[(ends - n)[fed]] = self.feed[0]
         out[(ends - 1)[last >= 0]] = last[last >= 0]
-        first, many = len(self.known), len(pieces)
-        self.flat = _grown(self.flat, self.used + len(out))
-        self.flat[self.used : self.used + len(out)] = out
-        self.start, self.length = _grown(self.start, first + many), _grown(self.length, first + many)
-        self.start[first : first + many], self.length[first : first + many] = self.used + ends - n, n
-        self.used += len(out)
-        self.known.update(zip(pieces, range(first, first + many)))
+        self._add(pieces, out, n)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u4 ids of every text."""
         out: list[bytes] = [b""] * len(texts)
-        if len(self.known) > _CACHE_PIECES:
-            self._forget()
-        regular = [k for k, t in enumerate(texts) if t and len(self.feed) == 1 and _regular(t)]
+        if len(self.known) > CACHE_PIECES:
+            self._age()
+        regular = [k for k, t in enumerate(texts) if t and self.regular and _regular(t)]
         known = set(regular)
         odd = [k for k, t in enumerate(texts) if t and k not in known]
         for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else ()):
@@ -168,16 +183,20 @@ class Encoder:
         # a text is taken as if after a line feed, whose id is then cut off
         whole = "".join(f"\n{texts[k]}" for k in regular).replace("\n", " \n")
         pieces = pc.split_pattern(pa.array([whole], pa.large_string()), " ").flatten().slice(1).dictionary_encode()
+        del whole
         # no piece holds a space: the distinct ones come over as one string
         names = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary.cast(pa.string())), " ")[0].as_py().split(" ")
         number = list(map(self.known.get, names))
         if None in number:
             self._learn([p for p, k in zip(names, number) if k is None])
             number = list(map(self.known.__getitem__, names))
-        at = np.array(number, dtype=np.int64)[pieces.indices.to_numpy()]
-        size = self.length[at].astype(np.int64)
-        ends = np.cumsum(size)
-        flat = self.flat[np.repeat(self.start[at], size) + _ramps(size)]
+        distinct = np.array(number, dtype=np.int32)
+        self.met[distinct] = True
+        at = distinct[pieces.indices.to_numpy()]
+        size = self.length[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        # place in ``flat`` of every id: where its piece begins there, less where it begins here
+        flat = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]))]
         last = np.cumsum([texts[k].count(" ") + texts[k].count("\n") + 1 for k in regular]) - 1
         begin = 0
         for k, end in zip(regular, ends[last].tolist()):
@@ -186,12 +205,6 @@ class Encoder:
         return out
 
 
-def _ramps(sizes: np.ndarray) -> np.ndarray:
-    """0..n-1 for every n, one after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-
-
 def _grown(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
@@ -206,6 +219,8 @@ def _alphabet() -> dict[int, str]:
 ALPHABET = _alphabet()
 #: Marks that end a word in running text.
 MARKS = ",.;:!?"
+#: Letters below U+0250, for a character class; words with others are encoded as any text is.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: White space other than space and line feed, as Unicode and Python know it.
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _ASCII_SPACE = _OTHER_SPACE[:8]
@@ -323,7 +338,7 @@ def decode_shard(blob: bytes) -> np.ndarray:
 def encoded(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list, list[bytes]]]]:
     def go(batches):
         enc = encoder(vocabulary)
-        for ids, texts in byte_slices(batches, 4 << 20):
+        for ids, texts in byte_slices(batches, SLICE_BYTES):
             yield ids, enc.encode(texts)
 
     return go
@@ -421,9 +436,7 @@ def read_shards(spark, path: str) -> DataFrame:
 
 def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, path: str | None = None) -> DataFrame:
     """Write the shard files (under the shared checkpoint folder unless ``path``) and read them back."""
-    import uuid
-
     spark = docs.sparkSession
-    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-shards-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "token-shards")
     write_shards(docs, path, vocabulary or public_vocabulary(), end_id)
     return read_shards(spark, path)

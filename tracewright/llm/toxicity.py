@@ -5,12 +5,17 @@ hashed to 2^20 places.  Training follows the FTRL-proximal rule: every coordinat
 from its squared gradients, and L1 keeps all but the telling coordinates at exactly zero, so the
 model is a short list of (place, weight) that is broadcast.
 
-The fit reads a bounded sample of labelled rows - at most ``PER_CLASS`` of each label, the smallest
-by hash of doc_id - in one task; scoring is one narrow pass over all documents.
-
-Defined cases: null or empty text has only the bias; rows without a label do not train; a doc_id
-labelled more than once counts as toxic if any label says so; without any label of either class the
+The fit reads a bounded sample of labelled rows: at most ``PER_CLASS`` doc_ids of each label, the smallest
+by hash.  Their texts train in shards of about ``SHARD_BYTES`` (at that bound usually one), each over
+whole texts in one task that holds its features; the shards' weights are averaged by their rows.  Scoring is one narrow
+pass over all documents.
+
+Defined cases: null or empty text has only the bias; texts of any length are used whole; rows without a label do not train; a doc_id
+labelled more than once counts as toxic if any label says so; repeated rows of a labelled doc_id each train, and each are scored, alike; ties in the
+order of training fall to (doc_id, text); other columns are not read, so none can clash; without any label of either class the
 model is empty and every score is 0.5; an empty table gives no rows.
+
+:func:`toxicity` fits the model when it is called.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import byte_slices, crc_col, id_text, mixed, plain_words, word_hashes
+from tracewright.llm.common import byte_slices, crc_col, cut, id_text, mixed, plain_words, word_hashes
 
 BITS = 20
 PER_CLASS = 6000
 EPOCHS = 6
+SHARD_BYTES = 64 << 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
 
 
@@ -55,7 +61,7 @@ class Ftrl:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
-        at = np.append(np.unique(at), len(self.z) - 1)
+        at = np.append(np.unique(at).astype(np.int64), len(self.z) - 1)
         w = self.weights(at)
         g = sigmoid(w.sum()) - label
         n = self.n[at]
@@ -92,21 +98,35 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column | None = None, per_cl
         labels = labels.where(learns)
     sample = sample_ids(labels, per_class)
     rows = id_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
+    rows = cut(rows)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-total // SHARD_BYTES))
+    dealt = rows.repartition(shards).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
 
     def train(batches):
-        data = [(places(t), y) for b in batches for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        if len({y for _, y in data}) < 2:
+        features, ends, marks = [], [0], []
+        for ids, texts, labels_ in ((b.column(0), b.column(1), b.column(2)) for b in batches):
+            for text, y in zip(texts.to_pylist(), labels_.to_pylist()):
+                features.append(np.unique(places(text)).astype(np.uint32))
+                ends.append(ends[-1] + len(features[-1]))
+                marks.append(y)
+        if len(set(marks)) < 2:
             return
+        flat = np.concatenate(features)
+        del features
         model = Ftrl()
         for _ in range(EPOCHS):
-            for at, y in data:
-                model.learn(at, y)
+            for a, b, y in zip(ends[:-1], ends[1:], marks):
+                model.learn(flat[a:b], y)
         at, w = model.sparse()
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["place", "weight"])
-
-    got = one.mapInArrow(train, "place long, weight double").collect()
-    return np.array([r["place"] for r in got], dtype=np.int64), np.array([r["weight"] for r in got])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w * len(marks))], names=["place", "weight"])
+        # how many rows this shard trained on, once
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([float(len(marks))])], names=["place", "weight"])
+
+    got = {r["place"]: r["weight"] for r in dealt.mapInArrow(train, "place long, weight double").groupBy("place").agg(F.sum("weight").alias("weight")).collect()}
+    trained = got.pop(-1, 1.0)
+    at = np.array(sorted(got), dtype=np.int64)
+    return at, np.array([got[k] / trained for k in at.tolist()])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
