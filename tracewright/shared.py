@@ -40,13 +40,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def made() -> tuple[str, ...]:
+    """Tables of :func:`scratch` that were not released."""
+    return tuple(_MADE)
+
+
 def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
     """Deletes the tables of :func:`scratch` but those in ``keep``; their readers must have run."""
     conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    for made in [p for p in _MADE if p not in keep]:
-        path = path_of(made)
+    for name in [p for p in _MADE if p not in keep]:
+        path = path_of(name)
         path.getFileSystem(conf).delete(path, True)
-        _MADE.remove(made)
+        _MADE.remove(name)
 
 
 def free_prefix(df: DataFrame, wish: str) -> str:
