@@ -825,7 +825,7 @@ def test_entries_meet_in_a_tree(spark, blocks, fan_bits):
     facts = np.array([f for f in table["facts"].to_pylist() if f]).sum(axis=0)
     assert facts.tolist() == [len(total), sum(total.values())]
     for level in up:
-        assert level.count() <= blocks * 2**fan_bits + 2**fan_bits
+        assert level.count() <= 2 * blocks * 2**fan_bits
 
 
 def test_planes_round_trip():
