@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import cut, id_text
-from tracewright.llm.tokens import encoded, public_vocabulary
+from tracewright.llm.tokens import encoded, forget_encoders, public_vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one rank group; the salt grows with the table.
@@ -195,6 +195,7 @@ def pack(parts: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
     names = [*parts.columns, "sequence_id", "offset"]
 
     def place(batches):
+        forget_encoders()
         for batch in batches:
             t = pa.Table.from_batches([batch])
             length, rank = t["length"].to_numpy(), t["rank"].to_numpy()

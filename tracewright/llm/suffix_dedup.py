@@ -134,7 +134,8 @@ class Anchors:
         place = (low_bits - (chosen[at] & low_bits)).astype(np.int64)
         size = high - low + LENGTH
         seg = h32[low] * np.uint64(0xBF58476D1CE4E5B9) + h32[low + (size - 32) // 2] * np.uint64(0x94D049BB133111EB) + h32[low + size - 32] + size.astype(np.uint64)
-        return [(row + first, low - begins[row], high - begins[row], gram[place], mixed(seg), place - low)]
+        # chosen hashes are small ones: they are mixed again, so that shards by their first bits are even
+        return [(row + first, low - begins[row], high - begins[row], mixed(gram[place] ^ _A), mixed(seg), place - low)]
 
 
 class Classes:

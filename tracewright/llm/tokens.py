@@ -236,6 +236,21 @@ def _regular(text: str) -> bool:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def forget_encoders() -> None:
+    """Gives a worker's memory of encoders back to the machine, before work of another kind."""
+    import ctypes
+    import gc
+
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
