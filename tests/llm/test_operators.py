@@ -599,6 +599,8 @@ def test_suffix_sort_follows_byte_order(groups):
     m[:, :40] = 97
     m[::3] = m[0]
     m[1::9, :20] = rng.integers(97, 100, (len(m[1::9]), 20))
+    m[2::9, :48] = 97  # large groups that differ in their last bytes, or not at all
+    m[5::9, :49] = 98
     group = rng.integers(0, groups, 3000)
     order, new = suffix_dedup.suffix_sort(m.ravel(), np.arange(3000) * 50, group)
     name = [(int(g), r.tobytes()) for g, r in zip(group, m)]

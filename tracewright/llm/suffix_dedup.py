@@ -19,14 +19,14 @@ smaller doc_id.  Suffixes are compared to that depth only.
    its smallest doc_id decides.
 4. Marks return to the source blocks, where removed runs are counted and cut.
 
-Texts are shuffled once, by block; the three passes over them share that exchange.  Blocks and
+Texts are shuffled once, by block; the three passes over them share that exchange, and the answers of the meeting travel on with what is sent.  Blocks and
 shards hold a bounded number of bytes.
 
 Defined cases: null text is empty; texts under ``LENGTH`` bytes lose nothing; texts of any length are used
 whole; a null doc_id counts as larger than every other; rows with equal doc_ids (repeated rows too) do not remove from each other;
 columns other than doc_id and text are not read; an empty table gives no rows.
 
-:func:`remove_repeats` runs the meeting when it is called.
+:func:`remove_repeats` measures the texts when it is called.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrays import of_planes, of_steps, planes, ramps, steps
-from tracewright.llm.common import cut, id_text, mixed
+from tracewright.llm.common import id_text, mixed
 from tracewright.llm.exchange import ROW, Meeting, Tree, answer_columns, meet, rows_of
 
 LENGTH, GRAM = 50, 20
@@ -173,6 +173,8 @@ def _block_docs(t: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
 # --- deep-shallow sorting ----------------------------------------------------------------------
 
 SHALLOW = 16
+#: Suffixes that a blind trie takes.
+BLIND = 64
 #: Where the words of the deep comparison begin; the last overlaps its predecessor.
 DEEP_WORDS = [*range(SHALLOW, LENGTH - 8, 8), LENGTH - 8]
 
@@ -189,22 +191,26 @@ def _middle(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
 
 
-def multikey(order: np.ndarray, start: np.ndarray, end: np.ndarray, places: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of the ranges [start, end) of ``order`` (numbers of suffixes) to the shallow depth.
+def multikey(order: np.ndarray, start: np.ndarray, end: np.ndarray, places: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multikey quicksort of the ranges [start, end) of ``order`` (numbers of suffixes).
 
     All ranges of a round are partitioned at once around the median of three of their words: smaller
     and larger ones go on at the same depth, equal ones a word deeper.  ``order`` is sorted in
-    place; returned are the ranges of two or more suffixes that agree to the shallow depth.
+    place; returned are the ranges that are left, with start, end and whether they agree to the full depth: else they
+    agree to the shallow depth and are small enough for a trie.
     """
     depth = np.zeros(len(start), dtype=np.int64)
-    deep: list[tuple[np.ndarray, np.ndarray]] = []
+    left: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(start[:0], end[:0], np.zeros(0, bool))]
     alive = end - start > 1
     start, end, depth = start[alive], end[alive], depth[alive]
     while len(start):
         size = end - start
-        at = np.repeat(start, size) + ramps(size)
-        own = order[at]
+        own = order[np.repeat(start, size) + ramps(size)]
         key = word[places[own] + np.repeat(depth, size)]
+        # of a word that reaches beyond the full depth only the bytes within count
+        over = np.maximum(depth + 8 - LENGTH, 0)
+        if over.any():
+            key &= np.repeat(~np.uint64(0) << (8 * over).astype(np.uint64), size)
         begin = np.cumsum(size) - size
         pivot = np.repeat(_middle(key[begin], key[begin + size // 2], key[begin + size - 1]), size)
         less, same = key < pivot, key == pivot
@@ -217,16 +223,15 @@ def multikey(order: np.ndarray, start: np.ndarray, end: np.ndarray, places: np.n
         to = np.where(less, rank_less, np.where(same, np.repeat(n_less, size) + rank_same, np.repeat(n_less + n_same, size) + inside - rank_less - rank_same))
         order[np.repeat(start, size) + to] = own
         a, b = start + n_less, start + n_less + n_same
-        deeper = depth + 8
-        final = (deeper >= SHALLOW) & (b - a > 1)
-        deep.append((a[final], b[final]))
-        parts = [(start, a, depth), (a, b, deeper), (b, end, depth)]
+        parts = [(start, a, depth), (a, b, depth + 8), (b, end, depth)]
         start, end, depth = (np.concatenate(x) for x in zip(*parts))
-        alive = (end - start > 1) & (depth < SHALLOW)
+        alive = end - start > 1
         start, end, depth = start[alive], end[alive], depth[alive]
-    if not deep:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in deep]), np.concatenate([x for _, x in deep])
+        equal = depth >= LENGTH
+        done = equal | ((depth >= SHALLOW) & (end - start <= BLIND))
+        left.append((start[done], end[done], equal[done]))
+        start, end, depth = start[~done], end[~done], depth[~done]
+    return tuple(np.concatenate(x) for x in zip(*left))
 
 
 def _first_bit(x: np.ndarray) -> np.ndarray:
@@ -355,6 +360,13 @@ class BlindTries:
         return rank
 
 
+def _ranges(start: np.ndarray, end: np.ndarray, equal: np.ndarray) -> tuple[list, list, list]:
+    """The ranges that are equal, and the others, each where there are some."""
+    sides = [(side, start[equal == side], end[equal == side]) for side in (True, False)]
+    sides = [x for x in sides if len(x[1])]
+    return [x[1] for x in sides], [x[2] for x in sides], [x[0] for x in sides]
+
+
 def suffix_sort(raw: np.ndarray, places: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): numbers of the suffixes at ``places`` sorted by group and then by their first
     ``LENGTH`` bytes, and whether each differs from its predecessor in that order."""
@@ -365,15 +377,16 @@ def suffix_sort(raw: np.ndarray, places: np.ndarray, group: np.ndarray) -> tuple
     order = np.argsort(group, kind="stable")
     g = group[order]
     start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    start, end = multikey(order, start, np.r_[start[1:], n], places, word)
+    start, end, equal = multikey(order, start, np.r_[start[1:], n], places, word)
     new = np.ones(n, dtype=bool)
-    if len(start):
-        tries = BlindTries(raw, word, places[order], start, end)
-        rank = tries.ranks()
-        size = end - start
-        at = np.repeat(start, size) + ramps(size)
-        own = rank[tries.leaf[at]]
-        of = np.repeat(np.arange(len(start)), size)
+    for x, y, same in zip(*_ranges(start, end, equal)):
+        at = np.repeat(x, y - x) + ramps(y - x)
+        if same:
+            new[at] = ramps(y - x) == 0
+            continue
+        tries = BlindTries(raw, word, places[order], x, y)
+        own = tries.ranks()[tries.leaf[at]]
+        of = np.repeat(np.arange(len(x)), y - x)
         inside = np.lexsort((own, of))
         order[at] = order[at][inside]
         own, of = own[inside], of[inside]
@@ -384,9 +397,9 @@ def suffix_sort(raw: np.ndarray, places: np.ndarray, group: np.ndarray) -> tuple
 # --- the passes ----------------------------------------------------------------------------------
 
 SENT = "shard long, block int, payload binary"
-MARKS = "block int, kind int, node long, payload binary"
+MARKS = "block int, kind int, payload binary"
 _SENT = pa.schema([("shard", pa.int64()), ("block", pa.int32()), ("payload", pa.binary())])
-_MARKS = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("node", pa.int64()), ("payload", pa.binary())])
+_MARKS = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
 def _settle(anchor, segment, doc):
@@ -446,7 +459,11 @@ def _send(tree: Tree):
             _, ids, texts = _block_docs(docs)
             a = Anchors(texts)
             c = Classes(a, ids)
-            r = _sendings(a, c, texts, answer_columns(answers, 1)[0])
+            code = answer_columns(answers, 1)[0]
+            # the answers go on to the last pass by a shard of their own
+            block = key[0].as_py()
+            rows.append({"shard": -1 - block, "block": block, "payload": planes(code)})
+            r = _sendings(a, c, texts, code)
             shard = tree.lanes(r["key"], tree.levels)
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
             for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)]):
@@ -455,7 +472,7 @@ def _send(tree: Tree):
                 head = planes(steps(own["key"]), own["entry"].astype(np.uint64), own["doc"].view(np.uint64) ^ _SIGN, shape)
                 sizes = own["windows"] + LENGTH - 1
                 body = b"".join(texts[d][p : p + n] for d, p, n in zip(own["row"].tolist(), own["low"].tolist(), sizes.tolist()))
-                rows.append({"shard": int(shard[x]), "block": key[0].as_py(), "payload": struct.pack("<I", len(head)) + head + body})
+                rows.append({"shard": int(shard[x]), "block": block, "payload": struct.pack("<I", len(head)) + head + body})
         return pa.Table.from_pylist(rows, schema=_SENT)
 
     return go
@@ -465,6 +482,8 @@ def _sort(key, table):
     """Windows of the sent runs that a smaller document holds too, as bit masks per segment."""
     parts, bodies = [], []
     blocks = table["block"].to_pylist()
+    if key[0].as_py() < 0:
+        return pa.Table.from_pylist([{"block": blocks[0], "kind": 1, "payload": table["payload"][0].as_py()}], schema=_MARKS)
     for number, raw in enumerate(table["payload"]):
         raw = raw.as_py()
         (n,) = struct.unpack_from("<I", raw)
@@ -490,7 +509,7 @@ def _sort(key, table):
     for k, block in enumerate(blocks):
         own = (number == k) & (bits > 0)
         if own.any():
-            rows.append({"block": block, "kind": 2, "node": 0, "payload": planes(entry[own].astype(np.uint64), bits[own])})
+            rows.append({"block": block, "kind": 2, "payload": planes(entry[own].astype(np.uint64), bits[own])})
     return pa.Table.from_pylist(rows, schema=_MARKS)
 
 
@@ -506,12 +525,12 @@ def _finish(with_bytes: bool):
         a = Anchors(texts)
         c = Classes(a, ids)
         settled, mask = np.zeros(len(c.first), dtype=bool), np.zeros(len(c.first), dtype=np.uint64)
-        kinds = marks["kind"].to_numpy()
-        if len(c.first):
-            settled = answer_columns(marks.filter(pa.array(kinds == 1)), 1)[0] == SETTLED
-        for raw in marks.filter(pa.array(kinds == 2))["payload"]:
-            entry, bits = of_planes(raw.as_py(), 2)
-            np.bitwise_or.at(mask, entry.astype(np.int64), bits)
+        for kind, raw in zip(marks["kind"].to_pylist(), marks["payload"]):
+            if kind == 1:
+                settled = of_planes(raw.as_py(), 1)[0] == SETTLED
+            else:
+                entry, bits = of_planes(raw.as_py(), 2)
+                np.bitwise_or.at(mask, entry.astype(np.int64), bits)
         if len(a.row):
             at_byte = base[a.row]
             at = np.flatnonzero(~c.least | settled[c.of])
@@ -547,8 +566,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     tree = Tree(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES)))
     rows = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(tree.blocks)).cast("int"))
     first = rows.groupBy("block").applyInArrow(_first_pass(tree), ROW)
-    answers = meet(first, tree, MEETING)[0].where("source is not null")
-    answers = cut(answers.select(F.col("source").cast("int").alias("block"), F.lit(1).alias("kind"), "node", "payload"))
+    answers = meet(first, tree, MEETING)[0].where("source is not null").select(F.col("source").cast("int").alias("block"), "node", "payload")
     sent = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(tree), SENT)
     found = sent.groupBy("shard").applyInArrow(_sort, MARKS)
-    return rows.groupBy("block").cogroup(answers.unionByName(found).groupBy("block")).applyInArrow(_finish(with_bytes), RESULT)
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_finish(with_bytes), RESULT)
