@@ -40,7 +40,7 @@ BLOCK = 256
 SHARD_IDS = 2_000_000
 PERCENTILE = 98
 #: Pieces that an encoder remembers at most, in two generations: a piece stays while it is met again.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 600_000
 SLICE_BYTES = 2 << 20
 
 
@@ -133,6 +133,20 @@ class Encoder:
             ids += [t.id for t in got]
         return np.array(ids, dtype=np.uint32), np.array(sizes, dtype=np.int64)
 
+    def _stem_ids(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, but words that are known as pieces without a mark are not encoded again."""
+        number = np.array([self.known.get(x[1:], -1) if x[0] == " " else -1 for x in stems], dtype=np.int64)
+        old = number >= 0
+        ids, size = self._model_ids([x for x, k in zip(stems, old.tolist()) if not k])
+        sizes = np.empty(len(stems), dtype=np.int64)
+        sizes[~old], sizes[old] = size, self.length[number[old]]
+        begin = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), dtype=np.uint32)
+        out[np.repeat(begin[~old], size) + ramps(size)] = ids
+        known = sizes[old]
+        out[np.repeat(begin[old], known) + ramps(known)] = self.flat[np.repeat(self.start[number[old]], known) + ramps(known)]
+        return out, sizes
+
     def _text_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for any words."""
         got = [e.ids for at in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
@@ -154,7 +168,7 @@ class Encoder:
         stems = pc.binary_join_element_wise(pc.if_else(pa.array(fed), "", " "), core, "")
         own = pc.if_else(pa.array(plain), stems, None).dictionary_encode()
         rest = pc.if_else(pa.array(plain), None, stems).dictionary_encode()
-        a, b = self._model_ids(own.dictionary.to_pylist()), self._text_ids(rest.dictionary.to_pylist())
+        a, b = self._stem_ids(own.dictionary.to_pylist()), self._text_ids(rest.dictionary.to_pylist())
         ids, size = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
         begin = np.cumsum(size) - size
         fill = lambda d: pc.fill_null(d.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -186,12 +200,13 @@ class Encoder:
         del whole
         # no piece holds a space: the distinct ones come over as one string
         names = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary.cast(pa.string())), " ")[0].as_py().split(" ")
-        number = list(map(self.known.get, names))
+        number, before = list(map(self.known.get, names)), len(self.known)
         if None in number:
             self._learn([p for p, k in zip(names, number) if k is None])
             number = list(map(self.known.__getitem__, names))
         distinct = np.array(number, dtype=np.int32)
         self.met[distinct] = True
+        self.met[before : len(self.known)] = False
         at = distinct[pieces.indices.to_numpy()]
         size = self.length[at]
         ends = np.cumsum(size, dtype=np.int64)
