@@ -28,9 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: texts are large, and a batch is held several times over on its way.
+BATCH_ROWS = 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are made no larger than ``BATCH_ROWS``."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so that other columns can never clash."""
-    return df.select(
+    return small_batches(df).select(
         df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"),
     )

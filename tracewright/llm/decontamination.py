@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrays import ramps
-from tracewright.llm.common import byte_slices, gram_hashes, id_text, plain_words, spec, text_slices
+from tracewright.llm.common import byte_slices, gram_hashes, id_text, plain_words, small_batches, spec, text_slices
 
 SEED_WORDS = 5
 LEAST_WORDS = 3
@@ -195,7 +195,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that leak no item, columns unchanged."""
     for index in indexes(benchmark, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = small_batches(docs).sparkSession.sparkContext.broadcast(index)
 
         def go(batches, shared=shared):
             index = shared.value

@@ -8,7 +8,7 @@ only the order follows it.  Sets that share a prefix shingle are candidates; eac
 pair that the tries hint at, is confirmed on the whole sets, so the pairs are exactly those of the definition (shingles and sets are
 told apart by 64 bits of hash).
 
-Large groups: hints and neighbours under a few orders within each prefix shingle are confirmed first, which is
+Large groups: hints, and neighbours under a few orders within the ``PICKS`` shared prefix shingles of each set with the smallest hashes, are confirmed first, which is
 linear in the group; afterwards only pairs of different components are looked at.
 
 Nothing of all documents comes to the driver but the counters (up to 32 MB).  Keys of candidate rows are
@@ -34,6 +34,7 @@ from tracewright.llm.graph import components
 TOP, BOTTOM = 8, 10
 RANGES = 16
 CHAINS = 3
+PICKS = 4
 SLICE = 1 << 20
 #: Row keys that are broadcast at most (24 bytes each).
 KEYS = 500_000
@@ -187,17 +188,17 @@ _PAIR = ["a", "b"]
 
 def _neighbours(batches):
     """Pairs that follow one another within a token under several orders."""
-    got = _columns(batches, ["token", "sig", "n", "pos"])
+    got = _columns(batches, ["token", "sig", "n"])
     if got is None:
         return
-    token, sig, n, pos = got[0], got[1], got[2].astype(np.int64), got[3].astype(np.int64)
+    token, sig, n = got[0], got[1], got[2].astype(np.int64)
     found = []
     for seed in range(CHAINS):
         # by size first in one order: near sizes pass the filters more often
         key = sig if not seed else mixed(sig.view(np.uint64) + np.uint64(seed)).view(np.int64)
         order = np.lexsort((key, n, token)) if seed == CHAINS - 1 else np.lexsort((key, token))
         a, b = order[:-1], order[1:]
-        ok = (token[a] == token[b]) & possible(n[a], n[b], pos[a], pos[b])
+        ok = (token[a] == token[b]) & possible(n[a], n[b], 0, 0)
         a, b = sig[a[ok]], sig[b[ok]]
         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -271,7 +272,9 @@ def links(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, hints: DataF
     shared = cut(entries.repartition("token").mapInArrow(_shared, "token long, sig long, n int, pos int"))
     held = cut(shared.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
     side = lambda c: held.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"tokens_{c}"))
-    pairs = shared.repartition("token").mapInArrow(_neighbours, "a long, b long").distinct()
+    least = F.slice(F.array_sort(F.transform("tokens", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("token")))), 1, PICKS)
+    picks = held.select("sig", "n", F.explode(least).alias("x")).select("x.token", "sig", "n")
+    pairs = picks.repartition("token").mapInArrow(_neighbours, "a long, b long").distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_promising(F.size(F.array_intersect("tokens_a", "tokens_b")))).select("a", "b")
     near = _confirmed(cut(pairs.unionByName(hints).distinct()), docs, classes, width)
     roots = components(near)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import byte_slices, cut, free_prefix, schema_of, text_slices
+from tracewright.llm.common import byte_slices, cut, free_prefix, schema_of, small_batches, text_slices
 
 STRIP = " \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 48 << 20
@@ -289,7 +289,7 @@ def clean(docs: DataFrame, state: LineState, broadcast_bytes: int = BROADCAST_BY
     ``state`` is best cut from its lineage first: it is read more than once here.
     """
     names = docs.columns
-    docs = docs.withColumn("text", F.coalesce(docs["text"].cast("string"), F.lit("")))
+    docs = small_batches(docs).withColumn("text", F.coalesce(docs["text"].cast("string"), F.lit("")))
     size = state.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     if size > broadcast_bytes:
         return _clean_far(docs, state)

@@ -25,6 +25,7 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ SHARD_IDS = 2_000_000
 PERCENTILE = 98
 #: Pieces that an encoder remembers at most, in two generations: a piece stays while it is met again.
 CACHE_PIECES = 600_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 20
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -112,7 +113,7 @@ class Encoder:
         first, many = len(self.known), len(names)
         self.flat = _grown(self.flat, self.used + len(flat))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.start, self.length, self.met = (_grown(x, first + many) for x in (self.start, self.length, self.met))
+        self.start, self.length, self.met = (_grown(x, first + many + 1) for x in (self.start, self.length, self.met))
         self.start[first : first + many], self.length[first : first + many] = self.used + np.cumsum(size) - size, size
         self.met[first : first + many] = False
         self.used += len(flat)
@@ -148,14 +149,24 @@ class Encoder:
         return out, sizes
 
     def _text_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for any words."""
-        got = [e.ids for at in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
-        return np.array([i for x in got for i in x], dtype=np.uint32), np.array([len(x) for x in got], dtype=np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces stand after a space, or begin with a line feed; a final mark after letters is a
+        """The same for any words that hold no line feed: one text of them, line by line, whose line feeds tell them apart."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 5_000):
+            part = words[at : at + 5_000]
+            own = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(own == self.feed[0])
+            if len(ends) == len(part) - 1:
+                ids.append(np.delete(own, ends))
+                sizes.append(np.diff(np.r_[-1, ends, len(own)]) - 1)
+            else:
+                each = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids += each
+                sizes.append(np.array([len(e) for e in each]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, names: pa.Array, pieces: list[str]) -> None:
+        """``names`` are ``pieces``.  They stand after a space, or begin with a line feed; a final mark after letters is a
         pre-token of its own, so words are encoded without it."""
-        names = pa.array(pieces, pa.string())
         fed = pc.starts_with(names, "\n").to_numpy(zero_copy_only=False)
         plain = pc.match_substring_regex(names, self.lettered).to_numpy(zero_copy_only=False)
         last = np.full(len(pieces), -1, dtype=np.int64)
@@ -200,13 +211,13 @@ class Encoder:
         del whole
         # no piece holds a space: the distinct ones come over as one string
         names = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary.cast(pa.string())), " ")[0].as_py().split(" ")
-        number, before = list(map(self.known.get, names)), len(self.known)
-        if None in number:
-            self._learn([p for p, k in zip(names, number) if k is None])
-            number = list(map(self.known.__getitem__, names))
-        distinct = np.array(number, dtype=np.int32)
-        self.met[distinct] = True
-        self.met[before : len(self.known)] = False
+        distinct = np.array(list(map(self.known.get, names, repeat(-1))), dtype=np.int32)
+        new = np.flatnonzero(distinct < 0)
+        self.met[distinct] = True  # -1 is the last place, which no piece holds yet
+        if len(new):
+            first = len(self.known)
+            self._learn(pieces.dictionary.take(pa.array(new)).cast(pa.string()), [names[k] for k in new.tolist()])
+            distinct[new] = np.arange(first, first + len(new))
         at = distinct[pieces.indices.to_numpy()]
         size = self.length[at]
         ends = np.cumsum(size, dtype=np.int64)
