@@ -206,7 +206,7 @@ def _neighbours(batches):
 
 
 def _across(batches):
-    """All pairs within a token that lie in different components, once for each token."""
+    """All pairs within a token that lie in different components, once for each token, with their sizes."""
     got = _columns(batches, ["token", "sig", "n", "pos", "label"])
     if got is None:
         return
@@ -223,8 +223,10 @@ def _across(batches):
             a = np.arange(at, min(hi, at + step))[:, None]
             b = np.arange(lo, hi)[None, :]
             i, j = np.nonzero((a < b) & (label[a] != label[b]) & possible(n[a], n[b], pos[a], pos[b]))
-            a, b = sig[at + i], sig[lo + j]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            a, b = at + i, lo + j
+            swap = sig[a] > sig[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            out.append(np.stack([sig[a], sig[b], n[a], n[b]]))
             size += len(a)
             if size > 500_000:
                 yield _pairs(out)
@@ -234,8 +236,7 @@ def _across(batches):
 
 
 def _pairs(out):
-    pairs = np.concatenate(out, axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=_PAIR)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=[*_PAIR, "na", "nb"])
 
 
 # --- tables --------------------------------------------------------------------------------------
@@ -279,6 +280,6 @@ def links(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, hints: DataF
     near = _confirmed(cut(pairs.unionByName(hints).distinct()), docs, classes, width)
     roots = components(near)
     label = shared.join(roots, shared["sig"] == roots["node"], "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("label"))
-    far = label.repartition("token").mapInArrow(_across, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    far = far.join(side("a").drop("tokens_a"), "a").join(side("b").drop("tokens_b"), "b").where(_promising(F.col("common"))).select("a", "b")
+    far = label.repartition("token").mapInArrow(_across, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+    far = far.where(_promising(F.col("common"))).select("a", "b")
     return near.unionByName(_confirmed(cut(far), docs, classes, width))
