@@ -177,10 +177,9 @@ def _shared(batches):
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in got], names=names)
 
 
-def possible(na, nb, i, j):
-    """Whether sets of ``na`` and ``nb`` shingles that share their ``i``-th and ``j``-th can be similar enough."""
-    most = np.minimum(i, j) + np.minimum(na - i, nb - j)
-    return (TOP + BOTTOM) * most >= TOP * (na + nb)
+def possible(na, nb, i=0, j=0):
+    """Whether sets of ``na`` and ``nb`` shingles whose first common one is their ``i``-th and ``j``-th can be similar enough."""
+    return (TOP + BOTTOM) * np.minimum(na - i, nb - j) >= TOP * (na + nb)
 
 
 _PAIR = ["a", "b"]
@@ -198,7 +197,7 @@ def _neighbours(batches):
         key = sig if not seed else mixed(sig.view(np.uint64) + np.uint64(seed)).view(np.int64)
         order = np.lexsort((key, n, token)) if seed == CHAINS - 1 else np.lexsort((key, token))
         a, b = order[:-1], order[1:]
-        ok = (token[a] == token[b]) & possible(n[a], n[b], 0, 0)
+        ok = (token[a] == token[b]) & possible(n[a], n[b])
         a, b = sig[a[ok]], sig[b[ok]]
         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -206,7 +205,11 @@ def _neighbours(batches):
 
 
 def _across(batches):
-    """All pairs within a token that lie in different components, once for each token, with their sizes."""
+    """All pairs within a token that lie in different components, where it can be the first they have in common.
+
+    A similar pair comes out for its first common token at least: rare ones stand first, so sets that
+    differ in many shingles meet too far behind.
+    """
     got = _columns(batches, ["token", "sig", "n", "pos", "label"])
     if got is None:
         return
@@ -224,9 +227,7 @@ def _across(batches):
             b = np.arange(lo, hi)[None, :]
             i, j = np.nonzero((a < b) & (label[a] != label[b]) & possible(n[a], n[b], pos[a], pos[b]))
             a, b = at + i, lo + j
-            swap = sig[a] > sig[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            out.append(np.stack([sig[a], sig[b], n[a], n[b]]))
+            out.append(np.stack([np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])]))
             size += len(a)
             if size > 500_000:
                 yield _pairs(out)
@@ -236,7 +237,7 @@ def _across(batches):
 
 
 def _pairs(out):
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=[*_PAIR, "na", "nb"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=_PAIR)
 
 
 # --- tables --------------------------------------------------------------------------------------
@@ -276,10 +277,11 @@ def links(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, hints: DataF
     least = F.slice(F.array_sort(F.transform("tokens", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("token")))), 1, PICKS)
     picks = held.select("sig", "n", F.explode(least).alias("x")).select("x.token", "sig", "n")
     pairs = picks.repartition("token").mapInArrow(_neighbours, "a long, b long").distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_promising(F.size(F.array_intersect("tokens_a", "tokens_b")))).select("a", "b")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    likely = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_promising(common)).select("a", "b")
+    pairs = likely(pairs)
     near = _confirmed(cut(pairs.unionByName(hints).distinct()), docs, classes, width)
     roots = components(near)
     label = shared.join(roots, shared["sig"] == roots["node"], "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("label"))
-    far = label.repartition("token").mapInArrow(_across, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    far = far.where(_promising(F.col("common"))).select("a", "b")
+    far = likely(label.repartition("token").mapInArrow(_across, "a long, b long").distinct())
     return near.unionByName(_confirmed(cut(far), docs, classes, width))
