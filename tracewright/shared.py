@@ -33,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver's garbage go, and with it the shuffle files of plans that nothing names any more."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """Path of a new table in the shared folder; :func:`release` deletes it."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
