@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.shared import cut, free_prefix, made, release, scratch, shared_folder  # noqa: F401
+from tracewright.shared import cut, free_prefix, made, release, scratch, shared_folder, tidy  # noqa: F401
 
 #: White space between words, as a Java/RE2 pattern.
 WS = r"[\x20\x09-\x0D]+"

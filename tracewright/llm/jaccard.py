@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.arrays import majority, opened, packed, word_values
-from tracewright.llm.common import cut, gram_hashes, mixed, text_slices
+from tracewright.llm.common import cut, gram_hashes, mixed, text_slices, tidy
 from tracewright.llm.graph import components
 
 #: Similarity as a fraction: 8 / 10.
 TOP, BOTTOM = 8, 10
 RANGES = 16
 CHAINS = 3
-PICKS = 4
+PICKS = 8
 SLICE = 1 << 20
 #: Row keys that are broadcast at most (24 bytes each).
 KEYS = 500_000
@@ -248,6 +248,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
     named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     wanted = cut(classes.select("sig", "best.doc_id", "best.tie").join(named, "sig", "left_semi"))
     whole = cut(_whole(docs, wanted, width))
+    tidy(docs.sparkSession)
     a = whole.select(F.col("sig").alias("a"), F.col("whole").alias("x"))
     b = whole.select(F.col("sig").alias("b"), F.col("whole").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -273,14 +274,18 @@ def links(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, hints: DataF
     entries = prefixes.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sig", "n", "pos")
     shared = cut(entries.repartition("token").mapInArrow(_shared, "token long, sig long, n int, pos int"))
     held = cut(shared.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
-    side = lambda c: held.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"tokens_{c}"))
+    # 32 bits of a token serve to bound from above how many are common
+    short = held.select("sig", "n", F.transform("tokens", lambda t: F.shiftright(t, 16).cast("int")).alias("tokens"))
+    side = lambda c: short.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"tokens_{c}"))
     least = F.slice(F.array_sort(F.transform("tokens", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("token")))), 1, PICKS)
     picks = held.select("sig", "n", F.explode(least).alias("x")).select("x.token", "sig", "n")
     pairs = picks.repartition("token").mapInArrow(_neighbours, "a long, b long").distinct()
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    # one more, should two of the common ones share their 32 bits
+    common = F.size(F.array_intersect("tokens_a", "tokens_b")) + 1
     likely = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_promising(common)).select("a", "b")
     pairs = likely(pairs)
     near = _confirmed(cut(pairs.unionByName(hints).distinct()), docs, classes, width)
+    tidy(docs.sparkSession)
     roots = components(near)
     label = shared.join(roots, shared["sig"] == roots["node"], "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("label"))
     far = likely(label.repartition("token").mapInArrow(_across, "a long, b long").distinct())

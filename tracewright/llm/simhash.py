@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import jaccard
 from tracewright.llm.arrays import majority
-from tracewright.llm.common import byte_slices, cut, free_prefix, id_text, words_of
+from tracewright.llm.common import byte_slices, cut, free_prefix, id_text, tidy, words_of
 from tracewright.llm.graph import components
 
 
@@ -250,11 +250,13 @@ def keep_first(docs: DataFrame, width: int = 5, budget: int = 4) -> DataFrame:
     # sets of one fingerprint are tied to one of them, and these by the tries
     named = cut(classes.groupBy("fp").agg(F.min("sig").alias("name")))
     tied = classes.join(named, "fp").where("sig <> name").select(F.col("sig").alias("a"), F.col("name").alias("b"))
+    tidy(docs.sparkSession)
     found = links(named.select("fp"), budget)
     side = lambda c: named.select(F.col("fp").alias(f"f_{c}"), F.col("name").alias(c))
     tries = found.select(F.col("a").alias("f_a"), F.col("b").alias("f_b")).join(side("a"), "f_a").join(side("b"), "f_b").select("a", "b")
     hints = tied.unionByName(tries).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = components(jaccard.links(plain, classes, prefixes.select("sig", "n", "prefix"), hints, width))
+    tidy(docs.sparkSession)
     grouped = classes.join(roots, classes["sig"] == roots["node"], "left").select(F.coalesce("root", "sig").alias("root"), "best")
     stay = grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.tie").alias("k_tie"))
     keys = rows.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n"))
