@@ -274,13 +274,13 @@ def links(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, hints: DataF
     entries = prefixes.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sig", "n", "pos")
     shared = cut(entries.repartition("token").mapInArrow(_shared, "token long, sig long, n int, pos int"))
     held = cut(shared.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
-    # 32 bits of a token serve to bound from above how many are common
-    short = held.select("sig", "n", F.transform("tokens", lambda t: F.shiftright(t, 16).cast("int")).alias("tokens"))
+    # 31 bits of a token serve to bound from above how many are common
+    short = held.select("sig", "n", F.transform("tokens", lambda t: F.pmod(t, F.lit(2**31 - 1)).cast("int")).alias("tokens"))
     side = lambda c: short.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"tokens_{c}"))
     least = F.slice(F.array_sort(F.transform("tokens", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("token")))), 1, PICKS)
     picks = held.select("sig", "n", F.explode(least).alias("x")).select("x.token", "sig", "n")
     pairs = picks.repartition("token").mapInArrow(_neighbours, "a long, b long").distinct()
-    # one more, should two of the common ones share their 32 bits
+    # one more, should two of the common ones share their 31 bits
     common = F.size(F.array_intersect("tokens_a", "tokens_b")) + 1
     likely = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_promising(common)).select("a", "b")
     pairs = likely(pairs)
