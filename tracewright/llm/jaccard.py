@@ -208,13 +208,13 @@ def _across(batches):
     """All pairs within a token that lie in different components, where it can be the first they have in common.
 
     A similar pair comes out for its first common token at least: rare ones stand first, so sets that
-    differ in many shingles meet too far behind.
+    differ in many shingles meet too far behind.  Where both have the same token just before, this is not the first.
     """
-    got = _columns(batches, ["token", "sig", "n", "pos", "label"])
+    got = _columns(batches, ["token", "sig", "n", "pos", "prev", "label"])
     if got is None:
         return
     order = np.argsort(got[0], kind="stable")
-    token, sig, n, pos, label = (x[order] for x in got)
+    token, sig, n, pos, prev, label = (x[order] for x in got)
     n, pos = n.astype(np.int64), pos.astype(np.int64)
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     out, size = [], 0
@@ -225,7 +225,7 @@ def _across(batches):
         for at in range(lo, hi, step):
             a = np.arange(at, min(hi, at + step))[:, None]
             b = np.arange(lo, hi)[None, :]
-            i, j = np.nonzero((a < b) & (label[a] != label[b]) & possible(n[a], n[b], pos[a], pos[b]))
+            i, j = np.nonzero((a < b) & (label[a] != label[b]) & (prev[a] != prev[b]) & possible(n[a], n[b], pos[a], pos[b]))
             a, b = at + i, lo + j
             out.append(np.stack([np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])]))
             size += len(a)
@@ -273,11 +273,11 @@ def links(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, hints: DataF
     """
     entries = prefixes.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sig", "n", "pos")
     shared = cut(entries.repartition("token").mapInArrow(_shared, "token long, sig long, n int, pos int"))
-    held = cut(shared.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
+    held = cut(shared.groupBy("sig").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("entries")))
     # 31 bits of a token serve to bound from above how many are common
-    short = held.select("sig", "n", F.transform("tokens", lambda t: F.pmod(t, F.lit(2**31 - 1)).cast("int")).alias("tokens"))
+    short = held.select("sig", "n", F.transform("entries", lambda e: F.pmod(e["token"], F.lit(2**31 - 1)).cast("int")).alias("tokens"))
     side = lambda c: short.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"tokens_{c}"))
-    least = F.slice(F.array_sort(F.transform("tokens", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("token")))), 1, PICKS)
+    least = F.slice(F.array_sort(F.transform("entries", lambda e: F.struct(F.xxhash64(e["token"]).alias("h"), e["token"].alias("token")))), 1, PICKS)
     picks = held.select("sig", "n", F.explode(least).alias("x")).select("x.token", "sig", "n")
     pairs = picks.repartition("token").mapInArrow(_neighbours, "a long, b long").distinct()
     # one more, should two of the common ones share their 31 bits
@@ -287,6 +287,10 @@ def links(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, hints: DataF
     near = _confirmed(cut(pairs.unionByName(hints).distinct()), docs, classes, width)
     tidy(docs.sparkSession)
     roots = components(near)
-    label = shared.join(roots, shared["sig"] == roots["node"], "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("label"))
+    # each shingle with the shared one before it in its set
+    before = lambda e, k: F.when(k > 0, F.get("entries", k - 1)["token"]).otherwise(F.col("sig"))
+    each = held.select("sig", "n", F.explode(F.transform("entries", lambda e, k: F.struct(e["token"].alias("token"), e["pos"].alias("pos"), before(e, k).alias("prev")))).alias("e"))
+    each = each.select("e.token", "sig", "n", "e.pos", "e.prev")
+    label = each.join(roots, each["sig"] == roots["node"], "left").select("token", "sig", "n", "pos", "prev", F.coalesce("root", "sig").alias("label"))
     far = likely(label.repartition("token").mapInArrow(_across, "a long, b long").distinct())
     return near.unionByName(_confirmed(cut(far), docs, classes, width))
