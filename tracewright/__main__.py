@@ -1,4 +1,4 @@
-"""``python -m tracewright``: from-traces, ingest (validate only), compare, queries."""
+"""``python -m tracewright``: from-traces, ingest, compare, runs, baseline, queries."""
 
 from __future__ import annotations
 
@@ -12,8 +12,20 @@ def main(args: list[str] | None = None) -> int:
     one = sub.add_parser("from-traces", help="traces to families and drafted tests")
     one.add_argument("path")
     one.add_argument("out")
-    one = sub.add_parser("ingest", help="validate a file; exit code 1 if a record is invalid")
+    one.add_argument("--format", default="jsonl")
+    one = sub.add_parser("ingest", help="validate a file, or add it to a store; exit code 1 if a record is invalid or conflicts")
     one.add_argument("path")
+    one.add_argument("--store")
+    one.add_argument("--dry-run", action="store_true")
+    one.add_argument("--format", default="jsonl")
+    one.add_argument("--errors")
+    one = sub.add_parser("runs", help="the newest runs of a folder")
+    one.add_argument("folder")
+    one = sub.add_parser("baseline", help="make a run the baseline of a folder")
+    one.add_argument("folder")
+    one.add_argument("run")
+    one.add_argument("--reviewer", default="command line")
+    one.add_argument("--reason")
     one = sub.add_parser("compare", help="compare two runs of a results table; exit code 1 on regressions")
     one.add_argument("results")
     one.add_argument("baseline")
@@ -28,16 +40,32 @@ def main(args: list[str] | None = None) -> int:
     if given.command == "from-traces":
         from tracewright.plans import from_traces
 
-        print(from_traces.run(spark, given.path, given.out))
+        print(from_traces.run(spark, given.path, given.out, format=given.format))
         return 0
     if given.command == "ingest":
-        from tracewright.sources import traces
+        from tracewright.operators import ingest
+        from tracewright.sources.adapters import UnknownFormat
 
-        valid, issues = traces.read(spark, given.path)
-        bad = issues.count()
-        print(f"{valid.count()} valid, {bad} issues")
-        issues.orderBy("line").show(20, truncate=False)
-        return int(bad > 0)
+        try:
+            told = ingest.ingest(spark, given.path, given.store, ingest.Mode.DRY_RUN if given.dry_run else ingest.Mode.STORE, given.format, errors=given.errors)
+        except UnknownFormat as e:
+            print(e, file=sys.stderr)
+            return 2
+        print(f"{told.valid} valid, {told.issues} issues")
+        print(told)
+        return int(not told.ok)
+    if given.command in ("runs", "baseline"):
+        from tracewright.operators import runs
+
+        try:
+            if given.command == "runs":
+                runs.recent(spark, given.folder).show(truncate=False)
+            else:
+                print(runs.promote(spark, given.folder, given.run, given.reviewer, given.reason))
+        except runs.RunError as e:
+            print(e, file=sys.stderr)
+            return 2
+        return 0
     if given.command == "compare":
         from tracewright.operators import comparison
 

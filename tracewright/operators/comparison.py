@@ -94,6 +94,19 @@ def paired_statistics(compared: DataFrame) -> DataFrame:
     )
 
 
+def reason() -> Column:
+    """Why a pair cannot be compared, or an empty text; over b_/c_ columns with b_kind and c_kind (of errors)."""
+    absent = F.when(F.col("b_verdict").isNull(), "absent from the baseline run").when(F.col("c_verdict").isNull(), "absent from the candidate run")
+    side = lambda p, name: F.when(F.col(f"{p}_verdict") == "error", F.concat(F.lit(f"{name} "), F.coalesce(f"{p}_kind", F.lit("error"))))
+    return F.coalesce(absent, side("b", "baseline"), side("c", "candidate"), F.lit(""))
+
+
+def rates() -> Column:
+    """How often each side passed, for sides that were repeated."""
+    side = lambda p, name: F.when(F.col(f"{p}_repetitions") > 1, F.concat(F.lit(f"{name} "), f"{p}_passed", F.lit("/"), f"{p}_evaluated"))
+    return F.concat_ws(", ", side("b", "before"), side("c", "after"))
+
+
 def suite_compatible(a: str, b: str, allow_drift: bool = False) -> None:
     if a != b and not allow_drift:
         raise ValueError("the runs were made with different suites")

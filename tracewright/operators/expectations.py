@@ -22,7 +22,7 @@ def expectation(type_: str, tool: Column | None = None, path: Column | None = No
 
 def prose(value: Column) -> Column:
     """Free text, which no equality check can pin down: over 80 characters or 8 spaces."""
-    text = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+    text = plain(value)
     return value.startswith('"') & ((F.char_length(text) > 80) | (F.regexp_count(text, F.lit(" ")) > 8))
 
 
@@ -80,25 +80,35 @@ def derive(failures: DataFrame) -> DataFrame:
         .otherwise(none)
     )
     words = F.coalesce(F.when(kind.isNotNull(), F.col("summary")), F.col("evidence"), F.lit("the interaction was recorded as a failure"))
-    rubric = F.array(expectation("human_rubric", None, None, F.to_json(F.struct(F.concat(F.lit("The agent must not repeat this failure: "), words).alias("v")))))
+    rubric = F.array(expectation("human_rubric", None, None, json_string(F.concat(F.lit("The agent must not repeat this failure: "), words))))
     return failures.withColumn("expectations", F.when(F.size(found) > 0, found).otherwise(rubric))
 
 
+#: Fixed values: (first type, second types, what must agree, what must differ, reason) of pairs that cannot both hold.
+CONFLICTS = (
+    ("tool_called", ("tool_not_called",), ("tool",), (), "a tool is required and forbidden"),
+    ("tool_not_called", ("tool_argument_equals", "tool_argument_not_equals"), ("tool",), (), "an argument of a forbidden tool is checked"),
+    ("tool_called", ("max_tool_calls",), ("cap",), (), "a required tool is capped at zero"),
+    ("tool_argument_equals", ("tool_argument_not_equals",), ("tool", "path", "value"), (), "an argument must equal and not equal a value"),
+    ("tool_argument_equals", ("tool_argument_equals",), ("tool", "path"), ("value",), "an argument must equal two values"),
+    ("output_contains", ("output_not_contains",), ("value",), (), "the output must contain and not contain a text"),
+    ("max_tool_calls", ("max_tool_calls",), ("tool",), ("value",), "a tool has two call limits"),
+)
+
+
 def contradiction(a: Column, b: Column) -> Column:
     """Reason why two expectations, in this order, cannot both hold; or null."""
-    t = lambda x, y: (a["type"] == x) & (b["type"] == y)
-    same_tool = a["tool"].eqNullSafe(b["tool"])
-    same_place = same_tool & a["path"].eqNullSafe(b["path"])
-    same_value = a["value"].eqNullSafe(b["value"])
-    return (
-        F.when(t("tool_called", "tool_not_called") & same_tool, "a tool is required and forbidden")
-        .when((a["type"] == "tool_not_called") & b["type"].isin("tool_argument_equals", "tool_argument_not_equals") & same_tool, "an argument of a forbidden tool is checked")
-        .when(t("tool_called", "max_tool_calls") & (b["value"] == "0") & (b["tool"].isNull() | same_tool), "a required tool is capped at zero")
-        .when(t("tool_argument_equals", "tool_argument_not_equals") & same_place & same_value, "an argument must equal and not equal a value")
-        .when(t("tool_argument_equals", "tool_argument_equals") & same_place & ~same_value, "an argument must equal two values")
-        .when(t("output_contains", "output_not_contains") & same_value, "the output must contain and not contain a text")
-        .when(t("max_tool_calls", "max_tool_calls") & same_tool & ~same_value, "a tool has two call limits")
-    )
+    alike = {field: a[field].eqNullSafe(b[field]) for field in ("tool", "path", "value")}
+    alike["cap"] = (b["value"] == "0") & (b["tool"].isNull() | alike["tool"])
+    found = []
+    for first, seconds, same, other, reason in CONFLICTS:
+        hit = (a["type"] == first) & b["type"].isin(*seconds)
+        for field in same:
+            hit = hit & alike[field]
+        for field in other:
+            hit = hit & ~alike[field]
+        found.append(F.when(hit, reason))
+    return F.coalesce(*found)
 
 
 def contradictions(expectations: Column) -> Column:
@@ -112,7 +122,7 @@ def contradictions(expectations: Column) -> Column:
 
 
 def invalid(e: Column) -> Column:
-    """Reason why an expectation could never be evaluated, or null.  Patterns are tried by the caller."""
+    """Reason why an expectation could never be evaluated, or null."""
     kind, text = e["type"], F.regexp_extract(e["value"], '^"([\\s\\S]*)"$', 1)
     blank = e["value"].isNull() | ~e["value"].startswith('"') | (F.trim(text) == "")
     missing_tool = e["tool"].isNull() | (e["tool"] == "")
@@ -123,28 +133,65 @@ def invalid(e: Column) -> Column:
         .when((kind == "max_tool_calls") & e["value"].startswith("-"), "cannot be negative")
         .when((kind == "output_matches") & (e["value"].isNull() | ~e["value"].startswith('"')), "needs a pattern")
         .when(kind.isin("output_contains", "output_not_contains", "human_rubric") & blank, "needs text")
+        .when((kind == "output_matches") & ~compiles(plain(e["value"])), "the pattern does not compile")
+    )
+
+
+def plain(value: Column) -> Column:
+    """The text of a JSON string."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+
+
+def json_string(text: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+
+
+def compiles(pattern: Column) -> Column:
+    """Whether a pattern is one; it is only tried, so a bad one is no error."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.coalesce(pattern, F.lit(""))).isNotNull()
+
+
+def describe(e: Column) -> Column:
+    """An expectation in a line of text."""
+    kind, at = e["type"], F.concat(e["tool"], F.lit("."), e["path"])
+    return (
+        F.when(kind == "tool_argument_equals", F.concat(at, F.lit(" == "), e["value"]))
+        .when(kind == "tool_argument_not_equals", F.concat(at, F.lit(" != "), e["value"]))
+        .when(kind == "tool_called", F.concat(F.lit("calls "), e["tool"]))
+        .when(kind == "tool_not_called", F.concat(F.lit("never calls "), e["tool"]))
+        .when(kind == "max_tool_calls", F.concat(F.lit("at most "), e["value"], F.lit(" calls to "), F.coalesce(e["tool"], F.lit("any tool"))))
+        .when(kind == "human_rubric", F.concat(F.lit("rubric: "), plain(e["value"])))
+        .otherwise(F.concat(kind, F.lit(" "), e["value"]))
     )
 
 
+def value_at(arguments: Column, path: Column) -> Column:
+    """JSON text of the value at a dotted path; ``null`` for a JSON null, and null where there is none."""
+    step = lambda v, key: v.try_cast("map<string,variant>")[key]
+    return F.to_json(F.aggregate(F.split(path, r"\."), F.try_parse_json(arguments), step))
+
+
 def evaluate(e: Column, text: Column, calls: Column) -> Column:
-    """pass, fail or error (a rubric needs a judge) of an expectation on an output.
+    """pass, fail or error (a rubric needs a judge, a pattern may be none) of an expectation on an output.
 
     ``calls``: array<struct<tool, arguments>> with JSON object arguments.
     """
-    words = F.get_json_object(F.concat(F.lit('{"v":'), e["value"], F.lit("}")), "$.v")
+    words = plain(e["value"])
     out = F.coalesce(text, F.lit(""))
     of_tool = F.filter(calls, lambda c: e["tool"].isNull() | (c["tool"] == e["tool"]))
-    at = lambda c: F.call_function("get_json_object", c["arguments"], F.concat(F.lit("$."), e["path"]))
-    has_value = F.exists(of_tool, lambda c: F.coalesce(at(c) == words, F.lit(False)))
+    # as JSON values: 1 and "1" differ, a null is a value, and an absent argument is none
+    wanted = F.to_json(F.try_parse_json(e["value"]))
+    has_value = F.exists(of_tool, lambda c: F.coalesce(value_at(c["arguments"], e["path"]) == wanted, F.lit(False)))
     kind = e["type"]
     ok = (
         F.when(kind == "output_contains", F.contains(out, words))
         .when(kind == "output_not_contains", ~F.contains(out, words))
-        .when(kind == "output_matches", F.regexp_like(out, words))
+        .when((kind == "output_matches") & compiles(words), F.regexp_like(out, words))
         .when(kind == "tool_called", F.size(of_tool) > 0)
         .when(kind == "tool_not_called", F.size(of_tool) == 0)
         .when(kind == "tool_argument_equals", has_value)
         .when(kind == "tool_argument_not_equals", ~has_value)
         .when(kind == "max_tool_calls", F.size(of_tool) <= e["value"].cast("int"))
     )
-    return F.when(kind == "human_rubric", "error").when(ok, "pass").otherwise("fail")
+    unfit = (kind == "human_rubric") | ((kind == "output_matches") & ~compiles(words))
+    return F.when(unfit, "error").when(ok, "pass").otherwise("fail")

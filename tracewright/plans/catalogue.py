@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import identity, redaction, statistics
-from tracewright.operators import comparison, evidence, expectations, families, store, validate
+from tracewright.operators import comparison, evidence, expectations, families, ingest, store, validate
 from tracewright.plans.views import doc_traces, results, spans, table
-from tracewright.sources.spans import bag_difference, roots, safe_tool_name
+from tracewright.sources import traces
+from tracewright.sources.spans import assemble, bag_difference, roots, safe_tool_name
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -261,9 +262,8 @@ def cards_by_luhn(spark, d):
 @query()
 def redact_all_rules(spark, d):
     """Every rule over every document: digest of the redacted text and the count by rule."""
-    text, counts = redaction.redact_columns(F.col("text"))
-    out = table(spark, d, "documents").select("doc_id", text.alias("redacted"), *[c.cast("long").alias(f"n_{k}") for k, c in counts.items()])
-    return out.withColumn("redacted", F.sha2(F.col("redacted").cast("binary"), 256))
+    out = redaction.redact_frame(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("redacted"), *[f"n_{k}" for k in redaction.TEXT_RULES])
 
 
 @query(f"SELECT count(*) FILTER (regexp_matches(text, '{_EMAIL}')) AS with_email, sum(len(regexp_extract_all(text, '{_EMAIL}'))) AS emails, count(*) AS documents FROM documents")
@@ -338,9 +338,90 @@ def intent_execution_bag_difference(spark, d):
     return left.groupBy("trace_id", "tool", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT url, left(trim(regexp_replace(url, '[^A-Za-z0-9_]', '_', 'g'), '_'), 128) AS tool FROM pages")
+@query(
+    """WITH n AS (SELECT page_id, unnest([url, '9' || url, '__' || page_id, '--', ' Größe ' || url]) AS name, unnest(range(5)) AS k FROM pages),
+    p AS (SELECT page_id, k, trim(regexp_replace(trim(name), '[^\\p{L}\\p{N}]', '_', 'g'), '_') AS plain FROM n),
+    t AS (SELECT page_id, k, CASE WHEN plain = '' THEN 'tool' ELSE plain END AS named FROM p)
+    SELECT page_id, k, left(CASE WHEN regexp_matches(named, '^\\p{L}') THEN named ELSE '_' || named END, 128) AS tool FROM t"""
+)
 def tool_name_coercion(spark, d):
-    return table(spark, d, "pages").select("url", safe_tool_name(F.col("url")).alias("tool"))
+    own = F.col("page_id").cast("string")
+    names = F.array("url", F.concat(F.lit("9"), "url"), F.concat(F.lit("__"), own), F.lit("--"), F.concat(F.lit(" Größe "), "url"))
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(names).alias("k", "name"))
+    return rows.select("page_id", F.col("k").cast("long").alias("k"), safe_tool_name(F.col("name")).alias("tool"))
+
+
+def _attributed(spark, d):
+    """Spans with attributes: an event is a message, a declared call or an executed one, by its type."""
+    e = table(spark, d, "events")
+    own, k = F.col("event_id").cast("string"), F.get_json_object("props", "$.k")
+    tool = F.create_map(F.lit("openinference.span.kind"), F.lit("TOOL"), F.lit("tool.name"), F.concat(F.lit("t"), (k.cast("int") % 3).cast("string")), F.lit("tool.parameters"), F.lit('{"a": 1}'), F.lit("output.value"), k)
+    asks = F.create_map(
+        F.lit("llm.input_messages.10.message.role"), F.lit("assistant"), F.lit("llm.input_messages.10.message.content"), F.concat(F.lit("later "), own),
+        F.lit("llm.input_messages.9.message.role"), F.lit("user"), F.lit("llm.input_messages.9.message.content"), F.concat(F.lit("said "), own),
+        F.lit("llm.output_messages.0.message.tool_calls.0.tool_call.function.name"), F.concat(F.lit("t"), (k.cast("int") % 3).cast("string")),
+        F.lit("llm.output_messages.0.message.tool_calls.0.tool_call.function.arguments"), F.lit('{"a":1}'),
+    )
+    plain = F.create_map(F.lit("input.value"), F.concat(F.lit("value "), own))
+    listed = F.create_map(F.lit("gen_ai.input.messages"), F.concat(F.lit('[{"role":"user","parts":[{"text":"part "},{"text":"'), own, F.lit('"}]},{"role":"user","content":""}]')))
+    kind = F.col("event_type")
+    attributes = F.when(kind.isin("click", "purchase"), tool).when(kind == "view", asks).when(kind == "signup", listed).otherwise(plain)
+    return e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("trace_id"), F.lpad(own, 12, "0").alias("span_id"), F.lit(None).cast("string").alias("parent_id"),
+        kind.alias("name"), F.col("ts").cast("timestamp").alias("started"), F.col("ts").cast("timestamp").alias("ended"), F.col("event_id").cast("long").alias("start_nanos"), attributes.alias("attributes"),
+        F.create_map(F.lit("service.name"), F.lit("svc")).alias("resource"), (kind == "error").alias("errored"), F.lit(None).cast("string").alias("message"),
+    )
+
+
+_ATTRIBUTED = """e AS (SELECT 'u' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS trace_id, event_id, event_type AS kind, CAST(props->>'$.k' AS INT) AS k FROM events)"""
+
+
+@query(
+    f"""WITH {_ATTRIBUTED}, f AS (SELECT trace_id, arg_min(event_id, event_id) AS root FROM e GROUP BY ALL),
+    a AS (SELECT e.trace_id, event_id, kind FROM e JOIN f USING (trace_id) WHERE kind NOT IN ('click', 'purchase')
+          QUALIFY row_number() OVER (PARTITION BY e.trace_id ORDER BY event_id) = 1)
+    SELECT f.trace_id, CASE WHEN a.kind IN ('view', 'signup') THEN NULL WHEN a.event_id IS NULL THEN (SELECT any_value(kind) FROM e WHERE e.event_id = f.root) ELSE 'value ' || a.event_id END AS input_text,
+      CASE a.kind WHEN 'view' THEN 'user:said ' || a.event_id || '|assistant:later ' || a.event_id WHEN 'signup' THEN 'user:part ' || a.event_id ELSE '' END AS messages
+    FROM f LEFT JOIN a USING (trace_id)"""
+)
+def span_messages(spark, d):
+    """Inputs of assembled traces, from the first span that says something."""
+    rows = assemble(_attributed(spark, d))
+    return rows.select("trace_id", "input_text", F.array_join(F.transform("input_messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("messages"))
+
+
+@query(
+    f"""WITH {_ATTRIBUTED}, d AS (SELECT trace_id, 't' || (k % 3) AS tool, count(*) FILTER (kind = 'view') AS asked, count(*) FILTER (kind IN ('click', 'purchase')) AS done FROM e GROUP BY ALL)
+    SELECT trace_id, CAST(coalesce(sum(greatest(asked - done, 0)), 0) AS BIGINT) AS undone, CAST(sum(done) AS BIGINT) AS executed FROM d GROUP BY trace_id"""
+)
+def span_undone_calls(spark, d):
+    """Calls that were declared and never run, one for one, beside those that were."""
+    rows = assemble(_attributed(spark, d)).select("trace_id", F.filter("events", lambda x: x["type"] == "tool_call").alias("calls"))
+    return rows.select("trace_id", F.size(F.filter("calls", lambda x: x["call_id"].isNull())).cast("long").alias("undone"), F.size(F.filter("calls", lambda x: x["call_id"].isNotNull())).cast("long").alias("executed"))
+
+
+def _recorded(spark, d):
+    """A trace's JSON for each user and day: tool calls with their arguments, and results."""
+    e = table(spark, d, "events")
+    body = lambda type_, **more: F.struct(F.lit(type_).alias("type"), F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("call_id"), F.col("event_type").alias("tool"), *[v.alias(k) for k, v in more.items()])
+    call = F.to_json(body("tool_call", arguments=F.try_parse_json("props")))
+    result = F.to_json(body("tool_result", result=F.floor("value")))
+    own = F.when(F.col("event_type").isin("click", "purchase"), F.concat(call, F.lit(","), result)).otherwise(call)
+    rows = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("trace_id"), "event_id", own.alias("own"))
+    events = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "own"))), lambda x: x["own"]), ",")
+    text = F.concat(F.lit('{"trace_id":"'), F.col("trace_id"), F.lit('","input":{"text":"one request"},"events":['), F.col("events"), F.lit("]}"))
+    return rows.groupBy("trace_id").agg(events.alias("events")).select(F.lit("f").alias("file"), F.lit(1).alias("line"), F.lit(True).alias("utf8"), text.alias("text"))
+
+
+@query(
+    """WITH e AS (SELECT 'u' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS trace_id, event_id, event_type, props->>'$.k' AS k, CAST(floor(value) AS BIGINT) AS v FROM events),
+    t AS (SELECT trace_id, event_id, 'arguments:{"k":' || k || '}' || chr(10) || 'tool:"' || event_type || '"' || chr(10) || 'type:"tool_call"'
+            || CASE WHEN event_type IN ('click', 'purchase') THEN chr(30) || CASE WHEN v IS NULL THEN '' ELSE 'result:' || v || chr(10) END || 'tool:"' || event_type || '"' || chr(10) || 'type:"tool_result"' ELSE '' END AS own FROM e)
+    SELECT trace_id, 'sha256:' || sha256(concat_ws(chr(30), 'one request', '[]', chr(0), '[]', 'unknown', chr(0), chr(0), chr(0), '[]') || chr(30) || string_agg(own, chr(30) ORDER BY event_id)) AS content_hash FROM t GROUP BY trace_id"""
+)
+def interaction_hashes(spark, d):
+    """Content hashes of whole records: arguments and results count, ids do not."""
+    return ingest.with_hash(traces.parse(_recorded(spark, d))).select("trace_id", "content_hash")
 
 
 # --- runs and comparison ------------------------------------------------------------------------------
@@ -614,6 +695,28 @@ def evaluate_expectations(spark, d):
     return rows.select("trace_id", at(0).alias("called"), at(1).alias("not_called"), at(2).alias("equals"), at(3).alias("not_equals"), few.alias("few"), rubric.alias("rubric"))
 
 
+@query(
+    """SELECT event_id, x.kind, x.verdict FROM (SELECT event_id, CAST(props->>'$.k' AS INT) AS k FROM events) e,
+    LATERAL (SELECT unnest(['number', 'text', 'null', 'absent', 'not_null', 'pattern', 'bad_pattern', 'contains', 'lacks', 'few', 'rubric', 'called', 'not_called']) AS kind,
+      unnest([CASE WHEN k % 4 = 0 THEN 'pass' ELSE 'fail' END, 'fail', 'pass', 'fail', 'fail', CASE WHEN k % 2 = 0 THEN 'pass' ELSE 'fail' END, 'error',
+        CASE WHEN k % 10 = 7 THEN 'pass' ELSE 'fail' END, CASE WHEN k % 10 = 7 THEN 'fail' ELSE 'pass' END, 'pass', 'error', 'pass', 'fail']) AS verdict) x"""
+)
+def evaluate_all_kinds(spark, d):
+    """Every kind on every event: numbers, texts, nulls and absent arguments stay apart, and a bad pattern is an error."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    calls = F.array(F.struct(F.lit("t").alias("tool"), F.concat(F.lit('{"a":{"n":'), (k % 4).cast("string"), F.lit(',"z":null}}')).alias("arguments")))
+    e, t = expectations.expectation, F.lit("t")
+    es = {
+        "number": e("tool_argument_equals", t, F.lit("a.n"), F.lit("0.0")), "text": e("tool_argument_equals", t, F.lit("a.n"), F.lit('"0"')),
+        "null": e("tool_argument_equals", t, F.lit("a.z"), F.lit("null")), "absent": e("tool_argument_equals", t, F.lit("a.y"), F.lit("null")), "not_null": e("tool_argument_not_equals", t, F.lit("a.z"), F.lit("null")),
+        "pattern": e("output_matches", None, None, F.lit('"[02468]$"')), "bad_pattern": e("output_matches", None, None, F.lit('"(["')),
+        "contains": e("output_contains", None, None, F.lit('"7"')), "lacks": e("output_not_contains", None, None, F.lit('"7"')),
+        "few": e("max_tool_calls", None, None, F.lit("1")), "rubric": e("human_rubric", None, None, F.lit('"x"')), "called": e("tool_called", t), "not_called": e("tool_not_called", t),
+    }
+    rows = table(spark, d, "events").select("event_id", (k % 10).cast("string").alias("out"), calls.alias("calls"), F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), x.alias("e")) for n, x in es.items()])).alias("x"))
+    return rows.select("event_id", "x.kind", expectations.evaluate(F.col("x.e"), F.col("out"), F.col("calls")).alias("verdict"))
+
+
 @query(
     f"""WITH {SPANS} SELECT event_type AS tool, CASE WHEN event_type IN ('click', 'view') THEN 'positive' ELSE 'other' END AS side, count(*) AS n FROM events GROUP BY ALL"""
 )

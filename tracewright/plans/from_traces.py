@@ -1,23 +1,25 @@
 """From a file of traces to families and drafted tests, in one pass of plans.
 
-Stages: read and validate, redact, classify and add, detect, describe (offline), embed and cluster,
+Stages: read and validate, redact, classify against the store and add, detect, describe (offline), embed and cluster,
 choose representatives, draft expectations.  Each stage is a function of DataFrames; ``run`` writes a
-snapshot of each under ``out`` because later runs must meet what reviewers did meanwhile.
+snapshot of each under ``out`` because later runs must meet what reviewers did meanwhile: traces and
+sightings are appended, and a test that was reviewed stays as it is.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import identity
-from tracewright.functions.redaction import redact_json_udf
-from tracewright.operators import evidence, expectations, families, store
-from tracewright.sources import traces
+from tracewright.operators import evidence, expectations, families
+from tracewright.operators import ingest as batches
+from tracewright.shared import cut, exists
 
-TABLES = ("traces", "issues", "failures", "families", "members", "tests")
+TABLES = ("traces", "occurrences", "issues", "failures", "families", "members", "tests")
+GENERATOR = 1
 
 
 @dataclass(frozen=True)
@@ -29,20 +31,6 @@ class Report:
     drafts: int
 
 
-def redacted(valid: DataFrame, salt: bytes | None = None) -> DataFrame:
-    """Traces parsed again from their redacted text, with the number of strikes."""
-    walked = valid.select("file", "line", redact_json_udf(salt)(F.col("text")).alias("r"))
-    again = walked.select("file", "line", F.lit(True).alias("utf8"), F.col("r.payload").alias("text"), F.aggregate(F.map_values("r.counts"), F.lit(0), lambda s, n: s + n).alias("redactions"))
-    return traces.parse(again).drop("issues", "utf8")
-
-
-def content_columns(rows: DataFrame) -> DataFrame:
-    """Adds ``content_hash`` of what was said and done, without identifiers, times or provenance."""
-    bare = F.transform("events", lambda e: F.struct(*[e[c].alias(c) for c in ("type", "role", "content", "tool", "name", "passed", "score", "reason", "error")]))
-    body = F.to_json(F.struct("input_text", "input_messages", "output_text", "status", "rating", "comment", "evaluations", bare.alias("events")), {"ignoreNullFields": "false"})
-    return rows.withColumn("content_hash", identity.content_hash(body))
-
-
 def calls_of(rows: DataFrame) -> DataFrame:
     """Adds ``calls`` (tool and JSON arguments in order) and ``flat`` of the last call."""
     made = F.from_json(F.get_json_object("text", "$.events"), "array<struct<type:string,tool:string,arguments:string>>")
@@ -66,34 +54,72 @@ def grouped(failures: DataFrame, kept: DataFrame, threshold: float = families.UN
     return members, families.labels(members)
 
 
-def drafts(members: DataFrame, failures: DataFrame, kept: DataFrame) -> DataFrame:
-    """A draft for each representative, with its expectations and what contradicts in them."""
-    chosen = members.where(F.size("roles") > 0).select("failure_id", "cluster_id")
+def fixtures_of(text: Column) -> Column:
+    """array<tool, arguments, result, error, call_id>: the results the agent saw, with the arguments of their call; of
+    repeated call ids the last counts."""
+    kind = "array<struct<type:string,tool:string,call_id:string,arguments:string,result:string,error:string>>"
+    events = F.coalesce(F.from_json(F.get_json_object(text, "$.events"), kind), F.array().cast(kind))
+    calls = F.filter(events, lambda e: (e["type"] == "tool_call") & e["call_id"].isNotNull())
+    mine = lambda r: F.try_element_at(F.filter(calls, lambda c: c["call_id"] == r["call_id"]), F.lit(-1))["arguments"]
+    results = F.filter(events, lambda e: e["type"] == "tool_result")
+    return F.transform(results, lambda r: F.struct(r["tool"].alias("tool"), F.coalesce(mine(r), F.lit("{}")).alias("arguments"), r["result"].alias("result"), r["error"].alias("error"), r["call_id"].alias("call_id")))
+
+
+def warnings_of(es: Column) -> Column:
+    """What a reviewer should know of a draft's expectations."""
+    bad = F.transform(F.filter(es, lambda e: expectations.invalid(e).isNotNull()), lambda e: F.concat(F.lit("invalid expectation ("), F.coalesce(expectations.describe(e), F.lit("?")), F.lit("): "), expectations.invalid(e)))
+    pairs = F.transform(expectations.contradictions(es), lambda c: F.concat(F.lit("contradictory expectations: "), c["reason"]))
+    positive = F.exists(es, lambda e: e["type"].isin(*expectations.POSITIVE))
+    return F.concat(bad, pairs, F.when(positive, F.array().cast("array<string>")).otherwise(F.array(F.lit("no expectation says what the agent should do"))))
+
+
+def targets(failures: DataFrame, members: DataFrame, representatives: bool = True) -> DataFrame:
+    """Failures that get a test, with their family: representatives only, or all; never dismissed ones."""
+    rows = failures.where("status <> 'dismissed'").select("failure_id", "trace_id", "kinds")
+    context = members.select("failure_id", "cluster_id", "roles")
+    if representatives:
+        return rows.join(context.where(F.size("roles") > 0), "failure_id")
+    return rows.join(context, "failure_id", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
+
+
+def drafts(members: DataFrame, failures: DataFrame, kept: DataFrame, labels: DataFrame | None = None, representatives: bool = True) -> DataFrame:
+    """A draft for each target: input, fixtures, expectations, warnings, and where it comes from."""
     failed = F.filter("evaluations", lambda e: (e["passed"] == F.lit(False)) & (F.coalesce(e["reason"], F.lit("")) != ""))
     said = F.coalesce(F.nullif(F.col("comment"), F.lit("")), F.try_element_at(failed, F.lit(1))["reason"])
-    rows = chosen.join(failures.select("failure_id", "trace_id"), "failure_id").join(kept, "trace_id")
+    rows = targets(failures, members, representatives).join(kept, "trace_id")
+    named = labels if labels is not None else members.select("cluster_id").distinct().withColumn("label", F.lit(None).cast("string"))
+    rows = rows.join(named.select("cluster_id", F.col("label").alias("cluster_label")), "cluster_id", "left")
     rows = rows.withColumns({"failure_type": F.lit(None).cast("string"), "summary": F.lit(None).cast("string"), "evidence": said})
     out = expectations.derive(rows).withColumn("contradictions", expectations.contradictions(F.col("expectations")))
+    asked = F.coalesce("input_text", F.try_element_at(F.filter("input_messages", lambda m: m["role"] == "user"), F.lit(1))["content"], F.try_element_at("input_messages", F.lit(1))["content"])
+    unfit = F.exists("expectations", lambda e: expectations.invalid(e).isNotNull())
+    provenance = F.struct("trace_id", "failure_id", "content_hash", "cluster_id", "cluster_label", F.col("roles").alias("representative_roles"), "failure_type", F.col("kinds").alias("evidence"), F.lit(GENERATOR).alias("generator_version"))
     return out.select(
-        identity.test_id(F.col("trace_id"), F.coalesce("input_text", F.try_element_at("input_messages", F.lit(1))["content"])).alias("test_id"),
-        "failure_id", "cluster_id", F.lit("draft").alias("status"), "expectations", "contradictions",
-        ((F.size("contradictions") > 0) | (F.size("expectations") == 0)).alias("blocking"),
-    )
+        identity.test_id(F.col("trace_id"), asked).alias("test_id"), "failure_id", "cluster_id", F.lit("draft").alias("status"),
+        F.struct(F.col("input_text").alias("text"), F.col("input_messages").alias("messages")).alias("input"), fixtures_of(F.col("text")).alias("fixtures"),
+        "expectations", "contradictions", warnings_of(F.col("expectations")).alias("warnings"), provenance.alias("provenance"),
+        ((F.size("contradictions") > 0) | (F.size("expectations") == 0) | unfit).alias("blocking"),
+    )
+
+
+def rebuilt(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The next snapshot of tests: reviewed ones stay as they are, drafts are made anew."""
+    if stored is None:
+        return new
+    reviewed = stored.where("status <> 'draft'")
+    return reviewed.unionByName(new.join(reviewed.select("failure_id"), "failure_id", "left_anti"), allowMissingColumns=True)
 
 
-def run(spark: SparkSession, path: str, out: str, salt: bytes | None = None) -> Report:
+def run(spark: SparkSession, path: str, out: str, salt: bytes | None = None, format: str = "jsonl") -> Report:
     def put(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
-    valid, issues = traces.read(spark, path)
-    clean = put("incoming", calls_of(content_columns(redacted(valid, salt))))
-    issues = put("issues", issues)
-    none = clean.select("trace_id", "content_hash").where("false")
-    sorted_in = store.classify(clean.select("trace_id", "content_hash", "line"), none)
-    kept = put("traces", clean.join(sorted_in.where("result = 'stored'").select("trace_id"), "trace_id", "left_semi"))
+    told = batches.ingest(spark, path, out, salt=salt, format=format, errors=f"{out}/issues")
+    kept = calls_of(spark.read.parquet(f"{out}/traces"))
     failures = put("failures", evidence.failures(kept))
     members, labels = grouped(failures, kept)
     members, labels = put("members", members), put("families", labels)
-    tests = put("tests", drafts(members, failures, kept))
-    return Report(clean.count(), issues.count(), failures.count(), labels.count(), tests.count())
+    stored = cut(spark.read.parquet(f"{out}/tests")) if exists(spark, f"{out}/tests") else None
+    tests = put("tests", cut(rebuilt(stored, drafts(members, failures, kept, labels))))
+    return Report(told.valid, told.issues, failures.count(), labels.count(), tests.count())

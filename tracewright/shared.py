@@ -62,6 +62,11 @@ def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
         _MADE.remove(name)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def free_prefix(df: DataFrame, wish: str) -> str:
     """``wish``, lengthened until no column of ``df`` begins with it (names know no case)."""
     names = [c.lower() for c in df.columns]

@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewright.functions.identity import canonical_json, content_hash
+from tracewright.operators import ingest as batches
 from tracewright.sources import traces
 
 
 def stream_traces(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.readStream.text(path).select(F.regexp_replace("value", r"^[\x{feff}\s]+|\s+$", "").alias("text")).where("text <> ''")
-    return traces.parse(rows.select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(True).alias("utf8"), "text"))
+    """Parsed lines; a stream has no line numbers."""
+    rows = spark.readStream.text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^[\x{feff}\s]+|\s+$", "").alias("text")).where("text <> ''")
+    return traces.parse(rows.select("file", F.lit(0).cast("long").alias("line"), F.lit(True).alias("utf8"), "text"))
 
 
-def ingest(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch's valid traces, by id and content once, and its issues; idempotent per batch."""
+def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, salt: bytes | None = None) -> StreamingQuery:
+    """Each batch goes the way of a file: redacted, classified against the store ``out``, appended where it is new.
+
+    A batch that is run again finds its traces stored.  Issues name the trace and the rule, never the record.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.withColumn("content_hash", content_hash(canonical_json(F.col("text")))).persist()
-        batch.where("size(issues) = 0").dropDuplicates(["trace_id"]).write.mode("overwrite").parquet(f"{out}/traces/batch={number}")
+        batch = batch.withColumn("line", F.monotonically_increasing_id()).persist()
         batch.where("size(issues) > 0").select("trace_id", "issues").write.mode("overwrite").parquet(f"{out}/issues/batch={number}")
+        clean, _ = batches.redacted(batch.where("size(issues) = 0"), salt)
+        told = batches.classified(batches.with_hash(clean), out)
+        batches.keep(told, out)
         batch.unpersist()
 
     return stream_traces(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
