@@ -34,7 +34,7 @@ from tracewright.llm.graph import components
 TOP, BOTTOM = 8, 10
 RANGES = 16
 CHAINS = 3
-PICKS = 8
+PICKS = 4
 SLICE = 1 << 20
 #: Row keys that are broadcast at most (24 bytes each).
 KEYS = 500_000
