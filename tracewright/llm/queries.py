@@ -82,6 +82,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", "item_words", "covered_words", "coverage", "n_tiles")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import alignment
+
+    return alignment.score(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import vector_codes
+
+    out, books = vector_codes.codes(table(spark, sf_dir, "embeddings"))
+    return out.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -94,6 +109,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_token_ids": op9_token_ids,
         "op10_decontamination": op10_decontamination,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 

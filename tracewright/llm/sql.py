@@ -51,5 +51,36 @@ FROM d JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id,
 """
 
 
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Product codes by comparing every part with every entry, round after round."""
+    assign = """a{r} AS MATERIALIZED (
+  SELECT id, p, x, e, d FROM (
+    SELECT id, p, x, e, d, row_number() OVER (PARTITION BY id, p ORDER BY d, e) AS k FROM (
+      SELECT q.id, q.p, q.x, b.e,
+             list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - b.x[i]) * (q.x[i] - b.x[i]))) AS d
+      FROM q JOIN b{r} b ON q.p = b.p)) WHERE k = 1)"""
+    # the remainder of a division that rounds down is never negative
+    update = """b{s} AS MATERIALIZED (
+  WITH t AS (SELECT p, e, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM (
+         SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY p, e, i),
+       m AS (SELECT p, e, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS x FROM t GROUP BY p, e)
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m ON m.p = b.p AND m.e = b.e)"""
+    steps = []
+    for r in range(rounds):
+        steps += [assign.format(r=r), update.format(r=r, s=r + 1)]
+    steps.append(assign.format(r=rounds))
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, embedding AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+q AS MATERIALIZED (SELECT id, p, list_transform(v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}], lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS x
+      FROM k, (SELECT unnest(range(0, {parts})) AS p)),
+b0 AS MATERIALIZED (SELECT p, id - 1 AS e, x FROM q WHERE id <= {entries}),
+{("," + chr(10)).join(steps)},
+c AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (id), h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op7_suffix_dedup": OP7}
+    return {"op5_line_dedup": OP5, "op7_suffix_dedup": OP7, "op12_vector_codes": vector_codes()}

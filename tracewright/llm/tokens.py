@@ -193,6 +193,20 @@ class Encoder:
         out[(ends - 1)[last >= 0]] = last[last >= 0]
         self._add(pieces, out, n)
 
+    def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of distinct pieces of regular texts, one after another, and how many each has.
+
+        Pieces stand after a space, or begin with their line feed; ``regular`` must hold."""
+        if len(self.known) > CACHE_PIECES:
+            self._age()
+        new = [w for w in words if w not in self.known]
+        if new:
+            self._learn(pa.array(new, pa.string()), new)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.met[at] = True
+        size = self.length[at].astype(np.int64)
+        return self.flat[np.repeat(self.start[at], size) + ramps(size)], size
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u4 ids of every text."""
         out: list[bytes] = [b""] * len(texts)
