@@ -97,6 +97,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import cutting_stock
+
+    return cutting_stock.pack_documents(table(spark, sf_dir, "documents"), cutting_stock.Stock(capacity=2048), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -111,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": op10_decontamination,
         "op11_token_alignment": op11_token_alignment,
         "op12_vector_codes": op12_vector_codes,
+        "op13_cutting_stock": op13_cutting_stock,
     }
 
 
