@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.__main__ import main
 from tracewright.operators import ingest, runs
+from tracewright.operators.versions import Changes, Store
 from tracewright.plans import from_traces
 from tracewright.sources import adapters
 
@@ -31,11 +32,11 @@ def test_from_traces(spark, tmp_path):
     write(tmp_path / "in.jsonl", rows)
     report = from_traces.run(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"))
     assert (report.read, report.issues) == (9, 1)
-    kept = {r.trace_id for r in spark.read.parquet(str(tmp_path / "out/traces")).collect()}
+    kept = {r.trace_id for r in Store(spark, str(tmp_path / "out")).read("traces").collect()}
     # refunds of different orders are different interactions: arguments count
     assert kept == {f"t{k}" for k in (0, 1, 2, 3, 4, 5, 9, 10)}
     assert report.failures == 7 and report.drafts >= report.families >= 2
-    tests = spark.read.parquet(str(tmp_path / "out/tests")).collect()
+    tests = Store(spark, str(tmp_path / "out")).read("tests").collect()
     assert all(e.type in ("tool_argument_not_equals", "human_rubric") for t in tests for e in t.expectations) and not any(t.blocking for t in tests)
     # nothing unredacted in any written file
     raw = b"".join(open(os.path.join(d, f), "rb").read() for d, _, fs in os.walk(tmp_path / "out") for f in fs)
@@ -44,13 +45,13 @@ def test_from_traces(spark, tmp_path):
     assert one.input.text.startswith("request ") and one.fixtures[0].result == '{"ok":true}' and '"order"' in one.fixtures[0].arguments
     assert "no expectation says what the agent should do" in one.warnings and one.provenance.content_hash.startswith("sha256:")
     # a reviewed test stays as it is; the others are made anew
-    path, first = str(tmp_path / "out/tests"), tests[0].test_id
-    marked = spark.createDataFrame(tests, spark.read.parquet(path).schema).withColumn("status", F.when(F.col("test_id") == first, "approved").otherwise(F.col("status"))).withColumn("warnings", F.when(F.col("test_id") == first, F.array(F.lit("mine"))).otherwise(F.col("warnings")))
-    marked.write.mode("overwrite").parquet(path)
+    at, first = Store(spark, str(tmp_path / "out")), tests[0].test_id
+    marked = spark.createDataFrame(tests, at.read("tests").schema).withColumn("status", F.when(F.col("test_id") == first, "approved").otherwise(F.col("status"))).withColumn("warnings", F.when(F.col("test_id") == first, F.array(F.lit("mine"))).otherwise(F.col("warnings")))
+    at.commit(at.version(), Changes(replace={"tests": marked}))
     assert from_traces.run(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out")) == report
-    again = {t.test_id: t for t in spark.read.parquet(path).collect()}
+    again = {t.test_id: t for t in at.read("tests").collect()}
     assert len(again) == len(tests) and again[first].status == "approved" and again[first].warnings == ["mine"]
-    assert spark.read.parquet(str(tmp_path / "out/traces")).count() == 8
+    assert Store(spark, str(tmp_path / "out")).read("traces").count() == 8
 
 
 def test_ingest_against_the_store(spark, tmp_path):
@@ -69,7 +70,7 @@ def test_ingest_against_the_store(spark, tmp_path):
     got = ingest.ingest(spark, str(tmp_path / "b.jsonl"), folder)
     assert (got.stored, got.already_stored, got.content_duplicates, got.id_conflicts, got.occurrences) == (1, 1, 1, 1, 2)
     assert got.identifier_risks == 1 and got.notices == ("a trace id looks like an email address",) and not got.ok
-    assert sorted(r.trace_id for r in spark.read.parquet(f"{folder}/traces").collect()) == ["t1", "t2", "t7"]
+    assert sorted(r.trace_id for r in Store(spark, folder).read("traces").collect()) == ["t1", "t2", "t7"]
     assert ingest.ingest(spark, str(tmp_path / "b.jsonl"), folder).stored == 0
     assert ingest.ingest(spark, str(tmp_path / "b.jsonl")).mode == "validate"
 

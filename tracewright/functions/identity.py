@@ -38,7 +38,7 @@ def canonical_json(payload: Column) -> Column:
     return F.to_json(F.try_parse_json(payload))
 
 
-#: Keys of an event that name the recording, not the interaction.
+#: Keys of an event that name the recording, not the interaction.
 VOLATILE = ("event_id", "call_id", "timestamp")
 
 
@@ -47,15 +47,16 @@ def event_identity(event: Column) -> Column:
     members = F.map_filter(event.try_cast("map<string,variant>"), lambda k, v: ~k.isin(*VOLATILE) & ~F.is_variant_null(v))
     texts = F.transform_values(members, lambda _, v: F.to_json(v))
     told = F.map_filter(texts, lambda k, v: ~((k == "arguments") & (v == "{}")))
-    return F.array_join(F.transform(F.array_sort(F.map_keys(told)), lambda k: F.concat(k, F.lit(":"), told[k])), "\n")
+    return F.to_json(F.transform(F.array_sort(F.map_keys(told)), lambda k: F.array(k, told[k])))
 
 
 def interaction_hash(text: Column, *facts: Column) -> Column:
     """Of what was said and done: ``facts`` (already parsed, in a fixed order) and the events of the trace's JSON
     ``text`` with their arguments and results, but without identifiers, times or provenance."""
     events = F.coalesce(F.try_variant_get(F.try_parse_json(text), "$.events", "array<variant>"), F.array().cast("array<variant>"))
-    said = [F.coalesce(f.cast("string"), F.lit("\x00")) for f in facts]
-    return content_hash(F.concat_ws("\x1e", *said, F.transform(events, event_identity)))
+    said = F.array(*[f.cast("string") for f in facts])
+    # JSON escapes what separates its parts, and tells a null from any text
+    return content_hash(F.concat(F.to_json(said), F.to_json(F.transform(events, event_identity))))
 
 
 def cache_key(*parts: Column) -> Column:

@@ -191,7 +191,7 @@ def evaluate(e: Column, text: Column, calls: Column) -> Column:
         .when(kind == "tool_not_called", F.size(of_tool) == 0)
         .when(kind == "tool_argument_equals", has_value)
         .when(kind == "tool_argument_not_equals", ~has_value)
-        .when(kind == "max_tool_calls", F.size(of_tool) <= e["value"].cast("int"))
+        .when(kind == "max_tool_calls", F.size(of_tool) <= e["value"].try_cast("int"))
     )
     unfit = (kind == "human_rubric") | ((kind == "output_matches") & ~compiles(words))
     return F.when(unfit, "error").when(ok, "pass").otherwise("fail")

@@ -403,21 +403,23 @@ def span_undone_calls(spark, d):
 def _recorded(spark, d):
     """A trace's JSON for each user and day: tool calls with their arguments, and results."""
     e = table(spark, d, "events")
-    body = lambda type_, **more: F.struct(F.lit(type_).alias("type"), F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("call_id"), F.col("event_type").alias("tool"), *[v.alias(k) for k, v in more.items()])
+    body = lambda type_, **more: F.struct(F.lit(type_).alias("type"), F.concat(F.col("event_id").cast("string"), F.lit(type_)).alias("event_id"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("call_id"), F.col("event_type").alias("tool"), *[v.alias(k) for k, v in more.items()])
     call = F.to_json(body("tool_call", arguments=F.try_parse_json("props")))
     result = F.to_json(body("tool_result", result=F.floor("value")))
     own = F.when(F.col("event_type").isin("click", "purchase"), F.concat(call, F.lit(","), result)).otherwise(call)
     rows = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("trace_id"), "event_id", own.alias("own"))
     events = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "own"))), lambda x: x["own"]), ",")
-    text = F.concat(F.lit('{"trace_id":"'), F.col("trace_id"), F.lit('","input":{"text":"one request"},"events":['), F.col("events"), F.lit("]}"))
+    text = F.concat(F.lit('{"trace_id":"'), F.col("trace_id"), F.lit('","input":{"text":"one\\u001erequest"},"events":['), F.col("events"), F.lit("]}"))
     return rows.groupBy("trace_id").agg(events.alias("events")).select(F.lit("f").alias("file"), F.lit(1).alias("line"), F.lit(True).alias("utf8"), text.alias("text"))
 
 
 @query(
     """WITH e AS (SELECT 'u' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS trace_id, event_id, event_type, props->>'$.k' AS k, CAST(floor(value) AS BIGINT) AS v FROM events),
-    t AS (SELECT trace_id, event_id, 'arguments:{"k":' || k || '}' || chr(10) || 'tool:"' || event_type || '"' || chr(10) || 'type:"tool_call"'
-            || CASE WHEN event_type IN ('click', 'purchase') THEN chr(30) || CASE WHEN v IS NULL THEN '' ELSE 'result:' || v || chr(10) END || 'tool:"' || event_type || '"' || chr(10) || 'type:"tool_result"' ELSE '' END AS own FROM e)
-    SELECT trace_id, 'sha256:' || sha256(concat_ws(chr(30), 'one request', '[]', chr(0), '[]', 'unknown', chr(0), chr(0), chr(0), '[]') || chr(30) || string_agg(own, chr(30) ORDER BY event_id)) AS content_hash FROM t GROUP BY trace_id"""
+    t AS (SELECT trace_id, event_id, [CAST(to_json([['arguments', '{"k":' || k || '}'], ['tool', '"' || event_type || '"'], ['type', '"tool_call"']]) AS VARCHAR)]
+            || CASE WHEN event_type NOT IN ('click', 'purchase') THEN [] WHEN v IS NULL THEN [CAST(to_json([['tool', '"' || event_type || '"'], ['type', '"tool_result"']]) AS VARCHAR)]
+               ELSE [CAST(to_json([['result', CAST(v AS VARCHAR)], ['tool', '"' || event_type || '"'], ['type', '"tool_result"']]) AS VARCHAR)] END AS own FROM e)
+    SELECT trace_id, 'sha256:' || sha256(CAST(to_json(['one' || chr(30) || 'request', '[]', NULL, '[]', 'unknown', NULL, NULL, NULL, '[]']) AS VARCHAR)
+      || CAST(to_json(flatten(list(own ORDER BY event_id))) AS VARCHAR)) AS content_hash FROM t GROUP BY trace_id"""
 )
 def interaction_hashes(spark, d):
     """Content hashes of whole records: arguments and results count, ids do not."""
@@ -757,3 +759,6 @@ def revenue_by_nation(spark, d):
     )
     by_order = joined.groupBy("nation", "l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
     return by_order.groupBy("nation").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("r"), 2).alias("revenue"))
+
+
+from tracewright.plans import stored  # noqa: E402,F401  registers its queries here

@@ -1,9 +1,10 @@
 """From a file of traces to families and drafted tests, in one pass of plans.
 
-Stages: read and validate, redact, classify against the store and add, detect, describe (offline), embed and cluster,
-choose representatives, draft expectations.  Each stage is a function of DataFrames; ``run`` writes a
-snapshot of each under ``out`` because later runs must meet what reviewers did meanwhile: traces and
-sightings are appended, and a test that was reviewed stays as it is.
+Stages: read and validate, redact, classify against the store and add, detect, gather (described failures by their
+analysis, the others by what was observed), embed and cluster, choose representatives, draft expectations.  Each
+stage is a function of DataFrames.  ``run`` commits one version of the store ``out`` for the traces and one for all that
+follows from them, and meets what people did meanwhile: a decision about a failure, a family's name or dismissal, and a
+reviewed test stay as they are.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import identity
-from tracewright.operators import evidence, expectations, families
+from tracewright.operators import decisions, discovery, edits, evidence, expectations, families
 from tracewright.operators import ingest as batches
-from tracewright.shared import cut, exists
+from tracewright.operators.versions import Changes, Store, transact
+from tracewright.shared import cut
 
-TABLES = ("traces", "occurrences", "issues", "failures", "families", "members", "tests")
+TABLES = ("traces", "occurrences", "failures", "analyses", "families", "members", "tests")
+ANALYSIS = "failure_id string, failure_type string, component string, severity string, summary string"
+THRESHOLDS = {"described": families.DESCRIBED, "undescribed": families.UNDESCRIBED}
 GENERATOR = 1
 
 
@@ -39,17 +43,14 @@ def calls_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flat", expectations.flatten_json(F.try_element_at("calls", F.lit(-1))["arguments"]))
 
 
-def grouped(failures: DataFrame, kept: DataFrame, threshold: float = families.UNDESCRIBED) -> tuple[DataFrame, DataFrame]:
-    """(members with distance and roles, families with label) of undescribed failures."""
-    rows = failures.join(kept.select("trace_id", "calls"), "trace_id")
-    tools = F.transform("calls", lambda c: c["tool"])
-    text = families.observation_text(tools, F.col("kinds"), F.transform("signals", lambda s: s["summary"]))
-    behaviour = F.array_join(F.array_sort(F.array_distinct(tools)), ", ")
-    rows = rows.select("failure_id", "trace_id", text.alias("text"), F.when(behaviour != "", behaviour).alias("behaviour"), F.lit("undescribed").alias("population"))
-    rows = rows.withColumn("vector", families.embedder()(F.col("text")))
-    found = families.cluster(rows, {"undescribed": threshold}).drop("population")
-    null = F.lit(None).cast("string")
-    placed = families.member_distances(rows.join(found, "failure_id")).withColumns({"severity": null, "failure_type": null, "component": null})
+def grouped(failures: DataFrame, kept: DataFrame, analyses: DataFrame | None = None, thresholds: dict[str, float] = THRESHOLDS) -> tuple[DataFrame, DataFrame]:
+    """(members with distance and roles, families with label) of open failures; described and undescribed ones never mix."""
+    told = failures.sparkSession.createDataFrame([], ANALYSIS) if analyses is None else analyses
+    calls = kept.select("trace_id", F.transform("calls", lambda c: c["tool"]).alias("tools"))
+    rows = discovery.gather(failures, told, calls, undescribed=True)
+    rows = cut(rows.withColumn("vector", families.embedder()(F.col("text"))))
+    found = families.cluster(rows, thresholds).drop("population")
+    placed = families.member_distances(rows.join(found, "failure_id"))
     members = families.roles(placed)
     return members, families.labels(members)
 
@@ -110,16 +111,36 @@ def rebuilt(stored: DataFrame | None, new: DataFrame) -> DataFrame:
     return reviewed.unionByName(new.join(reviewed.select("failure_id"), "failure_id", "left_anti"), allowMissingColumns=True)
 
 
-def run(spark: SparkSession, path: str, out: str, salt: bytes | None = None, format: str = "jsonl") -> Report:
-    def put(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
-        return spark.read.parquet(f"{out}/{name}")
+def next_families(old: DataFrame | None, labels: DataFrame, force: bool = False) -> DataFrame:
+    """New families with the names and dismissals that people gave to the old ones of the same members."""
+    new = labels.withColumns({"labelled_by": F.lit(None).cast("string"), "dismissed": F.lit(False)})
+    return new if old is None else edits.carry_over(old, new, force)
 
+
+def follow(at: Store, base: int, force: bool = False) -> dict[str, DataFrame]:
+    """All tables that follow from the stored traces of a version and from what people decided."""
+    traces = at.read("traces", base)
+    if traces is None:
+        return {}
+    kept = calls_of(traces)
+    failures = cut(decisions.next_failures(at.read("failures", base), evidence.failures(kept)))
+    members, labels = grouped(failures, kept, at.read("analyses", base))
+    members, labels = cut(members), cut(next_families(at.read("families", base), labels, force))
+    open_ = members.join(discovery.open_clusters(labels).select("cluster_id"), "cluster_id", "left_semi")
+    tests = cut(rebuilt(at.read("tests", base), drafts(open_, failures, kept, labels)))
+    return {"failures": failures, "members": members, "families": labels, "tests": tests}
+
+
+def run(spark: SparkSession, path: str, out: str, salt: bytes | None = None, format: str = "jsonl", force: bool = False) -> Report:
+    """``force``: edits of families that have no counterpart any more are given up."""
     told = batches.ingest(spark, path, out, salt=salt, format=format, errors=f"{out}/issues")
-    kept = calls_of(spark.read.parquet(f"{out}/traces"))
-    failures = put("failures", evidence.failures(kept))
-    members, labels = grouped(failures, kept)
-    members, labels = put("members", members), put("families", labels)
-    stored = cut(spark.read.parquet(f"{out}/tests")) if exists(spark, f"{out}/tests") else None
-    tests = put("tests", cut(rebuilt(stored, drafts(members, failures, kept, labels))))
-    return Report(told.valid, told.issues, failures.count(), labels.count(), tests.count())
+    at, last = Store(spark, out), {}
+
+    def change(base: int) -> Changes:
+        last.clear()
+        last.update(follow(at, base, force))
+        return Changes(replace=dict(last))
+
+    transact(at, change)
+    n = lambda name: last[name].count() if name in last else 0
+    return Report(told.valid, told.issues, n("failures"), n("families"), n("tests"))
