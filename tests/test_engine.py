@@ -13,8 +13,6 @@ from tracewright.operators import comparison, evidence, expectations, families,
 from tracewright.sources import results as result_source
 from tracewright.sources import spans as span_source
 from tracewright.sources import traces
-from tracewright.operators.versions import Store
-from tracewright.streaming import ingest
 
 
 def one(spark, *cols):
@@ -291,13 +289,3 @@ def test_derivation(spark):
     assert got[0] == got[1] == args
     assert got[2] == [("tool_not_called", "pay", None, None)] and got[3] == [("max_tool_calls", "look", None, "1")]
     assert [e[0] for e in got[4] + got[5]] == ["human_rubric"] * 2
-
-
-def test_streaming(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    (src / "a.jsonl").write_bytes(b"\n".join(x for x in LINES if b"\xff" not in x))
-    for _ in range(2):
-        ingest.ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    assert sorted(r.trace_id for r in Store(spark, str(tmp_path / "out")).read("traces").collect()) == ["a", "e", "f"]
-    assert spark.read.parquet(str(tmp_path / "out/issues")).count() == 5

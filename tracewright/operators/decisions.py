@@ -46,7 +46,7 @@ def spellings(named: DataFrame, salt: bytes | None = None) -> DataFrame:
     from pyspark.sql.functions import udf
 
     name = F.btrim("name")
-    hidden = udf(lambda x: pseudonym(x, "trace_id", salt), "string")(name) if salt else F.lit(None).cast("string")
+    hidden = udf(lambda x: None if x is None else pseudonym(x, "trace_id", salt), "string")(name) if salt else F.lit(None).cast("string")
     ways = F.array(
         F.struct(F.lit(0).alias("rank"), name.alias("candidate"), F.lit("failure").alias("kind")),
         F.struct(F.lit(1).alias("rank"), name.alias("candidate"), F.lit("trace").alias("kind")),
