@@ -278,9 +278,10 @@ def test_cutting_stock_packs_the_table_without_padding(spark, word_ids):
     assert sum(pieces[i] > -(-n // 2048) for i, n in {(r["doc_id"], r["doc_tokens"]) for r in rows}) <= 0.05 * len(docs)
 
 
-def test_cutting_stock_of_odd_texts(spark, word_ids, odd, empty):
+def test_cutting_stock_of_odd_texts(spark, word_ids, odd, empty, monkeypatch):
     docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    for capacity in (64, 2048):
+    for capacity, broadcast in ((64, 100_000), (2048, 100_000), (64, 0)):
+        monkeypatch.setattr(cutting_stock, "MOST_BROADCAST", broadcast)
         rows = cutting_stock.pack_documents(odd.repartition(3), cutting_stock.Stock(capacity=capacity)).collect()
         assert packed_right(rows, docs, word_ids, capacity) == 0
     assert cutting_stock.pack_documents(empty).collect() == []

@@ -18,7 +18,9 @@ taken-apart sequences are cut, other than those longer than a sequence.
 
 Scale: the driver holds the histogram and the patterns, both bounded by the capacity.  The plan says
 which ranks of a length go where; ranks come from salted two-level counts of slim rows, and the plan is
-applied by search.  Full pieces need no shuffle.  Ids travel again only for documents that are cut.
+applied by search.  Full pieces need no shuffle.  Ids are read again for documents that are
+cut; these are few unless lengths hardly fit together, so they are broadcast up to ``MOST_BROADCAST``, and joined by a
+shuffle of the tails beyond.
 
 Defined cases: a null or empty text is its end id alone; texts of any length are encoded whole; an empty
 table gives no rows; repeated rows are packed separately; ties in rank order fall to the row's number in
@@ -45,6 +47,8 @@ from tracewright.llm.tokens import public_vocabulary
 from tracewright.llm.words import word_encoder
 
 SLICE_BYTES = 3 << 20
+#: Documents that are cut, up to which their places (some 60 bytes each) are broadcast; the plan knows their number.
+MOST_BROADCAST = 100_000
 
 
 @dataclass(frozen=True)
@@ -403,5 +407,9 @@ def pack_documents(docs: DataFrame, stock: Stock = Stock(), vocabulary: str | No
         "doc_tokens", (-1 - F.col("first_full") - F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
     uncut = placed.where("tape < 0").withColumnRenamed("id", "doc_id").select(names)
-    taken = placed.where("tape >= 0").select("serial", "id", "doc_tokens", "start", "length", "tape").join(rows.select("serial", "ids"), "serial")
+    taken = placed.where("tape >= 0").select("serial", "id", "doc_tokens", "start", "length", "tape")
+    on_tape = found.steps[found.steps[:, 6] >= 0]
+    if int((on_tape[:, 2] - on_tape[:, 1]).sum()) <= MOST_BROADCAST:
+        taken = F.broadcast(taken)
+    taken = rows.select("serial", "ids").join(taken, "serial")
     return whole.select(names).unionByName(uncut).unionByName(taken.mapInArrow(_cut(found.cuts), PIECES))
