@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import identity, redaction, statistics
-from tracewright.operators import comparison, evidence, expectations, families, store
+from tracewright.operators import comparison, evidence, expectations, families, linkage, store
 from tracewright.sources import results as result_source
 from tracewright.sources import spans as span_source
 from tracewright.sources import traces
@@ -228,7 +228,7 @@ def test_average_linkage_is_exact():
         for t in (0.2, 0.5, 0.9):
             x = rng.normal(size=(n, 4))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            assert sorted(families.average_linkage(x, t)) == naive_linkage(x, t)
+            assert sorted(linkage.average_linkage(x, t)) == naive_linkage(x, t)
 
 
 def test_clusters_do_not_depend_on_parts(spark):

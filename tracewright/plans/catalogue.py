@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import identity, redaction, statistics
-from tracewright.operators import comparison, evidence, expectations, families, ingest, store, validate
+from tracewright.operators import comparison, evidence, expectations, families, ingest, linkage, store, validate
 from tracewright.plans.views import doc_traces, results, spans, table
 from tracewright.sources import traces
 from tracewright.sources.spans import assemble, bag_difference, roots, safe_tool_name
@@ -552,23 +552,8 @@ def family_roles(spark, d):
 )
 def cosine_pairs_below_threshold(spark, d):
     """All near pairs, by blocks of vectors: no cross join."""
-    import numpy as np
-    import pandas as pd
-
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    blocks = max(1, -(-rows.count() // 2000))
-    tagged = rows.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = tagged.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
-
-    def near(key, part: pd.DataFrame) -> pd.DataFrame:
-        x, ids, blk = np.array(part["embedding"].tolist(), dtype=float), part["vec_id"].to_numpy(), part["blk"].to_numpy()
-        left, right = np.flatnonzero(blk == key[0]), np.flatnonzero(blk == key[1])
-        a, b = np.nonzero(1 - x[left] @ x[right].T < 0.55)
-        a, b = ids[left[a]], ids[right[b]]
-        keep = a < b if key[0] == key[1] else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
-
-    return dealt.groupBy("i", "j").applyInPandas(near, "a long, b long")
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("point"), F.col("embedding").cast("array<double>").alias("vector"))
+    return linkage.near_pairs(points, 0.55)
 
 
 @query()
