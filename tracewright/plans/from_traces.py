@@ -104,10 +104,10 @@ def drafts(members: DataFrame, failures: DataFrame, kept: DataFrame, labels: Dat
 
 
 def rebuilt(stored: DataFrame | None, new: DataFrame) -> DataFrame:
-    """The next snapshot of tests: reviewed ones stay as they are, drafts are made anew."""
+    """The next snapshot of tests: reviewed and edited ones stay as they are, other drafts are made anew."""
     if stored is None:
         return new
-    reviewed = stored.where("status <> 'draft'")
+    reviewed = stored.where("status <> 'draft' or edited" if "edited" in stored.columns else "status <> 'draft'")
     return reviewed.unionByName(new.join(reviewed.select("failure_id"), "failure_id", "left_anti"), allowMissingColumns=True)
 
 
