@@ -35,7 +35,7 @@ def test_a_giant_part_gives_the_families_of_one_task(spark, threshold):
     x = unit(np.random.default_rng(3).normal(size=(400, 6)))
     points = table(spark, x).select(F.col("failure_id").alias("point"), "vector", F.lit(1).cast("long").alias("size"))
     assert linkage.parts(points, threshold, 90).select("part").distinct().count() == 1
-    assert groups(linkage.cluster(table(spark, x), threshold, 90).collect()) == linkage.average_linkage(x, threshold)
+    assert groups(linkage.cluster(table(spark, x), threshold, 90, 90).collect()) == linkage.average_linkage(x, threshold)
 
 
 def test_equal_vectors_are_one_point_and_count_as_many(spark):
@@ -43,7 +43,7 @@ def test_equal_vectors_are_one_point_and_count_as_many(spark):
     x = np.concatenate([np.repeat(unit(rng.normal(size=(1, 4))), 150, axis=0), unit(rng.normal(size=(60, 4)))])
     points, members = linkage.folded(table(spark, x))
     assert (points.count(), members.count(), points.agg(F.max("size")).first()[0]) == (61, 210, 150)
-    assert groups(linkage.cluster(table(spark, x), 0.6, 25).collect()) == linkage.average_linkage(x, 0.6)
+    assert groups(linkage.cluster(table(spark, x), 0.6, 25, 25).collect()) == linkage.average_linkage(x, 0.6)
 
 
 def test_many_equal_distances_do_not_queue(spark):
@@ -56,7 +56,7 @@ def test_many_equal_distances_do_not_queue(spark):
 
 def test_zero_and_missing_vectors_stay_alone(spark):
     rows = [("a", [0.0, 0.0]), ("b", [0.0, -0.0]), ("c", [1.0, 0.0]), ("d", [1.0, -0.0]), ("e", None), ("f", None), ("g", [float("nan"), 1.0]), ("h", [None, 1.0])]
-    got = {r.failure_id: r.root for r in linkage.cluster(spark.createDataFrame(rows, SCHEMA), 0.5, 2).collect()}
+    got = {r.failure_id: r.root for r in linkage.cluster(spark.createDataFrame(rows, SCHEMA), 0.5, 2, 2).collect()}
     assert got == {"a": "a", "b": "b", "c": "c", "d": "c", "e": "e", "f": "f", "g": "g", "h": "h"}
     assert linkage.cluster(spark.createDataFrame([], SCHEMA), 0.5).count() == 0
 
@@ -82,4 +82,4 @@ def test_pivots_shuffle_less_where_vectors_lie_in_groups(spark):
 def test_families_name_clusters_by_their_members(spark):
     x = unit(np.random.default_rng(7).normal(size=(80, 3)))
     rows = table(spark, x).withColumn("population", F.lit("described"))
-    assert sorted(families.cluster(rows, {"described": 0.4}, 15).select("failure_id", "cluster_id").collect()) == sorted(families.cluster(rows, {"described": 0.4}).select("failure_id", "cluster_id").collect())
+    assert sorted(families.cluster(rows, {"described": 0.4}, 15, 15).select("failure_id", "cluster_id").collect()) == sorted(families.cluster(rows, {"described": 0.4}).select("failure_id", "cluster_id").collect())

@@ -7,7 +7,7 @@ Equal vectors are folded into one point first: they are at distance 0, which not
 distance 1 from all others and from its equals, so each stays a point of its own.
 
 A mean distance under the threshold needs a pair under it, so clusters never leave a connected part of near pairs.
-Parts of up to ``BLOCK`` points are clustered in a task each.  In larger ones every cluster looks for its nearest one by
+Parts of up to ``WHOLE`` points are clustered in a task each.  In larger ones every cluster looks for its nearest one by
 blocks, and all pairs that are each other's nearest merge at once: a merged cluster is never nearer to a third than
 the nearer of its halves was, so these merges are those of always taking the closest pair.  Of equal distances (to 12
 digits) a hash of the pair decides, so that ties do not queue.  A cluster whose nearest one is beyond the threshold is
@@ -28,6 +28,8 @@ from tracewright.shared import cut
 
 #: Points of a block; a task holds two blocks and their products.
 BLOCK = 2000
+#: Clusters of a part that are linked in one task at most (a matrix of 288 MB).
+WHOLE = 6000
 #: Vectors that pivots are chosen from, and pivots at most.  They decide what is shuffled, not what is found.
 SAMPLE, PIVOTS = 2048, 512
 #: Pivots for each block of points: narrow cells, several of which make a block.
@@ -225,7 +227,8 @@ def average_linkage(vectors: np.ndarray, threshold: float, sizes: np.ndarray | N
     closest pair, and a cluster whose nearest one is beyond the threshold is complete.
     """
     n = len(vectors)
-    gap = np.clip(1 - vectors @ vectors.T, 0, 2)
+    gap = vectors @ vectors.T
+    np.clip(np.subtract(1, gap, out=gap), 0, 2, out=gap)
     gap[np.arange(n), np.arange(n)] = np.inf
     weight = np.ones(n) if sizes is None else np.array(sizes, dtype=float)
     groups: dict[int, list[int]] = {k: [k] for k in range(n)}
@@ -315,7 +318,7 @@ def _mutual(open_: DataFrame, threshold: float, block: int) -> tuple[DataFrame,
     return moves, halves.select("part", F.col("root").alias("cid"), size.alias("size"), mean.alias("mean"))
 
 
-def linked(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def linked(points: DataFrame, threshold: float, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """(point, root): clusters of rows (point, vector, size, part), named by one of their points."""
     members = points.select("part", "point", F.col("point").alias("cid"))
     live = points.select("part", F.col("point").alias("cid"), "size", F.col("vector").alias("mean"))
@@ -323,18 +326,18 @@ def linked(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame
     follow = lambda members, moves: members.join(moves, ["part", "cid"], "left").select("part", "point", F.coalesce("root", "cid").alias("cid"))
     while True:
         live = cut(live)
-        open_ = live.join(live.groupBy("part").agg(F.count(F.lit(1)).alias("n_open")), "part").where("n_open > 1")
-        whole = open_.where(F.col("n_open") <= block).select("part", "cid", "size", "mean").groupBy("part").applyInPandas(_finish(threshold), schema)
-        large = cut(open_.where(F.col("n_open") > block))
+        n = cut(live.groupBy("part").agg(F.count(F.lit(1)).alias("n_open")).where("n_open > 1"))
+        small, large = n.where(F.col("n_open") <= whole), n.where(F.col("n_open") > whole)
+        done = live.join(small, "part").select("part", "cid", "size", "mean").groupBy("part").applyInPandas(_finish(threshold), schema)
         if large.isEmpty():
-            return follow(members, whole).select("point", F.col("cid").alias("root"))
-        moves, live = _mutual(large, threshold, block)
-        members = cut(follow(members, whole.unionByName(moves)))
+            return follow(members, done).select("point", F.col("cid").alias("root"))
+        moves, live = _mutual(live.join(large, "part"), threshold, block)
+        members = cut(follow(members, moves if small.isEmpty() else done.unionByName(moves)))
 
 
-def cluster(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def cluster(vectors: DataFrame, threshold: float, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """(failure_id, root) of rows (failure_id, vector): equal roots are one cluster."""
     points, members = folded(vectors)
     near = parts(points, threshold, block)
-    roots = linked(points.join(near, "point"), threshold, block)
+    roots = linked(points.join(near, "point"), threshold, block, whole)
     return members.join(points.select("digest", "point"), "digest").join(roots, "point").select("failure_id", "root")
