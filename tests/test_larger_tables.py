@@ -1,8 +1,10 @@
 """What shows on tables larger than the ones given."""
 
 import duckdb
+import pandas as pd
 
 from tracewright.plans import catalogue
+from tracewright.streaming import closing
 
 
 def against_sql(spark, folder, name):
@@ -23,3 +25,89 @@ def test_a_p_value_below_the_doubles_has_an_infinite_logarithm(spark, tmp_path):
     )
     (row,) = against_sql(spark, tmp_path, "mcnemar_stats")
     assert (row.regressions, row.log_p, row.significant) == (2500, float("-inf"), True)
+
+
+class Held:
+    """A state variable in memory that counts its calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.x = []
+
+    def __getattribute__(self, name):
+        if name in ("get", "put", "appendList", "update", "clear", "exists"):
+            Held.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return bool(self.x)
+
+    def get(self):
+        return iter(list(self.x)) if not self.x or isinstance(self.x, list) else self.x
+
+    def put(self, values):
+        self.x = list(values)
+
+    def appendList(self, values):
+        self.x = self.x + list(values)
+
+    def update(self, value):
+        self.x = value
+
+    def clear(self):
+        self.x = []
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getListState(self, name, schema):
+        return Held()
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_calls_of_the_state_do_not_grow_with_traces():
+    bucket, handle = closing.Closing(1_000, 50_000), Handle()
+    bucket.init(handle)
+
+    def arrive(spans, watermark):
+        given = pd.DataFrame(spans, columns=["trace_id", "span", "ended_ms"])
+        return [tuple(r) for part in bucket.handleInputRows((7,), iter([given]), Clock(watermark)) for r in part.itertuples(index=False)]
+
+    def fire(watermark):
+        at = min(handle.timers)
+        assert at <= watermark and len(handle.timers) == 1
+        handle.timers.remove(at)
+        return [tuple(r) for part in bucket.handleExpiredTimer((7,), Clock(watermark), None) for r in part.itertuples(index=False)]
+
+    n = 6_000
+    Held.calls = 0
+    # two spans of each trace in two batches; of the last ten traces the second one comes much later
+    assert arrive([(f"t{k}", f"a{k}", 100) for k in range(n)], 0) == []
+    assert arrive([(f"t{k}", f"b{k}", 900 if k < n - 10 else 5_000) for k in range(n)], 50) == []
+    out = fire(2_000)
+    assert sorted(out) == sorted((f"t{k}", f"{c}{k}", False) for k in range(n - 10) for c in "ab")
+    assert arrive([("t5", "late", 3_500), ("t5", "later", 3_600), ("new", "x", 3_000)], 2_500) == [("t5", "late", True), ("t5", "later", True)]
+    assert arrive([("t6", "late", 3_500)], 2_500) == [("t6", "late", True)]  # and nothing else
+    assert fire(4_500) == [("new", "x", False)]
+    assert sorted(fire(6_500)) == sorted((f"t{k}", f"{c}{k}", False) for k in range(n - 10, n) for c in "ab")
+    # marks go in their time, then a trace is a new one
+    assert fire(60_000) == [] and arrive([("t5", "again", 60_500)], 60_000) == [] and fire(61_600) == [("t5", "again", False)]
+    assert Held.calls < 100
