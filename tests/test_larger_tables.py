@@ -1,9 +1,11 @@
 """What shows on tables larger than the ones given."""
 
 import duckdb
+import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from tracewright.operators import families
+from tracewright.operators import families, linkage
 from tracewright.plans import catalogue
 from tracewright.streaming import closing
 
@@ -120,3 +122,21 @@ def test_vectors_leave_python_in_small_batches(spark):
     assert sizes == [families.VECTORS, families.VECTORS, 3]
     got = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1).select("k", families.embedder()("text").alias("v")).collect()
     assert [r.v for r in sorted(got)] == [families.hashed_vector(t) for t in texts]
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_table(spark):
+    x = np.random.default_rng(8).normal(size=(2_000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "point long, vector array<double>")
+    # blocks of 10 would be 200; cells do not fill theirs, so a few blocks come to MEETINGS
+    assert linkage.dealt(points, 0.9, 10).agg(F.max(F.size("targets"))).first()[0] <= 1.5 * linkage.MEETINGS
+
+
+def test_pairs_and_parts_by_tiles(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(90, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    places = np.arange(90)
+    monkeypatch.setattr(linkage, "TILE", 7)
+    tiles = [(int(a), int(b)) for p, q in linkage._tiles(x, places[:40], places[35:], 0.3) for a, b in zip(p, q)]
+    a, b = np.nonzero(1 - x[:40] @ x[35:].T < 0.3)
+    assert sorted(tiles) == sorted(zip(a.tolist(), (b + 35).tolist()))

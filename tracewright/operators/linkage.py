@@ -18,6 +18,7 @@ one by one around one centre takes a round for each of its points.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tracewright.shared import cut
 
-#: Points of a block; a task holds two blocks and their products.
-BLOCK = 2000
+#: Points of a block at least.  Blocks grow with the points, so that a point is copied to ``MEETINGS`` blocks at most, up to ``LARGEST`` numbers
+#: (32 MB; 65,536 points of 64 dimensions); a task holds two blocks, and their products by ``TILE`` rows on either side.
+BLOCK, LARGEST, MEETINGS, TILE = 2000, 1 << 22, 24, 2000
 #: Clusters of a part that are linked in one task at most (a matrix of 288 MB).
 WHOLE = 6000
 #: Vectors that pivots are chosen from, and pivots at most.  They decide what is shuffled, not what is found.
@@ -123,6 +125,7 @@ def dealt(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     first = points.where(F.exists("vector", lambda x: x != 0)).orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("vector").collect()
     # angles tell nothing of zero vectors, which are near to all beyond a threshold of 1
     metric = threshold <= 1 and len(first) > 0
+    block = block_size(n, max((len(r["vector"]) for r in first), default=LARGEST), block)
     pivots = _spread(np.array([r["vector"] for r in first], dtype=float), min(PIVOTS, CELLS * -(-n // block))) if metric else None
 
     @F.pandas_udf("cell int, angle double")
@@ -152,6 +155,19 @@ def dealt(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     return placed.withColumn("to", aim("vector", "at.cell", F.xxhash64("point"))).select("point", "vector", "to.blk", "to.targets")
 
 
+def block_size(n: int, width: int, least: int) -> int:
+    """Points of a block, of ``n`` in all."""
+    return max(least, min(LARGEST // max(width, 1), -(-n // MEETINGS)))
+
+
+def _tiles(x: np.ndarray, left: np.ndarray, right: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``x``, of pairs from left and right that are nearer than ``reach``, tile by tile."""
+    for i in range(0, len(left), TILE):
+        for j in range(0, len(right), TILE):
+            a, b = np.nonzero(1 - x[left[i : i + TILE]] @ x[right[j : j + TILE]].T < reach)
+            yield left[i + a], right[j + b]
+
+
 def meetings(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(i, j, point, vector, blk): the points of each pair of blocks that can hold near ones."""
     rows = dealt(points, threshold, block).withColumn("other", F.explode("targets"))
@@ -164,10 +180,12 @@ def near_pairs(points: DataFrame, threshold: float, block: int = BLOCK) -> DataF
     def near(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         x, ids, blk = _matrix(part["vector"]), part["point"].to_numpy(), part["blk"].to_numpy()
         left, right = np.flatnonzero(blk == key[0]), np.flatnonzero(blk == key[1])
-        a, b = np.nonzero(1 - x[left] @ x[right].T < threshold)
-        a, b = ids[left[a]], ids[right[b]]
-        keep = a < b if key[0] == key[1] else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+        found = []
+        for a, b in _tiles(x, left, right, threshold):
+            a, b = ids[a], ids[b]
+            keep = a < b if key[0] == key[1] else a != b
+            found.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
 
     kind = points.schema["point"].dataType.simpleString()
     return meetings(points, threshold, block).groupBy("i", "j").applyInPandas(near, f"a {kind}, b {kind}")
@@ -196,8 +214,12 @@ def parts(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
         part = part.sort_values("point").reset_index(drop=True)
         x, ids, blk = _matrix(part["vector"]), part["point"].to_numpy(), part["blk"].to_numpy()
         left, right = np.flatnonzero(blk == key[0]), np.flatnonzero(blk == key[1])
-        a, b = np.nonzero(1 - x[left] @ x[right].T < threshold + 1e-9)
-        root = _stars(left[a], right[b], len(ids))
+        root = np.arange(len(ids))
+        for a, b in _tiles(x, left, right, threshold + 1e-9):
+            # pairs of a tile join what earlier tiles have joined
+            a, b = root[a], root[b]
+            apart = a != b
+            root = _stars(a[apart], b[apart], len(ids))[root]
         far = root != np.arange(len(ids))
         return pd.DataFrame({"a": ids[far], "b": ids[root[far]]})
 
