@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright import shared
 from tracewright.operators import families, linkage
 
 SCHEMA = "failure_id string, vector array<double>"
@@ -83,3 +84,31 @@ def test_families_name_clusters_by_their_members(spark):
     x = unit(np.random.default_rng(7).normal(size=(80, 3)))
     rows = table(spark, x).withColumn("population", F.lit("described"))
     assert sorted(families.cluster(rows, {"described": 0.4}, 15, 15).select("failure_id", "cluster_id").collect()) == sorted(families.cluster(rows, {"described": 0.4}).select("failure_id", "cluster_id").collect())
+
+
+def test_a_cluster_that_takes_its_neighbours_one_by_one_takes_few_rounds(spark, monkeypatch):
+    # on a line of growing gaps each merge must wait for the one before it
+    angle = np.cumsum(np.r_[0, 0.02 * 1.035 ** np.arange(60)])
+    x = np.c_[np.cos(angle / 4), np.sin(angle / 4)]
+    rounds, mutual = [], linkage._mutual
+    monkeypatch.setattr(linkage, "_mutual", lambda *a: rounds.append(1) or mutual(*a))
+    assert groups(linkage.cluster(table(spark, x), 0.5, 20, 20).collect()) == linkage.average_linkage(x, 0.5)
+    assert 1 <= len(rounds) <= 8
+
+
+def test_estimates_do_not_grow_in_a_loop_of_joins(spark):
+    rows = spark.range(10).withColumn("x", F.lit(1))
+    for _ in range(3):
+        rows = shared.written(rows.join(rows.withColumnRenamed("x", "y"), "id").select("id", "x"), "loop")
+    plan = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert rows.count() == 10 and plan < 1 << 20
+
+
+def test_merges_inside_a_group_wait_for_what_is_nearer_outside():
+    x = unit(np.array([[1.0, 0.0], [0.98, 0.2], [0.0, 1.0], [0.1, 1.0]]))
+    none = np.full(4, -1)
+    alone, _ = linkage._merged(x, 0.5, np.ones(4), np.full(4, np.inf), none, none > 0)
+    assert alone.tolist() == [0, 0, 2, 2]
+    # something outside is nearer to the second than the first is
+    root, complete = linkage._merged(x, 0.5, np.ones(4), np.array([1.0, 0.001, 1.0, 1.0]), none, none > 0)
+    assert root.tolist() == [0, 1, 2, 2] and complete.tolist() == [False, False, True, False]

@@ -7,12 +7,13 @@ Equal vectors are folded into one point first: they are at distance 0, which not
 distance 1 from all others and from its equals, so each stays a point of its own.
 
 A mean distance under the threshold needs a pair under it, so clusters never leave a connected part of near pairs.
-Parts of up to ``WHOLE`` points are clustered in a task each.  In larger ones every cluster looks for its nearest one by
-blocks, and all pairs that are each other's nearest merge at once: a merged cluster is never nearer to a third than
-the nearer of its halves was, so these merges are those of always taking the closest pair.  Of equal distances (to 12
-digits) a hash of the pair decides, so that ties do not queue.  A cluster whose nearest one is beyond the threshold is
-complete.  The rounds end when a part's open clusters fit in a task.  How many there are depends on the data: a part that grows
-one by one around one centre takes a round for each of its points.
+Parts of up to ``WHOLE`` points are clustered in a task each.  Larger ones are clustered in rounds.  Neighbouring clusters
+form groups of about ``WHOLE``; by blocks every cluster looks for its nearest one and for its least distance to other groups, and all pairs that
+are each other's nearest merge: a merged cluster is never nearer to a third than the nearer of its halves was, so these
+merges are those of always taking the closest pair.  Of equal distances (to 12 digits) a hash of the pair decides, so
+that ties do not queue.  Then each group goes on by itself as long as its merges are nearer than anything outside can be,
+so that a cluster that takes its neighbours one by one does not take a round for each.  A cluster whose nearest one is
+beyond the threshold is complete.  The rounds end when a part's open clusters fit in a task; their number depends on the data.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.shared import cut
+from tracewright.shared import cut, made, release, written
 
 #: Points of a block at least.  Blocks grow with the points, so that a point is copied to ``MEETINGS`` blocks at most, up to ``LARGEST`` numbers
 #: (32 MB; 65,536 points of 64 dimensions); a task holds two blocks, and their products by ``TILE`` rows on either side.
@@ -36,6 +37,10 @@ WHOLE = 6000
 SAMPLE, PIVOTS = 2048, 512
 #: Pivots for each block of points: narrow cells, several of which make a block.
 CELLS = 8
+#: Blocks of a round at most, so a cluster is copied to so many; a block is several groups.
+ROUND_BLOCKS = 12
+#: Distances are compared with this much room.
+ROUNDED = 1e-12
 #: Angles are looked at with this much room: lengths may be off by 1e-7, as those of single-precision vectors are.
 ROOM = 1e-3
 
@@ -231,7 +236,7 @@ def parts(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
         new = label.join(low.withColumnRenamed("a", "point"), "point", "left").select("point", F.least("part", F.coalesce("low", "part")).alias("part"), F.col("part").alias("old"))
         # pointer jump: take the part of the part
         up = new.select(F.col("point").alias("part"), F.col("part").alias("up"))
-        new = cut(new.join(up, "part", "left").select("point", F.coalesce("up", "part").alias("part"), "old"))
+        new = written(new.join(up, "part", "left").select("point", F.coalesce("up", "part").alias("part"), "old"), "linkage")
         label = new.drop("old")
         if new.where("part <> old").isEmpty():
             break
@@ -241,43 +246,83 @@ def parts(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
 # --- linkage -------------------------------------------------------------------------------------
 
 
-def average_linkage(vectors: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> list[list[int]]:
-    """Clusters of average linkage, cut where mean distances reach the threshold; of means with ``sizes`` of what they stand for.
+def _merged(vectors: np.ndarray, threshold: float, sizes: np.ndarray, outside: np.ndarray, pairs: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first member of each one's cluster, which clusters are complete) after all merges that a group can decide alone.
 
     Nearest-neighbour chains: from a cluster to its nearest one and on, until two are each other's nearest; these
     merge.  Mean distances never fall below both of their parts, so the merges are those of always taking the
     closest pair, and a cluster whose nearest one is beyond the threshold is complete.
+
+    ``outside``: each one's distance to all clusters that are not in the group, at least.  A mean of such bounds is the bound of
+    a merged cluster, whatever merges outside.  What is not nearer to its nearest one than to the outside waits, and so does all that waits for it.
+    ``pairs`` (the place of a partner or -1) merge first; what is ``away`` has its partner elsewhere and counts as outside.
     """
     n = len(vectors)
     gap = vectors @ vectors.T
     np.clip(np.subtract(1, gap, out=gap), 0, 2, out=gap)
     gap[np.arange(n), np.arange(n)] = np.inf
-    weight = np.ones(n) if sizes is None else np.array(sizes, dtype=float)
-    groups: dict[int, list[int]] = {k: [k] for k in range(n)}
-    done: list[list[int]] = []
+    weight, bound, root = np.array(sizes, dtype=float), np.array(outside, dtype=float), np.arange(n)
+    gone, waits, complete = away.copy(), away.copy(), np.zeros(n, dtype=bool)
+    if away.any():
+        bound = np.minimum(bound, gap[:, away].min(axis=1))
+        gap[away] = gap[:, away] = np.inf
+
+    def join(low: int, high: int) -> None:
+        share = weight[low] / (weight[low] + weight[high])
+        mean = share * gap[low] + (1 - share) * gap[high]
+        gap[high, :] = gap[:, high] = np.inf
+        gap[low, :] = gap[:, low] = mean
+        gap[low, [low, high]] = gap[[low, high], low] = np.inf
+        # an end of infinity is one on both sides
+        bound[low] = share * bound[low] + (1 - share) * bound[high]
+        weight[low] += weight[high]
+        root[high], gone[high] = low, True
+
+    for low, high in zip(np.flatnonzero(pairs > np.arange(n)).tolist(), pairs[pairs > np.arange(n)].tolist()):
+        join(low, high)
     chain: list[int] = []
-    while groups:
+    first = 0
+    while True:
         if not chain:
-            chain.append(min(groups))
+            while first < n and (gone[first] or waits[first]):
+                first += 1
+            if first == n:
+                break
+            chain.append(first)
         here = chain[-1]
         there = int(gap[here].argmin())
-        if not gap[here, there] < threshold:
-            done.append(sorted(groups.pop(here)))
+        least = gap[here, there]
+        if not min(least, bound[here]) < threshold:
+            complete[here] = gone[here] = True
             gap[here, :] = gap[:, here] = np.inf
             chain.pop()
-        elif len(chain) > 1 and gap[here, chain[-2]] <= gap[here, there]:
-            chain.pop()
-            low, high = sorted((here, chain.pop()))
-            share = weight[low] / (weight[low] + weight[high])
-            mean = share * gap[low] + (1 - share) * gap[high]
-            gap[high, :] = gap[:, high] = np.inf
-            gap[low, :] = gap[:, low] = mean
-            gap[low, [low, high]] = gap[[low, high], low] = np.inf
-            groups[low] += groups.pop(high)
-            weight[low] += weight[high]
+            continue
+        if len(chain) > 1 and gap[here, chain[-2]] <= least:
+            there = chain[-2]
+        if least > bound[here] - ROUNDED or waits[there]:
+            # its nearest one never comes nearer, and those before it in the chain have it as theirs
+            waits[chain] = True
+            chain.clear()
+        elif len(chain) > 1 and there == chain[-2]:
+            low, high = sorted((chain.pop(), chain.pop()))
+            join(low, high)
+            first = min(first, low)
         else:
             chain.append(there)
-    return sorted(done)
+    while (root[root] != root).any():
+        root = root[root]
+    return root, complete
+
+
+def average_linkage(vectors: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> list[list[int]]:
+    """Clusters of average linkage, cut where mean distances reach the threshold; of means with ``sizes`` of what they stand for."""
+    n = len(vectors)
+    none = np.full(n, -1)
+    root, _ = _merged(vectors, threshold, np.ones(n) if sizes is None else sizes, np.full(n, np.inf), none, none > 0)
+    groups: dict[int, list[int]] = {}
+    for k, r in enumerate(root.tolist()):
+        groups.setdefault(r, []).append(k)
+    return sorted(groups.values())
 
 
 def _finish(threshold: float):
@@ -300,66 +345,153 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nearest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The nearest cluster of each one in a pair of blocks, both ways from one matrix, so that both ends see the same distance."""
-    x, ids, h, blk = _matrix(rows["mean"]), rows["cid"].to_numpy(), rows["h"].to_numpy(), rows["blk"].to_numpy()
-    left, right = np.flatnonzero(blk == key[1]), np.flatnonzero(blk == key[2])
-    gap = np.round(np.clip(1 - x[left] @ x[right].T, 0, 2), 12)
-    if key[1] == key[2]:
-        gap = np.minimum(gap, gap.T)
-        np.fill_diagonal(gap, np.inf)
-    found = []
-    for d, own, other in ((gap, left, right), (gap.T, right, left))[: 1 if key[1] == key[2] else 2]:
-        if not d.size:
-            continue
-        low = d.min(axis=1)
-        i, j = np.nonzero((d == low[:, None]) & np.isfinite(low)[:, None])
-        tie = _mixed(h[own[i]], h[other[j]])
-        order = np.lexsort((tie, i))
-        i, j, tie = i[order], j[order], tie[order]
-        once = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
-        i, j, tie = i[once], j[once], tie[once]
-        found.append(pd.DataFrame({"part": key[0], "cid": ids[own[i]], "gap": low[i], "tie": tie, "other": ids[other[j]]}))
-    return pd.concat(found) if found else pd.DataFrame({"part": [], "cid": [], "gap": [], "tie": [], "other": []})
-
-
-def _mutual(open_: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """(moves, clusters that stay open) of a round over the clusters ``open_`` (part, cid, size, mean, n_open)."""
-    blocks = F.ceil(F.col("n_open") / block).cast("int")
-    rows = open_.select("part", "cid", "mean", F.xxhash64("cid").alias("h"), blocks.alias("blocks"))
-    rows = rows.withColumn("blk", F.pmod("h", F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("part", F.least("blk", "to").alias("i"), F.greatest("blk", "to").alias("j"), "cid", "mean", "h", "blk")
-    found = rows.groupBy("part", "i", "j").applyInPandas(_nearest, "part string, cid string, gap double, tie long, other string")
-    best = cut(found.groupBy("part", "cid").agg(F.min(F.struct("gap", "tie", "other")).alias("b")).select("part", "cid", "b.gap", "b.other").where(F.col("gap") < threshold))
-    back = best.select("part", F.col("cid").alias("other"), F.col("other").alias("cid"), F.lit(True).alias("mutual"))
-    joined = best.join(back, ["part", "cid", "other"], "left")
-    moves = cut(joined.select("part", "cid", F.when(F.col("mutual"), F.least("cid", "other")).otherwise(F.col("cid")).alias("root")))
-    halves = open_.select("part", "cid", "size", "mean").join(moves, ["part", "cid"]).groupBy("part", "root").agg(F.collect_list(F.struct("size", "mean")).alias("x"))
+    """The nearest cluster of each one in a pair of blocks, and its least distance to another group there.
+
+    Tile by tile, both ways from one product, so that both ends see the same distance."""
+    rows = rows.sort_values(["blk", "grp"], kind="stable").reset_index(drop=True)
+    x, h, blk, grp = _matrix(rows["mean"]), rows["h"].to_numpy(), rows["blk"].to_numpy(), rows["grp"].to_numpy()
+    n = len(x)
+    gap, tie, other, out = np.full(n, np.inf), np.zeros(n, np.int64), np.full(n, -1), np.full(n, np.inf)
+    ends = np.r_[np.flatnonzero(np.diff(grp)) + 1, n]
+    tiles = [(a, min(a + TILE, e)) for b, e in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()) for a in range(b, e, TILE)]
+
+    def meet(product: np.ndarray, own: int, right: int, apart: bool) -> None:
+        top = product.max(axis=1)
+        i, j = np.nonzero(product >= top[:, None] - 2 * ROUNDED)
+        low = np.round(np.clip(1 - top, 0, 2), 12)
+        keep = np.isfinite(top)[i] & (np.round(np.clip(1 - product[i, j], 0, 2), 12) == low[i])
+        i, j = i[keep], j[keep]
+        mixed = _mixed(h[own + i], h[right + j])
+        order = np.lexsort((mixed, i))
+        order = order[np.r_[True, np.diff(i[order]) > 0]] if len(i) else order
+        i, j, mixed = i[order], j[order], mixed[order]
+        at = own + i
+        nearer = (low[i] < gap[at]) | (low[i] == gap[at]) & (mixed < tie[at])
+        at, i, j, mixed = at[nearer], i[nearer], j[nearer], mixed[nearer]
+        gap[at], tie[at], other[at] = low[i], mixed, right + j
+        if apart:
+            mine = out[own : own + len(top)]
+            np.minimum(mine, np.clip(1 - top, 0, 2), out=mine)
+
+    for a, (left, left_end) in enumerate(tiles):
+        for right, right_end in tiles[a:]:
+            if (blk[left], blk[right]) != (key[1], key[2]):
+                continue
+            product = x[left:left_end] @ x[right:right_end].T
+            apart = grp[left] != grp[right]
+            if left == right:
+                product = np.maximum(product, product.T)
+                np.fill_diagonal(product, -np.inf)
+            else:
+                meet(product.T, right, left, apart)
+            meet(product, left, right, apart)
+    met = other >= 0
+    ids = rows["cid"].to_numpy()
+    return pd.DataFrame({"part": key[0], "cid": ids[met], "gap": gap[met], "tie": tie[met], "other": ids[other[met]], "out": out[met]})
+
+
+def _grouped(open_: DataFrame, most: int) -> DataFrame:
+    """Adds to clusters (part, cid, size, mean) a hash, their group of about ``most`` neighbours, its block, and the blocks of the part.
+
+    Groups are made as :func:`dealt` makes blocks.  They decide how many rounds it takes, not what merges."""
+    some = open_.select("cid", "mean").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()
+    sample = np.array([r["mean"] for r in some], dtype=float)
+    length = np.linalg.norm(sample, axis=1, keepdims=True)
+    sample = (sample / np.maximum(length, 1e-9))[length[:, 0] > 1e-9]
+    pivots = _spread(sample, min(PIVOTS, CELLS * -(-open_.count() // most))) if len(sample) else np.zeros((1, len(some[0]["mean"])))
+
+    @F.pandas_udf("int")
+    def place(means: pd.Series) -> pd.Series:
+        return pd.Series((_matrix(means) @ pivots.T).argmax(axis=1).astype(np.int32))
+
+    placed = written(open_.select("part", "cid", "size", "mean", F.xxhash64("cid").alias("h"), place("mean").alias("cell")), "linkage")
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in placed.groupBy("part", "cell").count().orderBy("part", "cell").collect():
+        counts.setdefault(r["part"], []).append((r["cell"], r["count"]))
+    dealt_to = {}
+    for part, cells in counts.items():
+        number = [c for c, _ in cells]
+        start, chunks, _ = _blocks(np.array([n for _, n in cells]), pivots[number], most)
+        groups = int((start + chunks).max())
+        each = -(-groups // ROUND_BLOCKS)
+        dealt_to |= {(part, c): (int(a), int(k), each, -(-groups // each)) for c, a, k in zip(number, start, chunks)}
+
+    @F.pandas_udf("grp int, blk int, blocks int")
+    def deal(part: pd.Series, cell: pd.Series, h: pd.Series) -> pd.DataFrame:
+        start, chunks, each, blocks = np.array([dealt_to[k] for k in zip(part, cell)], dtype=np.int64).reshape(-1, 4).T
+        grp = start + h.to_numpy() % chunks
+        return pd.DataFrame({"grp": grp, "blk": grp // each, "blocks": blocks})
+
+    return placed.withColumn("to", deal("part", "cell", "h")).select("part", "cid", "size", "mean", "h", "to.grp", "to.blk", "to.blocks")
+
+
+def _group_merges(threshold: float):
+    """A row for each cluster of a group: what it merges into, with size and mean where it stays (or goes to a partner elsewhere)."""
+
+    def go(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cid").reset_index(drop=True)
+        ids, x, size = rows["cid"].to_numpy(), _matrix(rows["mean"]), rows["size"].to_numpy()
+        mutual = (rows["mutual"] == True).to_numpy(dtype=bool)  # noqa: E712
+        place = {c: k for k, c in enumerate(ids)}
+        partner = np.array([place.get(o, -1) if m else -1 for o, m in zip(rows["other"], mutual)], dtype=np.int64)
+        away = mutual & (partner < 0)
+        root, complete = _merged(x, threshold, size, rows["out"].fillna(np.inf).to_numpy(dtype=float), partner, away)
+        total, many = np.zeros_like(x), np.zeros(len(x), dtype=np.int64)
+        np.add.at(total, root, x * size[:, None])
+        np.add.at(many, root, size)
+        stays = root == np.arange(len(x))
+        mean = [m if s else None for m, s in zip(total / np.maximum(many, 1)[:, None], stays)]
+        to = np.where(away, np.minimum(ids, rows["other"].where(away, ids).to_numpy()), ids[root])
+        return pd.DataFrame({"part": rows["part"], "cid": ids, "root": to, "size": many, "mean": mean, "complete": complete})
+
+    return go
+
+
+def _mutual(open_: DataFrame, threshold: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(moves, clusters that stay open) of a round over the clusters ``open_`` (part, cid, size, mean) in groups of about ``most``."""
+    live = written(_grouped(open_, most), "linkage")
+    rows = live.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("part", F.least("blk", "to").alias("i"), F.greatest("blk", "to").alias("j"), "cid", "mean", "h", "grp", "blk")
+    found = rows.groupBy("part", "i", "j").applyInPandas(_nearest, "part string, cid string, gap double, tie long, other string, out double")
+    best = written(found.groupBy("part", "cid").agg(F.min(F.struct("gap", "tie", "other")).alias("b"), F.min("out").alias("out")).select("part", "cid", "b.gap", "b.other", "out"), "linkage")
+    near = best.where(F.col("gap") < threshold)
+    back = near.select("part", F.col("cid").alias("other"), F.col("other").alias("cid"), F.lit(True).alias("mutual"))
+    joined = live.join(best, ["part", "cid"], "left").join(back, ["part", "cid", "other"], "left")
+    schema = "part string, cid string, root string, size long, mean array<double>, complete boolean"
+    given = joined.select("part", "grp", "cid", "size", "mean", "other", "out", "mutual").groupBy("part", "grp")
+    moved = written(given.applyInPandas(_group_merges(threshold), schema), "linkage")
+    halves = moved.where(F.col("mean").isNotNull() & ~F.col("complete")).groupBy("part", "root").agg(F.collect_list(F.struct("size", "mean")).alias("x"))
     a, b = F.get("x", F.lit(0)), F.get("x", F.lit(1))
     size = a["size"] + F.coalesce(b["size"], F.lit(0))
     mean = F.when(b.isNull(), a["mean"]).otherwise(F.zip_with(a["mean"], b["mean"], lambda p, q: (p * a["size"] + q * b["size"]) / size))
-    return moves, halves.select("part", F.col("root").alias("cid"), size.alias("size"), mean.alias("mean"))
+    return moved.select("part", "cid", "root"), halves.select("part", F.col("root").alias("cid"), size.alias("size"), mean.alias("mean"))
 
 
-def linked(points: DataFrame, threshold: float, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
+def linked(points: DataFrame, threshold: float, whole: int = WHOLE) -> DataFrame:
     """(point, root): clusters of rows (point, vector, size, part), named by one of their points."""
     members = points.select("part", "point", F.col("point").alias("cid"))
     live = points.select("part", F.col("point").alias("cid"), "size", F.col("vector").alias("mean"))
     schema = "part string, cid string, root string"
     follow = lambda members, moves: members.join(moves, ["part", "cid"], "left").select("part", "point", F.coalesce("root", "cid").alias("cid"))
+    others, held = made(), ()
     while True:
-        live = cut(live)
-        n = cut(live.groupBy("part").agg(F.count(F.lit(1)).alias("n_open")).where("n_open > 1"))
+        live = written(live, "linkage")
+        # the rounds before have been read
+        held = (*held, made()[-1])
+        release(points.sparkSession, keep=(*others, *held))
+        n = written(live.groupBy("part").agg(F.count(F.lit(1)).alias("n_open")).where("n_open > 1"), "linkage")
         small, large = n.where(F.col("n_open") <= whole), n.where(F.col("n_open") > whole)
         done = live.join(small, "part").select("part", "cid", "size", "mean").groupBy("part").applyInPandas(_finish(threshold), schema)
         if large.isEmpty():
             return follow(members, done).select("point", F.col("cid").alias("root"))
-        moves, live = _mutual(live.join(large, "part"), threshold, block)
-        members = cut(follow(members, moves if small.isEmpty() else done.unionByName(moves)))
+        moves, live = _mutual(live.join(large, "part"), threshold, whole)
+        members = written(follow(members, moves if small.isEmpty() else done.unionByName(moves)), "linkage")
+        held = made()[-1:]
 
 
 def cluster(vectors: DataFrame, threshold: float, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """(failure_id, root) of rows (failure_id, vector): equal roots are one cluster."""
     points, members = folded(vectors)
     near = parts(points, threshold, block)
-    roots = linked(points.join(near, "point"), threshold, block, whole)
+    roots = linked(points.join(near, "point"), threshold, whole)
     return members.join(points.select("digest", "point"), "digest").join(roots, "point").select("failure_id", "root")
