@@ -1,5 +1,6 @@
 """Operators 11 to 13 against brute force, and their edge cases."""
 
+import gc
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -237,6 +238,23 @@ def test_words_encode_as_the_library(word_ids, monkeypatch):
         monkeypatch.setattr("tracewright.llm.words.KNOWN_WORDS", 100)
 
 
+def test_words_that_are_met_again_stay(word_ids, monkeypatch):
+    monkeypatch.setattr("tracewright.llm.words.KNOWN_WORDS", 60)
+    word_ids.forget()
+    letters = "bcdfghjklm"
+    for k in range(12):
+        # ten new words a round, and one that is in each
+        texts = ["often, " + " ".join(f"{letters[k % 10]}{a}o{b}" for a, b in zip("aeiou" * 2, letters)) + f" {k}x{k}"]
+        flat, sizes = word_ids.encode(texts)
+        assert flat.tolist() == word_ids.tokenizer.encode(texts[0], add_special_tokens=False).ids and sizes.tolist() == [len(flat)]
+        assert "often," in word_ids.known
+        if k == 6:
+            place = word_ids.known["often,"]
+    # it was carried on twice, while what was met once went
+    assert len(word_ids.known) < 100 and place < 20 and gc.isenabled()
+    assert "0x0" not in word_ids.known
+
+
 def packed_right(rows, docs, word_ids, capacity):
     """Every id in one piece, every sequence gapless; returns the padding."""
     texts = [t or "" for _, t in docs]

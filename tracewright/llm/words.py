@@ -9,9 +9,10 @@ library's ids (tested).
 
 from __future__ import annotations
 
+import gc
 import json
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from tracewright.llm.tokens import ALPHABET, _grown
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 #: Marks that end words; a run of them is one pre-token.
 MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-#: Words that an encoder remembers at most.
+#: Words that an encoder remembers at most, in two generations: a word stays while it is met again.
 KNOWN_WORDS = 500_000
 #: A word that ends a text; texts that hold it are encoded whole.
 END = "\x00"
@@ -62,23 +63,43 @@ class WordEncoder:
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
+        self.met = np.zeros(1 << 14, dtype=bool)
         self.used = 0
         self._learn(["", END], [[], []])
 
-    def _learn(self, words: list[str], ids: list[list[int]]) -> None:
+    def _age(self) -> None:
+        """Keeps the words met since the last call, and as few as half of the room at most."""
+        stay = self.met[: len(self.known)].copy()
+        stay[:2] = False
+        old = np.flatnonzero(stay)
+        if 2 * len(old) > KNOWN_WORDS:
+            return self.forget()
+        names = [w for w, k in zip(self.known, stay.tolist()) if k]
+        flat, size = self._stored(old)
+        self.forget()
+        self._add(names, flat, size)
+
+    def _add(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         first, n = len(self.known), len(words)
-        size = np.fromiter(map(len, ids), np.int64, n)
-        flat = np.fromiter((x for e in ids for x in e), np.uint32, int(size.sum()))
         self.flat = _grown(self.flat, self.used + len(flat))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.start, self.length = _grown(self.start, first + n), _grown(self.length, first + n)
+        self.start, self.length, self.met = (_grown(x, first + n) for x in (self.start, self.length, self.met))
         self.start[first : first + n], self.length[first : first + n] = self.used + np.cumsum(size) - size, size
+        self.met[first : first + n] = False
         self.used += len(flat)
         self.known.update(zip(words, range(first, first + n)))
 
-    def _stored(self, word: str) -> list[int]:
-        k = self.known[word]
-        return self.flat[self.start[k] : self.start[k] + self.length[k]].tolist()
+    def _learn(self, words: list[str], ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int64, len(words))
+        self._add(words, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _stored(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words by number, one after another, and how many each has."""
+        size = self.length[places]
+        return self.flat[np.repeat(self.start[places], size) + ramps(size)], size
 
     def _bare(self, words: list[str]) -> None:
         """Learns words that are one pre-token: letters only, or marks only."""
@@ -89,19 +110,20 @@ class WordEncoder:
             self._learn(fresh, [[t.id for t in tokenize(w)] for w in shown])
 
     def _new(self, words: list[str]) -> None:
-        split = list(map(self.lettered.fullmatch, words))
-        both = [(w, *m.groups()) for w, m in zip(words, split) if m]
-        self._bare([x for _, stem, marks in both for x in (stem, marks)])
-        ids = {m: self._stored(m) for m in {marks for *_, marks in both}}
-        marked = [(w, self._stored(stem) + ids[marks]) for w, stem, marks in both if marks]
-        self._learn([w for w, _ in marked], [e for _, e in marked])
+        split = [m and m.groups() for m in map(self.lettered.fullmatch, words)]
+        both = [(w, *m) for w, m in zip(words, split) if m and m[1]]
+        self._bare([m[0] for m in split if m])
+        self._bare([marks for *_, marks in both])
+        # stem and mark by turns
+        ids, size = self._stored(self._places([x for _, *parts in both for x in parts]))
+        self._add([w for w, *_ in both], ids, size.reshape(-1, 2).sum(axis=1))
         rest = [w for w, m in zip(words, split) if not m]
         self._learn(rest, [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else [])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after another (uint32), and how many each text has."""
         if len(self.known) > KNOWN_WORDS:
-            self.forget()
+            self._age()
         whole = [k for k, t in enumerate(texts) if not self.by_word or END in t]
         apart = dict(zip(whole, [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)] if whole else []))
         text = "".join(f"{'' if k in apart else t} {END} " for k, t in enumerate(texts)) if apart else f" {END} ".join(texts) + f" {END} "
@@ -110,15 +132,24 @@ class WordEncoder:
         # the last space ends the last mark
         words = pc.split_pattern(pa.array([text], pa.large_string()), " ").flatten().dictionary_encode()
         del text
-        names = words.dictionary.to_pylist()
+        # no word holds a space: the distinct ones come over as one string
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary.cast(pa.string())), " ")[0].as_py().split(" ")
         at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
-        new = [names[k] for k in np.flatnonzero(at < 0).tolist()]
-        if new:
-            self._new(new)
-            at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        self.met[at[at >= 0]] = True
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = [names[k] for k in fresh.tolist()]
+            # what is made for each word is freed by its count alone: searching it for cycles took a fifth of the time
+            searched = gc.isenabled()
+            gc.disable()
+            try:
+                self._new(new)
+            finally:
+                if searched:
+                    gc.enable()
+            at[fresh] = self._places(new)
         place = at[words.indices.to_numpy()]
-        size = self.length[place]
-        flat = self.flat[np.repeat(self.start[place], size) + ramps(size)]
+        flat, size = self._stored(place)
         sizes = np.diff(np.r_[0, np.cumsum(size)[place == self.known[END]]])
         if apart:
             flat = np.insert(flat, np.repeat([int(sizes[:k].sum()) for k in apart], [len(e) for e in apart.values()]), [x for e in apart.values() for x in e])
