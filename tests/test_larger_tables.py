@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tracewright.operators import families, linkage
+from tracewright.operators import families, ingest, linkage
 from tracewright.plans import catalogue
 from tracewright.streaming import closing
 
@@ -140,3 +140,13 @@ def test_pairs_and_parts_by_tiles(spark, monkeypatch):
     tiles = [(int(a), int(b)) for p, q in linkage._tiles(x, places[:40], places[35:], 0.3) for a, b in zip(p, q)]
     a, b = np.nonzero(1 - x[:40] @ x[35:].T < 0.3)
     assert sorted(tiles) == sorted(zip(a.tolist(), (b + 35).tolist()))
+
+
+def test_contents_are_hashed_once_and_written(spark):
+    text = '{"trace_id": "t1", "input": {"text": "mail a.person@example.com"}}'
+    rows = spark.createDataFrame([("f", 1, True, text)], "file string, line int, utf8 boolean, text string")
+    clean, _ = ingest.redacted(ingest.traces.parse(rows).drop("issues", "utf8"))
+    (row,) = clean.collect()
+    assert row.content_hash == ingest.with_hash(clean.drop("content_hash")).first().content_hash
+    # plans that read it do not parse again
+    assert "parse_json" not in clean.select("content_hash")._jdf.queryExecution().optimizedPlan().toString()
