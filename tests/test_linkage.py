@@ -1,6 +1,7 @@
 """Linkage over several tasks against the one-task form, and near pairs through pivots against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,35 @@ def test_merges_inside_a_group_wait_for_what_is_nearer_outside():
     # something outside is nearer to the second than the first is
     root, complete = linkage._merged(x, 0.5, np.ones(4), np.array([1.0, 0.001, 1.0, 1.0]), none, none > 0)
     assert root.tolist() == [0, 1, 2, 2] and complete.tolist() == [False, False, True, False]
+
+
+def test_a_part_that_a_sample_shows_needs_no_blocks(spark, monkeypatch):
+    x = unit(np.random.default_rng(8).normal(size=(300, 5)))
+    points = table(spark, x).withColumnRenamed("failure_id", "point")
+    met = []
+    meetings = linkage.meetings
+    monkeypatch.setattr(linkage, "meetings", lambda *a: met.append(1) or meetings(*a))
+    assert {r.part for r in linkage.parts(points, 0.6, 50).collect()} == {"f00000"} and not met
+    # one that is near to nothing has a part of its own, and so has a missing one
+    odd = table(spark, np.zeros((1, 5))).select(F.lit("zero").alias("point"), "vector")
+    none = odd.select(F.lit("none").alias("point"), F.lit(None).cast("array<double>").alias("vector"))
+    assert {r.part for r in linkage.parts(points.unionByName(odd).unionByName(none), 0.6, 50).collect()} == {"f00000", "zero", "none"} and met
+
+
+@pytest.mark.parametrize("step", [0.0, 1e-9, 1e-3])
+def test_the_nearest_is_that_of_double_precision(step, monkeypatch):
+    monkeypatch.setattr(linkage, "TILE", 7)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([unit(rng.normal(size=(30, 6))), unit(np.ones((1, 6)) + step * rng.normal(size=(30, 6)))])
+    rows = pd.DataFrame({"cid": [f"c{k:02d}" for k in range(60)], "mean": list(x), "h": rng.integers(1, 1 << 60, 60), "grp": np.arange(60) // 10, "blk": np.arange(60) // 30})
+    found = pd.concat([linkage._nearest(0.9)(("p", i, j), rows if i != j else rows[rows["blk"] == i]) for i, j in ((0, 0), (0, 1), (1, 1))])
+    gap = np.round(np.clip(1 - x @ x.T, 0, 2), 12)
+    np.fill_diagonal(gap, np.inf)
+    for k, (cid, own) in enumerate(found.groupby("cid")):
+        near = own["gap"].min()
+        assert near == (gap[k].min() if gap[k].min() < 0.9 else np.inf)
+        if near < np.inf:
+            first = own[own["gap"] == near].sort_values("tie").iloc[0]
+            assert gap[k][int(first["other"][1:])] == near
+        least = gap[k][np.arange(60) // 10 != k // 10].min()
+        assert least - 1e-5 <= own["out"].min() <= least + 1e-12

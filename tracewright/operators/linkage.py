@@ -41,6 +41,10 @@ CELLS = 8
 ROUND_BLOCKS = 12
 #: Distances are compared with this much room.
 ROUNDED = 1e-12
+#: Pairs for each row of a tile that are looked at one by one at most.
+DENSE = 16
+#: Vectors that parts are begun with.
+SEEDS = 2048
 #: Angles are looked at with this much room: lengths may be off by 1e-7, as those of single-precision vectors are.
 ROOM = 1e-3
 
@@ -209,10 +213,32 @@ def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def _seeded(points: DataFrame, threshold: float) -> DataFrame:
+    """Adds ``seed``: the part of some vectors, themselves held together by near pairs, that a point's nearest one belongs to; null where it is not near."""
+    some = points.where(usable("vector") & F.exists("vector", lambda x: x != 0)).orderBy(F.xxhash64("point"), "point").limit(SEEDS).select("vector").collect()
+    if not some:
+        return points.withColumn("seed", F.lit(None).cast("int"))
+    sample = np.array([r["vector"] for r in some], dtype=float)
+    root = np.arange(len(sample))
+    for a, b in _tiles(sample, root, root, threshold):
+        root = _stars(root[a], root[b], len(sample))[root]
+
+    @F.pandas_udf("int")
+    def seed(vectors: pd.Series) -> pd.Series:
+        product = _matrix(vectors) @ sample.T
+        near = product.argmax(axis=1)
+        return pd.Series(np.where(1 - product[np.arange(len(near)), near] < threshold, root[near], -1)).astype("int32")
+
+    # Arrow knows no null components; such vectors are near to nothing
+    return points.withColumn("seed", F.when(usable("vector"), F.nullif(seed(F.when(usable("vector"), F.col("vector")).otherwise(F.array_repeat(F.lit(0.0), sample.shape[1]))), F.lit(-1))))
+
+
 def parts(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(point, part): parts hold all pairs nearer than the threshold.
 
-    What comes out of a pair of blocks is not the near pairs but a link for each row to the smallest one it is connected with there.
+    Points are first told by the vectors of a sample that they are near to; often that makes one part of all, and no block need meet another.
+    What comes out of a pair of blocks is not the near pairs but a link for each row to the smallest one it is connected with there;
+    rows that are connected already are not compared.
     """
 
     def near(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -220,15 +246,31 @@ def parts(points: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
         x, ids, blk = _matrix(part["vector"]), part["point"].to_numpy(), part["blk"].to_numpy()
         left, right = np.flatnonzero(blk == key[0]), np.flatnonzero(blk == key[1])
         root = np.arange(len(ids))
-        for a, b in _tiles(x, left, right, threshold + 1e-9):
-            # pairs of a tile join what earlier tiles have joined
-            a, b = root[a], root[b]
-            apart = a != b
-            root = _stars(a[apart], b[apart], len(ids))[root]
+        for i in range(0, len(left), TILE):
+            for j in range(0, len(right), TILE):
+                own, others = left[i : i + TILE], right[j : j + TILE]
+                if (root[own] == root[own[0]]).all() and (root[others] == root[own[0]]).all():
+                    continue
+                for a, b in _tiles(x, own, others, threshold + 1e-9):
+                    # pairs of a tile join what earlier tiles have joined
+                    a, b = root[a], root[b]
+                    apart = a != b
+                    root = _stars(a[apart], b[apart], len(ids))[root]
         far = root != np.arange(len(ids))
         return pd.DataFrame({"a": ids[far], "b": ids[root[far]]})
 
-    links = cut(meetings(points, threshold, block).groupBy("i", "j").applyInPandas(near, "a string, b string"))
+    n = points.count()
+    seeds = None
+    if n > block:
+        seeded = cut(_seeded(points, threshold).select("point", "seed"))
+        seeds = seeded.where("seed is not null").groupBy("seed").agg(F.min("point").alias("b"), F.count(F.lit(1)).alias("n"))
+        one = seeds.where(F.col("n") == n).first()
+        if one is not None:
+            return points.select("point", F.lit(one["b"]).alias("part"))
+    links = meetings(points, threshold, block).groupBy("i", "j").applyInPandas(near, "a string, b string")
+    if seeds is not None:
+        links = links.unionByName(seeded.join(seeds.select("seed", "b"), "seed").where("point <> b").select(F.col("point").alias("a"), "b"))
+    links = cut(links)
     label = cut(points.select("point", F.col("point").alias("part")))
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     while not both.isEmpty():
@@ -258,14 +300,38 @@ def _merged(vectors: np.ndarray, threshold: float, sizes: np.ndarray, outside: n
     ``pairs`` (the place of a partner or -1) merge first; what is ``away`` has its partner elsewhere and counts as outside.
     """
     n = len(vectors)
+    weight, bound, root = np.array(sizes, dtype=float), np.array(outside, dtype=float), np.arange(n)
+    gone, complete = away.copy(), np.zeros(n, dtype=bool)
+    if away.any():
+        bound = np.minimum(bound, np.clip(1 - vectors @ vectors[away].T, 0, 2).min(axis=1))
+    low = np.flatnonzero(pairs > np.arange(n))
+    high = pairs[low]
+    if len(low):
+        share = weight[low] / (weight[low] + weight[high])
+        vectors = vectors.copy()
+        vectors[low] = share[:, None] * vectors[low] + (1 - share)[:, None] * vectors[high]
+        bound[low] = np.where(np.isinf(bound[low]) | np.isinf(bound[high]), np.inf, share * bound[low] + (1 - share) * bound[high])
+        weight[low] += weight[high]
+        root[high], gone[high] = low, True
+    # what has gone elsewhere needs no distances
+    live = np.flatnonzero(~gone)
+    inner, complete[live] = _chains(vectors[live], threshold, weight[live], bound[live])
+    root[live] = live[inner]
+    while (root[root] != root).any():
+        root = root[root]
+    return root, complete
+
+
+def _chains(vectors: np.ndarray, threshold: float, weight: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_merged` of clusters none of which has a partner yet."""
+    n = len(vectors)
     gap = vectors @ vectors.T
     np.clip(np.subtract(1, gap, out=gap), 0, 2, out=gap)
     gap[np.arange(n), np.arange(n)] = np.inf
-    weight, bound, root = np.array(sizes, dtype=float), np.array(outside, dtype=float), np.arange(n)
-    gone, waits, complete = away.copy(), away.copy(), np.zeros(n, dtype=bool)
-    if away.any():
-        bound = np.minimum(bound, gap[:, away].min(axis=1))
-        gap[away] = gap[:, away] = np.inf
+    root, nearest = np.arange(n), gap.min(axis=1) if n else np.zeros(0)
+    # most of a large table is told at once: a nearest one never comes nearer, and what is beyond the threshold is so for all
+    complete = ~(np.minimum(nearest, bound) < threshold)
+    waits, gone = (nearest > bound - ROUNDED) & ~complete, complete.copy()
 
     def join(low: int, high: int) -> None:
         share = weight[low] / (weight[low] + weight[high])
@@ -278,8 +344,6 @@ def _merged(vectors: np.ndarray, threshold: float, sizes: np.ndarray, outside: n
         weight[low] += weight[high]
         root[high], gone[high] = low, True
 
-    for low, high in zip(np.flatnonzero(pairs > np.arange(n)).tolist(), pairs[pairs > np.arange(n)].tolist()):
-        join(low, high)
     chain: list[int] = []
     first = 0
     while True:
@@ -309,8 +373,6 @@ def _merged(vectors: np.ndarray, threshold: float, sizes: np.ndarray, outside: n
             first = min(first, low)
         else:
             chain.append(there)
-    while (root[root] != root).any():
-        root = root[root]
     return root, complete
 
 
@@ -344,50 +406,83 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _nearest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The nearest cluster of each one in a pair of blocks, and its least distance to another group there.
-
-    Tile by tile, both ways from one product, so that both ends see the same distance."""
-    rows = rows.sort_values(["blk", "grp"], kind="stable").reset_index(drop=True)
-    x, h, blk, grp = _matrix(rows["mean"]), rows["h"].to_numpy(), rows["blk"].to_numpy(), rows["grp"].to_numpy()
-    n = len(x)
-    gap, tie, other, out = np.full(n, np.inf), np.zeros(n, np.int64), np.full(n, -1), np.full(n, np.inf)
-    ends = np.r_[np.flatnonzero(np.diff(grp)) + 1, n]
-    tiles = [(a, min(a + TILE, e)) for b, e in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()) for a in range(b, e, TILE)]
-
-    def meet(product: np.ndarray, own: int, right: int, apart: bool) -> None:
-        top = product.max(axis=1)
-        i, j = np.nonzero(product >= top[:, None] - 2 * ROUNDED)
-        low = np.round(np.clip(1 - top, 0, 2), 12)
-        keep = np.isfinite(top)[i] & (np.round(np.clip(1 - product[i, j], 0, 2), 12) == low[i])
-        i, j = i[keep], j[keep]
-        mixed = _mixed(h[own + i], h[right + j])
-        order = np.lexsort((mixed, i))
-        order = order[np.r_[True, np.diff(i[order]) > 0]] if len(i) else order
-        i, j, mixed = i[order], j[order], mixed[order]
-        at = own + i
-        nearer = (low[i] < gap[at]) | (low[i] == gap[at]) & (mixed < tie[at])
-        at, i, j, mixed = at[nearer], i[nearer], j[nearer], mixed[nearer]
-        gap[at], tie[at], other[at] = low[i], mixed, right + j
-        if apart:
-            mine = out[own : own + len(top)]
-            np.minimum(mine, np.clip(1 - top, 0, 2), out=mine)
-
-    for a, (left, left_end) in enumerate(tiles):
-        for right, right_end in tiles[a:]:
-            if (blk[left], blk[right]) != (key[1], key[2]):
-                continue
-            product = x[left:left_end] @ x[right:right_end].T
-            apart = grp[left] != grp[right]
-            if left == right:
-                product = np.maximum(product, product.T)
+def _nearest(threshold: float):
+    """The nearest cluster of each one in a pair of blocks (null: none under the threshold), and its least distance to another group there, at least.
+
+    Tile by tile, both ways from one product, so that both ends see the same distance.  Tiles are products in single precision,
+    which is off by ``room`` at most; what can be the nearest by them is looked at again in double precision.
+    """
+
+    def go(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["blk", "grp"], kind="stable").reset_index(drop=True)
+        x, h, blk, grp = _matrix(rows["mean"]), rows["h"].to_numpy(), rows["blk"].to_numpy(), rows["grp"].to_numpy()
+        n, width = x.shape
+        y = x.astype(np.float32)
+        # the sum of ``width`` products, in any order, of rounded factors
+        room = np.float32(1.01 * (width + 3) * 2.0**-24 * max(float(np.einsum("ij,ij->i", x, x).max()), 1e-9))
+        least = np.float32(1 - threshold) - np.float32(1e-6)
+        gap, tie, other = np.full(n, np.inf), np.zeros(n, np.int64), np.full(n, -1)
+        ends = np.r_[np.flatnonzero(np.diff(grp)) + 1, n]
+        tiles = [(a, min(a + TILE, e)) for b, e in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()) for a in range(b, e, TILE)]
+        def meet(at: np.ndarray, to: np.ndarray, products: np.ndarray) -> None:
+            """Takes the nearest of each one ``at`` from its products with those of ``to``."""
+            low = np.round(np.clip(1 - products, 0, 2), 12)
+            mixed = _mixed(h[at], h[to])
+            order = np.lexsort((mixed, low, at))
+            order = order[np.r_[True, np.diff(at[order]) > 0]] if len(at) else order
+            at, to, low, mixed = at[order], to[order], low[order], mixed[order]
+            nearer = (low < gap[at]) | (low == gap[at]) & (mixed < tie[at])
+            at, to = at[nearer], to[nearer]
+            gap[at], tie[at], other[at] = low[nearer], mixed[nearer], to
+
+        pairs = [(own, to) for a, own in enumerate(tiles) for to in tiles[a:] if (blk[own[0]], blk[to[0]]) == (key[1], key[2])]
+        # what each one has in each tile at most, by one piece of memory for all products
+        most = {own: np.full((len(tiles), own[1] - own[0]), -np.inf, np.float32) for own in tiles}
+        place = {own: k for k, own in enumerate(tiles)}
+        held, apart_top = np.empty(TILE * TILE, np.float32), np.full(n, -np.inf, np.float32)
+        for own, to in pairs:
+            product = held[: (own[1] - own[0]) * (to[1] - to[0])].reshape(own[1] - own[0], to[1] - to[0])
+            np.matmul(y[slice(*own)], y[slice(*to)].T, out=product)
+            if own == to:
                 np.fill_diagonal(product, -np.inf)
+            product.max(axis=1, out=most[own][place[to]])
+            if own != to:
+                product.max(axis=0, out=most[to][place[own]])
+            if grp[own[0]] != grp[to[0]]:
+                for one, another in ((own, to), (to, own)):
+                    mine = apart_top[slice(*one)]
+                    np.maximum(mine, most[one][place[another]], out=mine)
+        floor = {own: np.maximum(m.max(axis=0), least) - 2 * room for own, m in most.items()}
+
+        def candidates(own: tuple[int, int], to: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs of places of two tiles that can be the nearest of the first, of all tiles."""
+            hit = np.flatnonzero(most[own][place[to]] >= floor[own])
+            product = y[own[0] + hit] @ y[slice(*to)].T
+            if own == to:
+                product[np.arange(len(hit)), hit] = -np.inf
+            i, j = np.nonzero(product >= floor[own][hit, None])
+            return hit[i], j
+
+        for own, to in pairs:
+            ways = [(own, to)] if own == to else [(own, to), (to, own)]
+            found = [candidates(*way) for way in ways]
+            if sum(len(i) for i, _ in found) > DENSE * (own[1] - own[0] + to[1] - to[0]):
+                # many are equally near: as pairs of their own they would be more than the tile
+                exact = x[slice(*own)] @ x[slice(*to)].T
+                exact = np.maximum(exact, exact.T) if own == to else exact
+                for (one, another), (i, j), product in zip(ways, found, (exact, exact.T)):
+                    best = np.full(len(product), -np.inf)
+                    np.maximum.at(best, i, product[i, j])
+                    keep = product[i, j] >= best[i] - 2 * ROUNDED
+                    meet(one[0] + i[keep], another[0] + j[keep], product[i[keep], j[keep]])
             else:
-                meet(product.T, right, left, apart)
-            meet(product, left, right, apart)
-    met = other >= 0
-    ids = rows["cid"].to_numpy()
-    return pd.DataFrame({"part": key[0], "cid": ids[met], "gap": gap[met], "tie": tie[met], "other": ids[other[met]], "out": out[met]})
+                for (one, another), (i, j) in zip(ways, found):
+                    meet(one[0] + i, another[0] + j, np.einsum("ij,ij->i", x[one[0] + i], x[another[0] + j]))
+        ids = rows["cid"].to_numpy()
+        out = np.clip(1 - (apart_top.astype(float) + float(room)), 0, None)
+        return pd.DataFrame({"part": key[0], "cid": ids, "gap": gap, "tie": tie, "other": np.where(other >= 0, ids[other], None), "out": out})
+
+    return go
 
 
 def _grouped(open_: DataFrame, most: int) -> DataFrame:
@@ -452,7 +547,7 @@ def _mutual(open_: DataFrame, threshold: float, most: int) -> tuple[DataFrame, D
     live = written(_grouped(open_, most), "linkage")
     rows = live.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("part", F.least("blk", "to").alias("i"), F.greatest("blk", "to").alias("j"), "cid", "mean", "h", "grp", "blk")
-    found = rows.groupBy("part", "i", "j").applyInPandas(_nearest, "part string, cid string, gap double, tie long, other string, out double")
+    found = rows.groupBy("part", "i", "j").applyInPandas(_nearest(threshold), "part string, cid string, gap double, tie long, other string, out double")
     best = written(found.groupBy("part", "cid").agg(F.min(F.struct("gap", "tie", "other")).alias("b"), F.min("out").alias("out")).select("part", "cid", "b.gap", "b.other", "out"), "linkage")
     near = best.where(F.col("gap") < threshold)
     back = near.select("part", F.col("cid").alias("other"), F.col("other").alias("cid"), F.lit(True).alias("mutual"))
